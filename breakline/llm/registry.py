@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, license_scan, topk, warc
+from . import chat, langid, license_scan, tokenstore, topk, toxicity, warc
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_topk": topk.op3_topk,
     "op5_license": license_scan.op5_license,
+    "op6_tokens": tokenstore.op6_tokens,
+    "op7_langid": langid.op7_langid,
     "op8_chat": chat.op8_chat,
     "op10_warc": warc.op10_warc,
 }
