@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import chat, langid, license_scan, tokenstore, topk, toxicity, warc
+import corpus_pipeline
+
+from . import chat, decontaminate, jaccard, langid, license_scan, mixing, tokenstore, topk, toxicity, warc
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_topk": topk.op3_topk,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_license": license_scan.op5_license,
     "op6_tokens": tokenstore.op6_tokens,
     "op7_langid": langid.op7_langid,
     "op8_chat": chat.op8_chat,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_warc": warc.op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op3_topk": topk.OP3_SQL, "op8_chat": chat.OP8_SQL, "op10_warc": warc.OP10_SQL}
+SQL = {"op3_topk": topk.OP3_SQL, "op8_chat": chat.OP8_SQL, "op9_jaccard": jaccard.OP9_SQL, "op10_warc": warc.OP10_SQL}
