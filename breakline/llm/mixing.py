@@ -15,11 +15,12 @@ in the end.
 Edge cases: a null or empty text has no tokens and gets the rate of its posterior; repeated rows have
 equal rates; labels that are null are not learnt from; of several domains of one doc_id the smallest
 counts; with one domain all posteriors are 1; a domain without target has target 0; without labels or
-tokens all rates are r0. Other columns are kept by `apply_rates` and ignored elsewhere.
+tokens all rates are r0. Other columns are kept.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ _WORD = word_bytes()
 _SIGN = ~_WORD
 _SIGN[[32, 9, 10, 11, 12, 13]] = False
 
-#: Production targets: shares of tokens by quality and toxicity, and tokens wanted per token there is.
-TARGETS = {"q1t0": 0.93, "q0t0": 0.06, "q1t1": 0.007, "q0t1": 0.003}
+#: Production targets: shares of tokens by quality, and tokens wanted per token there is.
+TARGETS = {"q0": 0.07, "q1": 0.93}
 BUDGET = 1.25
 
 
@@ -82,7 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list
     cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
     slots = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     names = sorted(set(domain.tolist()))
-    return names, [toxicity.fit(slots, (domain == x).astype(float)) for x in names]
+    return names, [toxicity.fit(slots, (domain == x).astype(float), positive=1.0) for x in names]
 
 
 def posteriors(docs: DataFrame, names: list[str], machines: list[toxicity.Machine]) -> DataFrame:
@@ -109,7 +110,9 @@ def rate_of(p: Column, history: list[tuple[list[float], float]], step: float, r0
     if not history:
         return F.lit(r0)
     dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    rows = F.array(*(F.struct(F.array(*map(F.lit, g)).alias("g"), F.lit(b).alias("b")) for g, b in history))
+    # One literal, however long the history is.
+    told = json.dumps([{"g": g, "b": b} for g, b in history])
+    rows = F.from_json(F.lit(told), "array<struct<g:array<double>,b:double>>")
     start = F.struct(F.lit(r0).alias("x"), F.lit(r0).alias("y"))
 
     def move(acc: Column, h: Column) -> Column:
@@ -129,19 +132,21 @@ def solve(soft: DataFrame, target: list[float], budget: float) -> tuple[list, fl
     if not total or k < 2:
         return [], 0.0, r0
     gram = np.array([[moments[f"h{i}_{j}"] for j in range(k)] for i in range(k)]) / total
-    step = float(1 / (np.linalg.eigvalsh(gram)[-1] + RIDGE))
+    low, *_, high = np.linalg.eigvalsh(gram).clip(0) + RIDGE
+    step = float(1 / high)
+    momentum = float((1 - (low / high) ** 0.5) / (1 + (low / high) ** 0.5))
     goal = np.array(target) * budget
     history: list[tuple[list[float], float]] = []
-    for t in range(ITERATIONS):
+    for _ in range(ITERATIONS):
         # Gradient at y: one aggregation over the grid.
         y = rate_of(F.col("p"), history, step, r0)
         y = y["y"] if history else y
         rated = grid.select("mass", "p", y.alias("y"))
-        got = rated.agg(*(F.sum(F.col("mass") * F.col("y") * at[i]).alias(f"s{i}") for i in range(k))).first()
+        got = rated.agg(*(F.sum(F.col("mass") * F.col("y") * at[i]).alias(f"s{i}") for i in range(k)), F.sum(F.col("mass") * F.col("y")).alias("m")).first()
         gradient = np.array([got[f"s{i}"] for i in range(k)]) / total - goal
-        if np.abs(gradient).max() < TOLERANCE:
+        if history and np.abs(gradient + RIDGE * (got["m"] / total - r0)).max() < TOLERANCE:
             break
-        history.append((gradient.tolist(), t / (t + 3)))
+        history.append((gradient.tolist(), momentum))
     return history, step, r0
 
 
@@ -167,7 +172,7 @@ def _copies(rate: Column) -> Column:
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
-    return labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("domain"))
+    return labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("domain"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

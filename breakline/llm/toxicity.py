@@ -75,7 +75,7 @@ def telling(docs: list[np.ndarray], y: np.ndarray, seen: np.ndarray) -> np.ndarr
     return chi >= max(CHI, np.sort(chi)[-TERMS])
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray) -> Machine:
+def fit(docs: list[np.ndarray], y: np.ndarray, positive: float = POSITIVE) -> Machine:
     """docs: distinct slots of each document."""
     size = 1 << BITS
     machine = Machine(0.0, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32))
@@ -97,7 +97,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray) -> Machine:
             sums = np.stack([np.bincount(text, v[slots, f], len(batch)) for f in range(FACTORS)], 1)
             x = v[slots]
             logit = bias + np.bincount(text, w[slots], len(batch)) + 0.5 * ((sums**2).sum(1) - np.bincount(text, (x * x).sum(1), len(batch)))
-            err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[pick]) * np.where(y[pick] > 0, POSITIVE, 1)
+            err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[pick]) * np.where(y[pick] > 0, positive, 1)
             e = err[text]
             used, back = np.unique(slots, return_inverse=True)
             dw = np.bincount(back, e, len(used)) / len(batch) + L2 * w[used]
