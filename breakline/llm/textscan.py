@@ -13,6 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+# Freed batches go back to the system: a worker lives on through other stages.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes and texts of a block; a single longer text makes a block of its own.
 BLOCK_BYTES, BLOCK_TEXTS = 1 << 20, 2048
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -87,17 +90,22 @@ class Words:
         return mix(code + np.uint64(n)), self.text[long]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
-    """data: the UTF-8 bytes of the texts one after another; offsets: len(texts) + 1 from 0."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, kinds: np.ndarray | None = None) -> Words:
+    """data: the UTF-8 bytes of the texts one after another; offsets: len(texts) + 1 from 0.
+
+    A word also ends between bytes of different kinds, for kinds that are not 0.
+    """
     low = _LOWER[data]
     inside = table[low]
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
+    joined = inside[1:] & inside[:-1]  # both sides of a place inside a word
+    if kinds is not None:
+        kind = kinds[low]
+        joined &= (kind[1:] == kind[:-1]) | (kind[1:] == 0) | (kind[:-1] == 0)
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-    begin[heads] = inside[heads]
-    end = inside.copy()
-    end[:-1] &= ~inside[1:]
-    end[heads[1:] - 1] = inside[heads[1:] - 1]
+    joined[heads[1:] - 1] = False
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~joined
+    end[:-1] &= ~joined
     start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[low] * powers(_BASE, len(data)), out=total[1:])

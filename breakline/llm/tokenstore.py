@@ -1,7 +1,8 @@
 """Token ids in a content-addressed store.
 
-Encoding: a text is cut at white space, which the tokenizer never crosses; distinct words are encoded
-by the tokenizers library once and kept in a bounded cache, and a document's ids are gathered from it.
+Encoding: a text is cut where the tokenizer never joins (at white space, and between ASCII letters and
+signs); distinct lower-cased words are encoded by the tokenizers library once and kept by their 64-bit
+hash in a bounded cache, and a document's ids are gathered from it.
 Chunks: a rolling hash over WINDOW ids cuts a document where its low bits are zero, so equal passages
 give equal chunks wherever they stand. A chunk is named by the BLAKE2b digest of its ids.
 
@@ -23,7 +24,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,22 +34,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, saved, table
+from .common import new_path, saved, small_batches, table
+from .textscan import _BASE, _INVERSE, SPACE, Words, blocks, mix, powers, word_bytes, words
 from .warc import filesystem
 
 END_ID = 2
 #: Ids in the rolling window; smallest, usual and largest chunk.
 WINDOW, SMALL, MASK, LARGE = 16, 64, (1 << 9) - 1, 4096
-#: Words that a worker's cache holds, bytes of text encoded at a time, bytes of ids in a frame.
-CACHE_WORDS, BLOCK, FRAME = 300_000, 1 << 20, 1 << 18
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_SPLIT = re.compile("[ \t\n\r\f\v]+")
+#: Words that a worker's cache holds, words of a call, bytes of a frame.
+CACHE_WORDS, RUN, FRAME = 700_000, 200, 1 << 18
+#: Stands between words that are encoded in one call.
+SIGN = "\x01"
+#: A word also ends between an ASCII letter and an ASCII sign, as the tokenizer cuts there; it does not at
+#: an apostrophe, which can belong to the letters behind it.
+_SPACED = word_bytes(SPACE)
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 2
+_KINDS[[c for c in range(65, 123) if chr(c).isalpha()]] = 1
 
 
 class Encoder:
     """Word-wise encoding; one for each worker and vocabulary file."""
 
-    made: dict[str, Encoder] = {}
+    made: dict[str, Encoder] = {}  # one for each vocabulary file
 
     def __init__(self, path: str) -> None:
         import os
@@ -58,6 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        got = self.tokenizer.encode(SIGN, add_special_tokens=False).ids
+        self.sign = got[0] if len(got) == 1 else -1
         self.forget()
 
     @classmethod
@@ -67,44 +76,93 @@ class Encoder:
         return cls.made[path]
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[int, int] = {}
         self.ids, self.start, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
 
-    def learn(self, fresh: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(size.sum())
-        while self.used + total > len(self.ids):
+    def ids_of(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, size of each): many words in one call, a control sign between them.
+
+        The sign is a word of one id. A word that holds it goes alone.
+        """
+        apart = [i for i, w in enumerate(fresh) if SIGN in w]
+        lone = {i: self.tokenizer.encode(fresh[i], add_special_tokens=False).ids for i in apart}
+        plain = fresh if not apart else [w if i not in lone else "" for i, w in enumerate(fresh)]
+        runs = [f" {SIGN} ".join(plain[i : i + RUN]) + f" {SIGN}" for i in range(0, len(plain), RUN)]
+        flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+        size = np.diff(np.flatnonzero(flat == self.sign), prepend=-1) - 1
+        if len(size) != len(fresh):
+            raise ValueError("the sign between words is not a word of one id in this vocabulary")
+        flat = flat[flat != self.sign]
+        if lone:
+            parts = np.split(flat, np.cumsum(size)[:-1])
+            for i, ids in lone.items():
+                parts[i], size[i] = np.array(ids, np.uint32), len(ids)
+            flat = np.concatenate(parts)
+        return flat, size
+
+    def gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words at these slots, size of each)."""
+        size = self.start[slot + 1] - self.start[slot]
+        done = np.cumsum(size) - size
+        return self.ids[np.repeat(self.start[slot] - done, size) + np.arange(int(size.sum()))], size
+
+    def add(self, names: list[int], flat: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
+        self.ids[self.used : self.used + len(flat)] = flat
         self.start = np.concatenate((self.start, self.used + np.cumsum(size)))
-        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-        self.used += total
-
-    def encode(self, texts: list[str], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each with the end id; where each text ends)."""
-        cut = [x.split() if not _ODD_SPACE.search(x) else [w for w in _SPLIT.split(x) if w] for x in texts]
-        flat = [w for ws in cut for w in ws]
+        self.place.update(zip(names, range(len(self.start) - 1 - len(names), len(self.start) - 1), strict=True))
+        self.used += len(flat)
+
+    def slots(self, w: Words) -> np.ndarray:
+        """The slot of each word; fresh ones are encoded first."""
+        distinct, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        found = [self.place.get(x, -1) for x in distinct.tolist()]
+        slot = np.array(found, np.int64)
+        fresh = np.flatnonzero(slot < 0)
+        if len(fresh):
+            names = [bytes(w.data[a:b]).decode("utf-8", "replace") for a, b in zip(w.start[at[fresh]].tolist(), w.stop[at[fresh]].tolist(), strict=True)]
+            slot[fresh] = np.arange(len(self.start) - 1, len(self.start) - 1 + len(names))
+            self.add(distinct[fresh].tolist(), *self.ids_of(names))
+        return slot[back]
+
+    def plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many of each)."""
         if len(self.place) > CACHE_WORDS:
             self.forget()
-        if fresh := list(set(flat).difference(self.place)):
-            self.learn(fresh)
-        slot = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        size = self.start[slot + 1] - self.start[slot]
-        words = np.fromiter(map(len, cut), np.int64, len(cut))
+        w = words(data, offsets, _SPACED, _KINDS)
+        ids, size = self.gather(self.slots(w))
         done = np.concatenate(([0], np.cumsum(size)))
-        lasts = done[np.cumsum(words)] + np.arange(1, len(cut) + 1)
-        out = np.full(int(size.sum()) + len(cut), end, np.uint32)
+        return ids, np.diff(done[w.first])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id; where each text ends).
+
+        A text with the signs that open a special token goes to the tokenizer as it is.
+        """
+        special = np.unique(np.searchsorted(offsets, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right") - 1)
+        flat, many, row = [], [], 0
+        for d in [*special.tolist(), len(offsets) - 1]:
+            if row < d:
+                ids, size = self.plain(data[offsets[row] : offsets[d]], offsets[row : d + 1] - offsets[row])
+                flat.append(ids)
+                many.append(size)
+            if d < len(offsets) - 1:
+                text = bytes(data[offsets[d] : offsets[d + 1]]).decode("utf-8", "replace")
+                flat.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                many.append(np.array([len(flat[-1])]))
+            row = d + 1
+        size = np.concatenate(many)
+        lasts = np.cumsum(size + 1)
+        out = np.full(int(size.sum()) + len(size), end, np.uint32)
         free = np.ones(len(out), bool)
         free[lasts - 1] = False
-        out[free] = self.ids[np.repeat(self.start[slot] - done[:-1], size) + np.arange(int(size.sum()))]
+        out[free] = np.concatenate(flat)
         return out, lasts
 
 
 def cuts(ids: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(end of each chunk, number of chunks of each document) by content-defined cuts."""
-    from .textscan import _BASE, _INVERSE, mix, powers
-
     n = len(ids)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
@@ -158,24 +216,17 @@ def pieces(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
-            ids_, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            row = 0
-            while row < len(texts):
-                stop, size = row + 1, len(texts[row])
-                while stop < len(texts) and size + len(texts[stop]) <= BLOCK:
-                    size += len(texts[stop])
-                    stop += 1
-                yield block(encoder, ids_[row:stop], texts[row:stop])
-                row = stop
-
-    def block(encoder: Encoder, doc_ids: list, texts: list[str]) -> pa.RecordBatch:
-        ids, lasts = encoder.encode(texts, end)
+            for lo, hi, data, offsets in blocks(batch["text"]):
+                yield block(encoder, batch["doc_id"][lo:hi].to_pylist(), data, offsets)
+
+    def block(encoder: Encoder, doc_ids: list, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        ids, lasts = encoder.encode(data, offsets, end)
         ends, many = cuts(ids, lasts)
         size = np.diff(ends, prepend=0)
         payloads = [packed(ids[a:b]) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
         names = [name_of(x) for x in payloads]
         distinct = dict(zip(names, payloads, strict=True))
-        n, m = len(texts), len(distinct)
+        n, m = len(doc_ids), len(distinct)
         key = [int.from_bytes(x[:8], "little", signed=True) for x in distinct]
         lists = pa.array(np.concatenate(([0], np.cumsum(many), np.full(m, len(names)))), pa.int32())
         kind = np.arange(n + m) >= n
@@ -247,6 +298,7 @@ def write_packs(rows: DataFrame, where: str) -> DataFrame:
 def write_store(docs: DataFrame, where: str, tokenizer: str, end: int = END_ID) -> dict[str, DataFrame]:
     """Write `docs(doc_id, text)` below `where`: the index, recipes and manifest as tables."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     stored = saved(write_packs(pieces(texts, tokenizer, end), f"{where}/packs"), "token-rows")
     stored.where("name is not null").select("name", "pack", "frame", "length", "at", "size").write.parquet(f"{where}/index")
