@@ -2,46 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from breakline.shared import new_path, saved, shared_dir
+
+__all__ = ["bounded_sample", "held_out", "maybe_broadcast", "new_path", "saved", "shared_dir", "small_batches", "table"]
+
 #: A side is broadcast only when its counted rows (of a few machine words) are at most this many.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch: texts can be long, and a batch is held on both sides.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) a temporary one is made.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    own = spark.conf.get("breakline.shared.dir", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="breakline-")
-        spark.conf.set("breakline.shared.dir", own)
-    return own
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column | str) -> Column:
     """crc32(doc_id as text) mod 5 = 0; false where doc_id is null."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -56,3 +33,10 @@ def bounded_sample(rows: DataFrame, key: str, limit: int, seed: int = 11) -> Dat
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only for a counted, bounded side; else Spark shuffles both sides."""
     return F.broadcast(df) if rows <= most else df
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most BATCH_ROWS; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .textscan import blocks, mix, word_bytes, words
 
 #: Share of an item's words that may differ.
@@ -183,6 +183,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Index]:
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` with a column `leaks` (a column of that name is replaced)."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "leaks"]
     out = docs.select(*keep).withColumn("leaks", F.array().cast(LEAKS))
     for index in item_blocks(benchmark):

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, small_batches, table
 from .textscan import Words, blocks, mix, word_bytes, words
 
 #: Documents of each language that training uses at most.
@@ -122,6 +122,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[st
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Fit on at most about `per_lang` documents of a language that are not held out."""
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
     if not counts:

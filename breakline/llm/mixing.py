@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import toxicity
-from .common import bounded_sample, saved, table
+from .common import bounded_sample, saved, small_batches, table
 from .textscan import blocks, mix, word_bytes, words
 
 #: Labelled documents that training uses at most.
 SAMPLE = 8_000
-GRID, RIDGE, ITERATIONS, TOLERANCE = 32, 1e-3, 60, 1e-4
+GRID, RIDGE, ITERATIONS, TOLERANCE = 32, 1e-3, 80, 1e-4
 _WORD = word_bytes()
 _SIGN = ~_WORD
 _SIGN[[32, 9, 10, 11, 12, 13]] = False
@@ -65,6 +65,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[str], list[toxicity.Machine]]:
     """`labels(doc_id, domain)`: domains and a machine for each, from at most `limit` documents."""
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = bounded_sample(known, "doc_id", limit)
 
@@ -80,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list
     got = rows.mapInArrow(run, "doc_id long, domain string, slots array<int>").toArrow().sort_by("doc_id")
     domain = np.array(got["domain"].to_pylist(), object)
     lists = got["slots"].combine_chunks()
-    cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
+    cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     slots = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     names = sorted(set(domain.tolist()))
     return names, [toxicity.fit(slots, (domain == x).astype(float), positive=1.0) for x in names]
@@ -132,12 +133,10 @@ def solve(soft: DataFrame, target: list[float], budget: float) -> tuple[list, fl
     if not total or k < 2:
         return [], 0.0, r0
     gram = np.array([[moments[f"h{i}_{j}"] for j in range(k)] for i in range(k)]) / total
-    low, *_, high = np.linalg.eigvalsh(gram).clip(0) + RIDGE
-    step = float(1 / high)
-    momentum = float((1 - (low / high) ** 0.5) / (1 + (low / high) ** 0.5))
+    step = float(1 / (np.linalg.eigvalsh(gram)[-1] + RIDGE))
     goal = np.array(target) * budget
     history: list[tuple[list[float], float]] = []
-    for _ in range(ITERATIONS):
+    for t in range(ITERATIONS):
         # Gradient at y: one aggregation over the grid.
         y = rate_of(F.col("p"), history, step, r0)
         y = y["y"] if history else y
@@ -146,7 +145,7 @@ def solve(soft: DataFrame, target: list[float], budget: float) -> tuple[list, fl
         gradient = np.array([got[f"s{i}"] for i in range(k)]) / total - goal
         if history and np.abs(gradient + RIDGE * (got["m"] / total - r0)).max() < TOLERANCE:
             break
-        history.append((gradient.tolist(), momentum))
+        history.append((gradient.tolist(), t / (t + 3)))
     return history, step, r0
 
 

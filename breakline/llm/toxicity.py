@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, table
+from .common import bounded_sample, held_out, small_batches, table
 from .textscan import blocks, word_bytes, words
 
 #: Labelled documents that training uses at most.
-SAMPLE = 16_000
+SAMPLE = 12_000
 BITS, FACTORS, EPOCHS, RATE, L2, MIN_DOCS, SEED = 18, 4, 12, 0.1, 1e-4, 5, 3
 #: Weight of a toxic document in training: a miss costs more than a false alarm.
 POSITIVE = 3.0
@@ -65,11 +65,13 @@ def slots_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (key & np.uint64((1 << BITS) - 1)).astype(np.int64), (key >> np.uint64(BITS)).astype(np.int64)
 
 
-def telling(docs: list[np.ndarray], y: np.ndarray, seen: np.ndarray) -> np.ndarray:
+def telling(docs: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Mask of slots whose presence depends on the label; rarer ones would only be learnt by heart."""
     n, positives = len(docs), y.sum()
-    a = np.bincount(np.concatenate(docs), np.repeat(y, [len(d) for d in docs]), len(seen))
-    b = seen - a
+    count = lambda which: sum((np.bincount(np.concatenate(which[i : i + 500]), minlength=size) for i in range(0, len(which), 500)), np.zeros(size))
+    a = count([d for d, label in zip(docs, y, strict=True) if label > 0])
+    b = count([d for d, label in zip(docs, y, strict=True) if label <= 0])
+    seen = a + b
     chi = n * (a * (n - positives - b) - b * (positives - a)) ** 2 / np.maximum(seen * (n - seen) * positives * (n - positives), 1)
     chi[seen < MIN_DOCS] = 0
     return chi >= max(CHI, np.sort(chi)[-TERMS])
@@ -84,9 +86,8 @@ def fit(docs: list[np.ndarray], y: np.ndarray, positive: float = POSITIVE) -> Ma
         machine.bias = float(np.log((positives + 1e-3) / (1 - positives + 1e-3)))
         return machine
     rng = np.random.default_rng(SEED)
-    seen = np.bincount(np.concatenate(docs), minlength=size) if docs else np.zeros(size)
-    kept = telling(docs, y, seen)
-    docs = [d[kept[d]] for d in docs]
+    kept = telling(docs, y, size)
+    docs = [d[kept[d]].astype(np.int64) for d in docs]
     w, v = np.zeros(size), rng.normal(0, 0.02, (size, FACTORS)) * kept[:, None]
     gw, gv, gb, bias = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2, float(np.log(positives / (1 - positives)))
     for _ in range(EPOCHS):
@@ -115,6 +116,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, positive: float = POSITIVE) -> Ma
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> Machine:
     """Fit on at most `limit` labelled rows of `docs(doc_id, text)` that are not held out."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
     chosen = bounded_sample(known, "doc_id", limit)
 
@@ -131,11 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     got = rows.toArrow().sort_by("doc_id")
     lists = got["slots"].combine_chunks()
     flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, int)
-    return fit([flat[a:b].astype(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], got["y"].to_numpy().astype(float))
+    return fit([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], got["y"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """`docs` with `score` added (a column of that name is replaced)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     keep = [c for c in docs.columns if c != "score"]
     schema = docs.select(*keep).schema.add("score", "double")
