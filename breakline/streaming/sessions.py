@@ -12,10 +12,11 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     On a stream, `late` is how long late rows are waited for; a session is final when the watermark has
     passed its end. Partial sessions are merged before the shuffle. Rows without ts have no session.
     """
-    rows = events.where("ts is not null").select("user_id", "ts", "value")
+    # Watermarks need a timestamp with time zone; the answer keeps the type of ts.
+    rows = events.where("ts is not null").select("user_id", "ts", "value", F.col("ts").cast("timestamp").alias("at"))
     if late is not None:
-        rows = rows.withWatermark("ts", late)
-    grouped = rows.groupBy("user_id", F.session_window("ts", gap).alias("w"))
+        rows = rows.withWatermark("at", late)
+    grouped = rows.groupBy("user_id", F.session_window("at", gap).alias("w"))
     found = grouped.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return found.drop("w")
 
