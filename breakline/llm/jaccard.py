@@ -33,16 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, saved, table
+from .common import maybe_broadcast, saved, small_batches, table
 from .components import components
 from .textscan import SPACE, blocks, mix, word_bytes, words
 
 #: Bits of a set element; the rest of the word holds the text's place in its block.
 ELEMENT = 53
 #: Signatures that a block gathers before they are combined; rows of a block of a large bucket.
-GATHER, BUCKET_BLOCK = 1_500_000, 1024
-#: A document's best candidates among the heads of its buckets.
-STARS = 2
+GATHER, BUCKET_BLOCK = 600_000, 1024
+#: A document's best candidates (by sketch) among the heads of its buckets.
+STARS = 3
 _SPACED = word_bytes(SPACE)
 
 
@@ -202,17 +202,21 @@ def set_elements(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return wanted.mapInArrow(run, "doc_id long, elements array<bigint>")
 
 
-def may_link(n_a: Column, s_a: Column, n_b: Column, s_b: Column, threshold: int) -> Column:
-    """False only for pairs below the threshold: sizes, then differing bits of the odd sketches.
+def differing_bits(s_a: Column, s_b: Column) -> Column:
+    """Bits in which two odd sketches differ: at most the differing elements.
 
-    Sketches of different length differ by one fold at most, as the sizes are then within 1/threshold.
+    The longer one is folded; sizes of similar sets are so near that one fold is enough.
     """
-    near = (100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b))
     folded = lambda s, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: s[i].bitwiseXOR(s[i + n]))
     size_a, size_b = F.size(s_a), F.size(s_b)
     a = F.when(size_a > size_b, folded(s_a, size_b)).otherwise(s_a)
     b = F.when(size_b > size_a, folded(s_b, size_a)).otherwise(s_b)
-    bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+
+def may_link(n_a: Column, n_b: Column, bits: Column, threshold: int) -> Column:
+    """False only for pairs below the threshold: sizes, then differing bits."""
+    near = 100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b)
     return near & (bits * (100 + threshold) <= (100 - threshold) * (n_a + n_b))
 
 
@@ -229,6 +233,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataF
 
 def similar(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """`docs(doc_id, text)` to doc_id, n_shingles, component_id, a row for each row."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = saved(set_rows(docs, n), "sets")
     known = sets.where("n > 0 and doc_id is not null")
@@ -258,8 +263,9 @@ def similar(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     facts = known.groupBy("doc_id").agg(F.max(F.struct("n", "sketch")).alias("s")).select("doc_id", "s.n", "s.sketch")
     one_set = facts.join(several, "doc_id", "left_anti").union(several.select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("array<bigint>")))
     side = lambda c: one_set.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    passes = F.coalesce(may_link(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"), threshold), F.lit(True))
-    near = stars.join(side("a"), "a").join(side("b"), "b").where(passes).select("a", "b", F.abs(F.col("n_a") - F.col("n_b")).alias("far"))
+    apart = differing_bits(F.col("s_a"), F.col("s_b"))
+    passes = F.coalesce(may_link(F.col("n_a"), F.col("n_b"), apart, threshold), F.lit(True))
+    near = stars.join(side("a"), "a").join(side("b"), "b").where(passes).select("a", "b", apart.alias("far"))
     best = near.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("far", "b"))), 1, STARS).alias("bs")).select("a", F.explode("bs.b").alias("b"))
     first = saved(verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, n, threshold).union(same), "first-links")
     labels = saved(components(first), "first-components")
@@ -275,7 +281,7 @@ def similar(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     spread = saved(spread.select("sig", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut", "doc_id", "label", "n", "sketch"), "open")
     a, b = spread.alias("p"), spread.alias("q")
     meet = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.label") != F.col("q.label"))
-    meet = meet & F.coalesce(may_link(F.col("p.n"), F.col("p.sketch"), F.col("q.n"), F.col("q.sketch"), threshold), F.lit(True))
+    meet = meet & F.coalesce(may_link(F.col("p.n"), F.col("q.n"), differing_bits(F.col("p.sketch"), F.col("q.sketch")), threshold), F.lit(True))
     rest = a.join(b, meet).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
     second = verified(rest, docs, n, threshold)
     final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
