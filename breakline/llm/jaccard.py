@@ -11,9 +11,9 @@ hashes), of which similar sets share one. No pair is lost.
 
 Buckets: a block of documents sends one head per signature and names its local members directly, so a
 signature that a third of all documents hold is combined before the shuffle. Links are then found in
-two steps. First every member is compared with the smallest and the largest head of its buckets.
-Components of these links label the documents; in buckets that still hold several labels, all pairs of
-different labels are compared, in blocks. Each comparison first passes a lossless filter: the odd
+steps. First every member is compared with the smallest and the largest head of its buckets.
+Components of these links label the documents; in buckets that still hold several labels, first one
+member of each label is compared, then all pairs of different labels, in blocks. Each comparison first passes a lossless filter: the odd
 sketch (one flipped bit per element), whose differing bits are at most the differing elements. What is
 left is verified on the sets themselves.
 
@@ -231,6 +231,27 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataF
     return both.where(100 * common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
+def meeting(rows: DataFrame, facts: DataFrame, threshold: int) -> DataFrame:
+    """`rows(sig, doc_id, label)` to pairs of equal sig and different label that pass the filter: a, b, their
+    labels p, q, and bits.
+
+    Large buckets are cut by hash of doc_id: rows of cut i meet those of cut j in the pair (min, max).
+    """
+    cuts = rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).cast("int").alias("cuts"))
+    cut = rows.join(cuts, "sig").withColumn("cut", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
+    spread = cut.join(facts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    spread = saved(spread.select("sig", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut", "doc_id", "label", "n", "sketch"), "spread")
+    x, y = spread.alias("x"), spread.alias("y")
+    test = F.col("x.doc_id") < F.col("y.doc_id")
+    for c in ("sig", "i", "j"):
+        test = test & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    test = test & ((F.col("x.cut") != F.col("y.cut")) | (F.col("x.i") == F.col("x.j")))  # rows of one cut meet once
+    bits = differing_bits(F.col("x.sketch"), F.col("y.sketch"))
+    test = test & (F.col("x.label") != F.col("y.label")) & F.coalesce(may_link(F.col("x.n"), F.col("y.n"), bits, threshold), F.lit(True))
+    labels = F.least("x.label", "y.label").alias("p"), F.greatest("x.label", "y.label").alias("q")
+    return x.join(y, test).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), *labels, bits.alias("bits"))
+
+
 def similar(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """`docs(doc_id, text)` to doc_id, n_shingles, component_id, a row for each row."""
     small_batches(docs.sparkSession)
@@ -270,23 +291,24 @@ def similar(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     first = saved(verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, n, threshold).union(same), "first-links")
     labels = saved(components(first), "first-components")
 
-    # Step 2: buckets that hold several labels.
-    members = by_class(buckets.select("sig", "doc_id").distinct(), "doc_id").distinct()
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    labelled = saved(labelled, "members")
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("held")).where("l <> h").select("sig", F.ceil(F.col("held") / BUCKET_BLOCK).cast("int").alias("cuts"))
-    open_ = labelled.join(mixed, "sig").withColumn("cut", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
-    # Rows of cut i meet those of cut j in the pair (min, max).
-    spread = open_.join(side("doc_id").withColumnsRenamed({"n_doc_id": "n", "s_doc_id": "sketch"}), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    spread = saved(spread.select("sig", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut", "doc_id", "label", "n", "sketch"), "open")
-    a, b = spread.alias("p"), spread.alias("q")
-    meet = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.label") != F.col("q.label"))
-    meet = meet & F.coalesce(may_link(F.col("p.n"), F.col("q.n"), differing_bits(F.col("p.sketch"), F.col("q.sketch")), threshold), F.lit(True))
-    rest = a.join(b, meet).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
-    second = verified(rest, docs, n, threshold)
-    final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
-
-    found = maybe_broadcast(final, final.count())
+    # Step 2: buckets that hold several labels: first one member of each label, then all.
+    members = saved(by_class(buckets.select("sig", "doc_id").distinct(), "doc_id").distinct(), "members")
+    facts_of = side("doc_id").withColumnsRenamed({"n_doc_id": "n", "s_doc_id": "sketch"})
+    for pick in (F.min, F.max, None):
+        labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+        mixed = labelled.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("sig")
+        open_ = labelled.join(mixed, "sig", "left_semi")
+        if pick is not None:
+            open_ = open_.groupBy("sig", "label").agg(pick("doc_id").alias("doc_id"))
+        pairs = meeting(saved(open_, "open"), facts_of, threshold)
+        if pick is not None:
+            # A few links are enough to join two labels.
+            best = pairs.groupBy("p", "q").agg(F.slice(F.sort_array(F.collect_set(F.struct("bits", "a", "b"))), 1, STARS).alias("best"))
+            pairs = best.select(F.explode("best").alias("x")).select("x.a", "x.b")
+        links = verified(pairs.select("a", "b").distinct(), docs, n, threshold)
+        labels = saved(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "labels")
+
+    found = maybe_broadcast(labels, labels.count())
     own = sets.select("doc_id", F.col("n").alias("n_shingles"), F.col("n") > 0).toDF("doc_id", "n_shingles", "linked")
     out = own.join(to_rep, "doc_id", "left").withColumn("node", F.when(F.col("linked"), F.coalesce("rep", "doc_id")))
     out = out.join(found, "node", "left")
