@@ -25,7 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that of the smallest doc_id; rows without doc_id stay."""
+    """One document of each component: that of the smallest doc_id.
+
+    Rows of one doc_id are one document and stay together; rows without doc_id stay.
+    """
     found = jaccard.similar(docs, SHINGLE, SIMILARITY)
     extra = saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     kept = docs.join(maybe_broadcast(extra, extra.count()), "doc_id", "left_anti")
