@@ -2,7 +2,9 @@
 
 Each family has a label, the SPDX ids that stand for it, a title pattern and, for most, a URL or
 notice pattern. A rule is made for each form of each family; the forms differ in priority. All
-patterns are matched on lower-cased text. `need` is a literal that every match of the pattern holds.
+patterns are matched on lower-cased text whose white space is collapsed (SPACE), so names and notices
+may be wrapped, also inside comments. `need` is a literal that every match of the pattern holds. A
+rule with a group claims the group only: the SPDX rules claim one id each of an expression.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ lgpl-2.0 | lgpl-2\.0(?:-only|-or-later)? | library general ; gnu library general
 lgpl-2.1 | lgpl-2\.1(?:-only|-or-later)? | lesser general ; gnu lesser general public licen[cs]e,? v(?:ersion)?\.? ?2\.1 | licenses/lgpl-2.1 ; gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1[-\w.]*
 lgpl-3.0 | lgpl-3\.0(?:-only|-or-later)? | lesser general ; gnu lesser general public licen[cs]e(?:,? v(?:ersion)?\.? ?3(?:\.0)?)? | licenses/lgpl-3 ; gnu\.org/licenses/lgpl-3\.0[-\w.]*
 gfdl-1.3 | gfdl-1\.[123](?:-only|-or-later)? | free documentation ; gnu free documentation licen[cs]e(?:,? v(?:ersion)?\.? ?1\.[123])? | licenses/fdl ; gnu\.org/licenses/fdl[-\w.]*
-apache-1.1 | apache-1\.[01] | apache ; apache (?:software )?licen[cs]e,? v(?:ersion)?\.? ?1\.[01] | license-1.1 ; apache\.org/licenses/license-1\.[01]
+apache-1.1 | apache-1\.[01] | apache ; apache (?:software )?licen[cs]e,? v(?:ersion)?\.? ?1\.[01] | apache.org ; apache\.org/licenses/license-1\.[01]
 apache-2.0 | apache-2\.0 | apache ; apache (?:software )?licen[cs]e,? v(?:ersion)?\.? ?2(?:\.0)? | license-2.0 ; apache\.org/licenses/license-2\.0
 apache | apache | apache ; apache (?:software )?licen[cs]e | apache.org/licenses ; apache\.org/licenses/?
 mit | mit | mit ; \bmit licen[cs]e | licenses/mit ; opensource\.org/licenses/mit\b
 mit-0 | mit-0 | mit ; \bmit no attribution(?: licen[cs]e)? | licenses/mit-0 ; opensource\.org/licenses/mit-0
-x11 | x11 | x11 ; \bx11 licen[cs]e | without restriction ; permission is hereby granted, free of charge, to any person obtaining a copy[^\n]{0,400}without restriction
+x11 | x11 | x11 ; \bx11 licen[cs]e | without restriction ; permission is hereby granted, free of charge, to any person obtaining a copy.{0,400}?without restriction
 isc | isc | isc ; \bisc licen[cs]e | licenses/isc ; opensource\.org/licenses/isc\b
 bsd-1-clause | bsd-1-clause | bsd ; \bbsd[- ](?:1|one)[- ]clause(?: licen[cs]e)? | licenses/bsd-1 ; opensource\.org/licenses/bsd-1-clause
 bsd-2-clause | bsd-2-clause | bsd ; \b(?:simplified bsd|freebsd|bsd[- ](?:2|two)[- ]clause)(?: licen[cs]e)? | licenses/bsd-2 ; opensource\.org/licenses/bsd-2-clause
@@ -65,7 +67,7 @@ cc-by-nd | cc-by-nd | noderiv ; creative commons attribution[- ]noderiv\w* | att
 cc-by-4.0 | cc-by | creative commons ; creative commons attribution(?: [1234]\.0)? | under a creative commons ; under a creative commons licen[cs]e
 ofl-1.1 | ofl-1\.[01](?:-no-rfn|-rfn)? | open font ; (?:sil )?open font licen[cs]e(?:,? v(?:ersion)?\.? ?1\.[01])? | sil.org/ofl ; scripts\.sil\.org/ofl
 odbl-1.0 | odbl-1\.0 | open database ; open database licen[cs]e | odbl ; opendatacommons\.org/licenses/odbl
-odc-by-1.0 | odc-by-1\.0 | open data commons ; open data commons attribution licen[cs]e | licenses/by/1 ; opendatacommons\.org/licenses/by
+odc-by-1.0 | odc-by-1\.0 | open data commons ; open data commons attribution licen[cs]e | opendatacommons ; opendatacommons\.org/licenses/by
 pddl-1.0 | pddl-1\.0 | public domain dedication ; (?:open data commons )?public domain dedication (?:and|&) licen[cs]e | licenses/pddl ; opendatacommons\.org/licenses/pddl
 eupl-1.1 | eupl-1\.[01] | european union ; european union public licen[cs]e,? v(?:ersion)?\.? ?1\.[01] | eupl-1.1 ; \beupl-1\.1\b
 eupl-1.2 | eupl-1\.2 | european union ; european union public licen[cs]e(?:,? v(?:ersion)?\.? ?1\.2)? | eupl-1.2 ; \beupl-1\.2\b
@@ -77,7 +79,7 @@ ms-rl | ms-rl | microsoft ; microsoft reciprocal licen[cs]e | licenses/ms-rl ; o
 apsl-2.0 | apsl-[12]\.[012] | apple ; apple public source licen[cs]e | licenses/apsl ; opensource\.org/licenses/apsl-2\.0
 ipl-1.0 | ipl-1\.0 | ibm ; ibm public licen[cs]e | licenses/ipl ; opensource\.org/licenses/ipl-1\.0
 ncsa | ncsa | ncsa ; (?:university of illinois/)?ncsa (?:open source )?licen[cs]e | licenses/ncsa ; opensource\.org/licenses/ncsa
-psf-2.0 | (?:psf|python)-2\.0(?:\.1)? | python ; python (?:software foundation )?licen[cs]e(?: agreement)? | licenses/psf ; docs\.python\.org/\S*/license
+psf-2.0 | (?:psf|python)-2\.0(?:\.1)? | python ; python (?:software foundation )?licen[cs]e(?: agreement)? | docs.python.org ; docs\.python\.org/\S*/license
 php-3.01 | php-3\.0?1? | php ; \bphp licen[cs]e(?:,? v(?:ersion)?\.? ?3\.01)? | php.net/license ; php\.net/license/3_01\.txt
 ruby | ruby | ruby ; \bruby licen[cs]e | ruby-lang ; ruby-lang\.org/\S*license
 postgresql | postgresql | postgresql ; \bpostgresql licen[cs]e | licenses/postgresql ; opensource\.org/licenses/postgresql
@@ -89,29 +91,34 @@ blueoak-1.0.0 | blueoak-1\.0\.0 | blue oak ; blue oak model licen[cs]e | blueoak
 beerware | beerware | beerware ; \bbeerware licen[cs]e | buy me a beer ; can buy me a beer in return
 json | json | json ; \bjson licen[cs]e | not evil ; shall be used for good, not evil
 lppl-1.3c | lppl-1\.[0123][ac]? | latex ; latex project public licen[cs]e | lppl ; latex-project\.org/lppl
-openrail | (?:bigscience-|creativeml-)?openrail(?:-m|\+\+)? | openrail ; \b(?:bigscience |creativeml )?open ?rail(?:-m|\+\+)?(?: licen[cs]e)? | responsible ai ; responsible ai licen[cs]e
+openrail | (?:bigscience-|creativeml-)?openrail(?:-m|\+\+)? | rail ; \b(?:bigscience |creativeml )?open ?rail(?:-m|\+\+)?(?: licen[cs]e)? | responsible ai ; responsible ai licen[cs]e
 llama-community | llama[23](?:\.\d)? | llama ; llama [23](?:\.\d)? community licen[cs]e(?: agreement)? | llama.meta.com ; llama\.meta\.com/llama[23](?:_\d)?/license
 """
 
 #: Priority and confidence of each form.
 FORMS = {"spdx": (3, 0.99), "url": (2, 0.9), "title": (1, 0.8)}
 
+#: What becomes one space: runs of white space, and a line's end with the comment marks of the next line.
+SPACE = r"[\s\xa0]*[\r\n][\s\xa0*#/;%>|-]*|[\s\xa0]{2,}|[\t\x0b\f\xa0]"
+#: The tag, and the ids and operators of an expression before an id.
+SPDX = r"spdx-license-identifier\s*:[\s(]*(?:[-\w.+:]+(?:[\s()]+(?:and|or|with)[\s()]+|[\s()]*[,/][\s()]*)){0,200}?"
+
 #: Every rule's pattern holds one of these literals; a text without any of them skips the rules.
 ANCHORS = ("licen", "spdx", "creative", "attribution", "public domain", "publicdomain", "cc by", "cc-by", "cc0", "wtfpl", "eupl", "bsd", "permission is hereby", "redistribution and use",
            "advertising materials", "mpl/", "epl-", "edl-", "sil.org/ofl", "mariadb.com/bsl", "openrail", "open rail", "mit no", "consortium/legal", "uganda", "buy me a beer", "not evil", "lppl")
 
 
 def rules() -> list[dict]:
-    """One dict per rule: label, need, pattern, priority, confidence, ordinal."""
+    """One dict per rule: label, need, pattern, priority, confidence, ordinal, grouped."""
     out: list[dict] = []
 
     def add(label: str, form: str, need: str, pattern: str) -> None:
         priority, confidence = FORMS[form]
-        out.append({"label": label, "need": need, "pattern": pattern, "priority": priority, "confidence": confidence, "ordinal": len(out)})
+        out.append({"label": label, "need": need, "pattern": pattern, "priority": priority, "confidence": confidence, "ordinal": len(out), "grouped": form == "spdx"})
 
     for line in _FAMILIES.strip().split("\n"):
         label, spdx, title, url = (x.strip() for x in line.split(" | "))
-        add(label, "spdx", "spdx-license-identifier", rf"spdx-license-identifier:\s*(?:{spdx})(?![-\w.])")
+        add(label, "spdx", "spdx-license-identifier", rf"{SPDX}({spdx})(?![-\w]|\.\w)")
         add(label, "url", *(x.strip() for x in url.split(" ; ")))
         add(label, "title", *(x.strip() for x in title.split(" ; ")))
     return out

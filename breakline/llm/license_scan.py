@@ -1,8 +1,8 @@
 """License scan by ordered signature rules, with DataFrame functions only.
 
-A text first meets literal anchors; only a text with one of them is matched against the rules whose
-own literal it holds. Every match is an interval with the priority of its rule. Intervals are swept
-in order of start: one that lies inside an interval of higher priority, or of the same priority and
+White space is collapsed, then a text meets literal anchors; only a text with one of them is matched
+against the rules whose own literal it holds. Every match is an interval with the priority of its
+rule; each id of an SPDX expression is one. Intervals are swept in order of start: one that lies inside an interval of higher priority, or of the same priority and
 no shorter, is suppressed. The labels of what is left are the method's labels. Base phrases are
 counted separately, word by word, and always stay.
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .license_rules import ANCHORS, rules
+from .license_rules import ANCHORS, SPACE, rules
 
 # Phrase: label.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -41,17 +41,18 @@ def places(words: Column, phrase: str) -> Column:
 
 
 def intervals(low: Column, rule: Column) -> Column:
-    """All matches of a rule as `array<struct<from, stop>>`: between the pieces of a split."""
+    """What each match of a rule claims, its group or all of it, as `array<struct<from, stop>>`: matches lie between the pieces of a split."""
     pieces = F.split(low, rule["pattern"], -1)
     hits = F.regexp_extract_all(low, rule["pattern"], F.lit(0))
+    claims = F.when(rule["grouped"], F.regexp_extract_all(low, rule["pattern"], F.lit(1))).otherwise(hits)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,stop:int>>").alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["piece"])
         stop = begin + F.length(pair["hit"])
-        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(F.struct(begin.alias("from"), stop.alias("stop")))).alias("found"))
+        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(F.struct((stop - F.length(pair["claim"])).alias("from"), stop.alias("stop")))).alias("found"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(hits)), F.arrays_zip(hits.alias("hit"), claims.alias("claim")), lambda p, h: F.struct(p.alias("piece"), h["hit"].alias("hit"), h["claim"].alias("claim")))
     return F.aggregate(pairs, start, step, lambda acc: acc["found"])
 
 
@@ -94,7 +95,8 @@ def surviving(found: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """`docs(doc_id, text)` to doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low = F.lower("text")
+    text = text.select("doc_id", "text", F.regexp_replace(F.lower("text"), SPACE, " ").alias("low"))
+    low = F.col("low")
     gated = text.select(
         "doc_id",
         F.regexp_count("text", F.lit(f"[^{RAW_GAP}]+")).cast("long").alias("n_words"),
