@@ -11,7 +11,7 @@ from breakline.config import CallConfig
 from breakline.functions import cigar as C
 from breakline.operators import annotate, clusters, coverage, evidence, phasing, sampling, segments
 from breakline.operators import junctions as J
-from breakline.plans import calling
+from breakline.plans import calling, phase
 from breakline.plans import fixtures as X
 from breakline.shared import saved
 from breakline.sources import vcf
@@ -20,7 +20,7 @@ from breakline.streaming.sessions import sessions
 CONFIG = CallConfig()
 SIDES = ["qname", "clip", "rname1", "pos1", "flag1", "mapq1", "pid1", "rname2", "pos2", "flag2", "mapq2", "pid2", "gap", "rlength"]
 VARIANT = ["svtype", "chr", "chr2", "flag1", "flag2", "dv", "pos", "end"]
-#: Window of the phasing queries, and the least support of a phased variant there.
+#: Window of phase_matrix and phase_similarity, and the least support of a variant there, as in their SQL.
 PHASE_WINDOW, PHASE_SUPPORT = 1500, 4
 
 
@@ -191,17 +191,22 @@ def snp_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phasing.accepted(_alleles(spark, sf_dir), CONFIG).select("chr", "pos", "total", "base1", "base2")
 
 
+def _snps(calls: DataFrame) -> DataFrame:
+    """Here a SNP is a grid position with two bases."""
+    return calls.groupBy("chr", "pos").agg(F.countDistinct("base").alias("n")).where("n >= 2").select("chr", "pos")
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads by SNPs around heterozygous breakends; here a SNP is a grid position with two bases."""
-    rows = X.segments(spark, sf_dir)
+    """Reads by SNPs around well-supported heterozygous breakends, as the SQL has them; phase_cluster takes all."""
+    rows = saved(X.segments(spark, sf_dir), "segments")
     made, found = calling.detect(rows, CONFIG)
     spanning = saved(evidence.reference_reads(found, rows, CONFIG), "reference-reads")
     gt = evidence.support(made, found, evidence.hanging_support(found, J.hanging_ends(rows, CONFIG), CONFIG), spanning)
     het = saved(found.join(gt.where("gt = '0/1'").select("sv_id"), "sv_id", "left_semi").where((F.col("svtype") == "BND") & (F.col("dv") >= PHASE_SUPPORT)), "het")
     config = CallConfig(phasing_window=PHASE_WINDOW)
     windows = het.select("sv_id", F.explode(annotate.phasing_windows(config)).alias("w"), "flag1", "flag2").select("sv_id", "w.*", F.when(F.col("w.bp_side") == 0, F.col("flag1")).otherwise(F.col("flag2")).alias("flag"))
-    calls = X.pileup(spark, sf_dir)
-    snps = calls.groupBy("chr", "pos").agg(F.countDistinct("base").alias("n")).where("n >= 2").select("chr", "pos")
+    calls = saved(X.pileup(spark, sf_dir), "pileup")
+    snps = _snps(calls)
     named = rows.select("qname", "clip", "pos", "stop")
     key = F.concat_ws(";", F.col("qname").cast("string"), F.col("clip").cast("string"))
     ref = spanning.join(het.select("sv_id"), "sv_id", "left_semi").select("sv_id", "bp_side", "qname", "clip", F.lit(0).alias("is_sv"))
@@ -215,17 +220,16 @@ def phase_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir)
 
 
-def _one_row(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("sv_id", "bp_side", "seg_key", "snp").agg(F.max("is_sv").alias("is_sv"), F.max("base").alias("base"))
-
-
 def phase_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phasing.similarities(_cells(spark, sf_dir)).select("sv_id", "bp_side", "read_a", "read_b", F.round("similarity", 9).alias("similarity"))
 
 
 def phase_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the purer side of each variant. A read that is both alternative and reference counts as alternative."""
-    return phasing.best_scores(phasing.scores(_one_row(_cells(spark, sf_dir)), CONFIG))
+    """Scores of the purer side of every heterozygous variant; 0 and no p-value where no SNP is near."""
+    rows, calls = saved(X.segments(spark, sf_dir), "segments"), saved(X.pileup(spark, sf_dir), "pileup")
+    made = calling.call(rows, CONFIG)  # retyping by depth changes neither genotypes nor cells
+    scored = phase.phased(made, rows, _snps(calls), calls, CONFIG).where("gt = '0/1'")
+    return scored.select("sv_id", F.col("purity_score").alias("purity"), F.col("phasing_score").alias("phasing"), F.col("phasing_pvalue").alias("pvalue"), "snps_used")
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
