@@ -11,7 +11,8 @@ Edge cases: a vector that is null, empty, or holds a null or non-finite componen
 vector of another length than the query takes no part in that query; ties go to the smaller vec_id;
 repeated rows are repeated candidates, a repeated query vec_id is one query, and no row finds its own vec_id; fewer than k candidates
 give all of them; a null vec_id takes no part. Sums are exact while |floor(64 x)| < 2^23 for 64
-dimensions; larger components fall back to Python integers and saturate at 64 bits.
+dimensions; larger components fall back to Python integers. Components and scores beyond 64 bits
+saturate, and saturated scores are ties.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ HITS = "query_id long, vec_id long, score long"
 
 
 def integers(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: array<bigint> of floor(64 x), for the rows that take part."""
+    """vec_id, v: array<bigint> of floor(64 x), saturated, for the rows that take part."""
     x = F.transform("embedding", lambda e: F.floor(F.lit(float(SCALE)) * e.cast("double")).cast("long"))
-    fine = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < 1e15))
+    fine = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     return vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & fine).select("vec_id", x.alias("v"))
 
 
@@ -84,14 +85,14 @@ def plain(q: list, q_ids: list, v: list, v_ids: list, k: int = K) -> tuple[list,
     """The same for components too large for float64."""
     out: tuple[list, list, list] = ([], [], [])
     for x, i in zip(q, q_ids, strict=True):
-        best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for y, j in zip(v, v_ids, strict=True) if j != i)[:k]
-        for s, j in best:
-            out[0].append(i), out[1].append(j), out[2].append(max(-(2**63), min(2**63 - 1, -s)))
+        score = lambda y: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y, strict=True))))  # noqa: B023, E731
+        for s, j in sorted((-score(y), j) for y, j in zip(v, v_ids, strict=True) if j != i)[:k]:
+            out[0].append(i), out[1].append(j), out[2].append(-s)
     return out
 
 
-def block_pair(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Queries of a block against vectors of a block; lengths are kept apart."""
+def block_pair(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """Best k of a block of vectors for each query of a block; lengths are kept apart."""
     left, right = left.select(["vec_id", "v"]), right.select(["vec_id", "v"])
     got: tuple[list, list, list] = ([], [], [])
     if left.num_rows and right.num_rows:
@@ -104,7 +105,7 @@ def block_pair(left: pa.Table, right: pa.Table) -> pa.Table:
                 continue
             qv, vv = matrix(a["v"].combine_chunks()), matrix(b["v"].combine_chunks())
             exact = np.abs(qv).max() * np.abs(vv).max() * int(n) < 2**52
-            found = search(qv, a["vec_id"].to_numpy(), vv, b["vec_id"].to_numpy()) if exact else plain(a["v"].to_pylist(), a["vec_id"].to_pylist(), b["v"].to_pylist(), b["vec_id"].to_pylist())
+            found = search(qv, a["vec_id"].to_numpy(), vv, b["vec_id"].to_numpy(), k) if exact else plain(a["v"].to_pylist(), a["vec_id"].to_pylist(), b["v"].to_pylist(), b["vec_id"].to_pylist(), k)
             for x, y in zip(got, found, strict=True):
                 x.extend(y)
     return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.int64())})
@@ -118,7 +119,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     q = queries.select("vec_id", "v", block(q_blocks, 0).alias("qb"), each(v_blocks).alias("vb"))
     v = vectors.select("vec_id", "v", block(v_blocks, 1).alias("vb"), each(q_blocks).alias("qb"))
-    pairs = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(block_pair, HITS)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        return block_pair(left, right, k)
+
+    pairs = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(best, HITS)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
