@@ -6,12 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OP = "struct<len:bigint,op:string>"
+# Fixed values of the format.
+KINDS = "MIDNSHP=X"
 
 
 def operations(cigar: Column) -> Column:
-    """`array<struct<len, op>>`."""
-    sizes = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MIDNSHP=X]"), F.lit(1)), lambda x: x.cast("long"))
-    return F.zip_with(sizes, F.regexp_extract_all(cigar, F.lit(r"\d+([MIDNSHP=X])"), F.lit(1)), lambda n, op: F.struct(n.alias("len"), op.alias("op")))
+    """`array<struct<len, op>>`; empty for '*' and null."""
+    known = F.when(cigar != "*", cigar).otherwise("")
+    sizes = F.filter(F.split(F.translate(known, KINDS, " " * len(KINDS)), " "), lambda x: x != "")
+    kinds = F.filter(F.split(F.translate(known, "0123456789", ""), ""), lambda x: x != "")
+    return F.zip_with(sizes, kinds, lambda n, op: F.struct(n.cast("long").alias("len"), op.alias("op")))
+
+
+def running(values: Column, block: int = 64) -> Column:
+    """For each of the numbers the sum of those before it, in two levels: a step copies no long array."""
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+
+    def sums(xs: Column) -> Column:
+        start = F.struct(zero.alias("at"), none.alias("done"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["done"], F.array(acc["at"])).alias("done")), lambda acc: acc["done"])
+
+    of = lambda xs: F.aggregate(xs, zero, lambda acc, x: acc + x)
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(block))
+    parts = F.transform(firsts, lambda i: F.slice(values, i, block))
+    return F.flatten(F.zip_with(sums(F.transform(parts, of)), parts, lambda base, part: F.transform(sums(part), lambda x: base + x)))
 
 
 def total(ops: Column, kinds: str) -> Column:
@@ -53,22 +71,53 @@ def identity(md: Column, ops: Column, aligned: Column) -> Column:
     return F.when(md.isNotNull(), share(md_matches(md))).otherwise(F.when(equal == 0, share(total(ops, "M"))).otherwise(equal))
 
 
-def chunks(ops: Column, least: int) -> Column:
-    """Cut at every D or I of at least `least`: `array<struct<ops, d, i>>`, d and i its separator behind."""
-    piece = f"array<struct<ops:array<{OP}>,d:bigint,i:bigint>>"
-    start = F.struct(F.array().cast(f"array<{OP}>").alias("now"), F.array().cast(piece).alias("done"))
+def cuts(ops: Column, least: int) -> Column:
+    """Places, from 0, of the D and I operations of at least `least`."""
+    return F.filter(F.transform(ops, lambda o, i: F.when(o["op"].isin("D", "I") & (o["len"] >= least), i)), lambda i: i.isNotNull())
+
+
+def pieces(ops: Column, at: Column) -> Column:
+    """The runs of operations between the places `at`: one more than there are places."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(at, lambda i: i + 1))
+    ends = F.concat(at, F.array(F.size(ops)))
+    return F.zip_with(starts, ends, lambda a, b: F.slice(ops, a + 1, b - a))
+
+
+def sums(ops: Column) -> Column:
+    """`struct<qal, span, eq, m>` of a run: aligned read bases, reference bases, `=` and M."""
     zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("qal"), zero.alias("span"), zero.alias("eq"), zero.alias("m"))
+    add = lambda acc, name, o, kinds: (acc[name] + F.when(o["op"].isin(list(kinds)), o["len"]).otherwise(zero)).alias(name)
+    return F.aggregate(ops, start, lambda acc, o: F.struct(add(acc, "qal", o, "MI=X"), add(acc, "span", o, "MD=X"), add(acc, "eq", o, "="), add(acc, "m", o, "M")))
+
+
+def share(matches: Column, equal: Column, aligned_m: Column, aligned: Column) -> Column:
+    """Share of identical bases, 3 decimals, from counts: MD's, else `=`, else M; null if nothing is aligned."""
+    part = lambda n: rounded3(F.try_divide(n.cast("double"), aligned.cast("double")))
+    same = part(equal)
+    return F.when(matches.isNotNull(), part(matches)).otherwise(F.when(same == 0, part(aligned_m)).otherwise(same))
+
+
+def read_index(ops: Column, gap: int = -1, skip: int = -2) -> Column:
+    """For each reference base of the alignment the place of its read base; `gap` in D, `skip` in N."""
+    uses = F.transform(ops, lambda o: F.when(o["op"].isin(list("MIS=X")), o["len"]).otherwise(F.lit(0).cast("long")))
+    placed = F.zip_with(ops, running(uses), lambda o, at: F.struct(o.alias("o"), at.alias("at")))
+    many = F.filter(placed, lambda x: x["o"]["op"].isin(list("MDN=X")) & (x["o"]["len"] > 0))
+    last = lambda x: (x["at"] + x["o"]["len"] - 1).cast("int")
+    other = lambda x: F.array_repeat(F.when(x["o"]["op"] == "D", F.lit(gap)).otherwise(F.lit(skip)), x["o"]["len"].cast("int"))
+    return F.flatten(F.transform(many, lambda x: F.when(x["o"]["op"].isin(list("M=X")), F.sequence(x["at"].cast("int"), last(x))).otherwise(other(x))))
+
 
-    def row(now: Column, x: Column | None) -> Column:
-        d = zero if x is None else F.when(x["op"] == "D", x["len"]).otherwise(zero)
-        i = zero if x is None else F.when(x["op"] == "I", x["len"]).otherwise(zero)
-        return F.array(F.struct(now.alias("ops"), d.alias("d"), i.alias("i")))
+def md_mismatches(md: Column) -> Column:
+    """Offsets, in reference bases without skipped ones, of the mismatches of an MD string."""
+    parts = F.regexp_extract_all(md, F.lit(r"(\d+|\^[A-Za-z]+|[A-Za-z])"), F.lit(1))
+    width = lambda x: F.when(x.rlike(r"^\d"), x.try_cast("long")).when(x.startswith("^"), F.length(x) - 1).otherwise(F.lit(1)).cast("long")
+    placed = F.zip_with(parts, running(F.transform(parts, width)), lambda x, at: F.when(x.rlike("^[A-Za-z]$"), at))
+    return F.filter(placed, lambda x: x.isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        cut = x["op"].isin("D", "I") & (x["len"] >= least)
-        return F.struct(
-            F.when(cut, F.array().cast(f"array<{OP}>")).otherwise(F.concat(acc["now"], F.array(x))).alias("now"),
-            F.when(cut, F.concat(acc["done"], row(acc["now"], x))).otherwise(acc["done"]).alias("done"),
-        )
 
-    return F.aggregate(ops, start, step, lambda acc: F.concat(acc["done"], row(acc["now"], None)))
+def offsets_of(ops: Column, kind: str) -> Column:
+    """Offsets, in all reference bases, of the bases of operations of a kind (X or D)."""
+    uses = F.transform(ops, lambda o: F.when(o["op"].isin(list("MDN=X")), o["len"]).otherwise(F.lit(0).cast("long")))
+    placed = F.filter(F.zip_with(ops, running(uses), lambda o, at: F.struct(o.alias("o"), at.alias("at"))), lambda x: (x["o"]["op"] == kind) & (x["o"]["len"] > 0))
+    return F.flatten(F.transform(placed, lambda x: F.sequence(x["at"], x["at"] + x["o"]["len"] - 1)))

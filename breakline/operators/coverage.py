@@ -29,11 +29,30 @@ def depth_runs(blocks: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
 
 def depth_at(positions: DataFrame, runs: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """`positions(rname, position, ...)` with `depth`, 0 where nothing covers."""
-    at = positions.withColumn("_s", F.floor(F.col("position") / stretch).cast("long"))
-    r = runs.where("depth > 0").select(F.col("rname").alias("_r"), F.col("stretch").alias("_t"), F.col("start").alias("_a"), F.col("stop").alias("_b"), "depth")
-    met = at.join(r, (F.col("rname") == F.col("_r")) & (F.col("_s") == F.col("_t")) & F.col("position").between(F.col("_a"), F.col("_b")), "left")
-    return met.drop("_s", "_r", "_t", "_a", "_b").na.fill(0, ["depth"])
+    """`positions(rname, position, ...)` with `depth`, 0 where nothing covers.
+
+    Distinct positions and starts of runs are put in one order inside each stretch; a position takes the
+    depth of the last start before it, so the work is a sort however deep the coverage is.
+    """
+    asked = positions.select("rname", "position").distinct()
+    known = asked.select("rname", F.floor(F.col("position") / stretch).cast("long").alias("stretch"), F.col("position").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("d"))
+    # A run that ends inside the stretch is followed by another one, or by depth 0.
+    begins = runs.select("rname", "stretch", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("kind"), F.col("depth").cast("long").alias("d")), F.struct((F.col("stop") + 1).alias("at"), F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("d")))).alias("e")).select("rname", "stretch", "e.*")
+    w = Window.partitionBy("rname", "stretch").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = begins.unionByName(known).withColumn("depth", F.last("d", ignorenulls=True).over(w)).where("kind = 1").select("rname", F.col("at").alias("position"), "depth")
+    return positions.join(found, ["rname", "position"], "left").na.fill(0, ["depth"])
+
+
+def interval_histogram(intervals: DataFrame, runs: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """depth, n: how many bases inside `intervals(rname, start, stop)` have each depth; a base counts once."""
+    union = depth_runs(intervals.select("rname", F.col("start").alias("pos"), "stop"), stretch).where("depth > 0").select("rname", "stretch", F.col("start").alias("a"), F.col("stop").alias("b"))
+    total = union.agg(F.sum(F.col("b") - F.col("a") + 1).alias("n"))
+    r = runs.where("depth > 0").withColumnsRenamed({"rname": "_r", "stretch": "_t"})
+    met = union.join(r, (F.col("rname") == F.col("_r")) & (F.col("stretch") == F.col("_t")) & (F.col("start") <= F.col("b")) & (F.col("stop") >= F.col("a")))
+    covered = met.groupBy(F.col("depth").cast("long").alias("depth")).agg(F.sum(F.least("stop", "b") - F.greatest("start", "a") + 1).alias("n"))
+    bare = total.select(F.lit(0).cast("long").alias("depth"), "n").unionByName(covered.select(F.lit(0).cast("long").alias("depth"), (-F.col("n")).alias("n")))
+    zero = bare.groupBy("depth").agg(F.sum("n").alias("n"))
+    return covered.unionByName(zero).where("n > 0")
 
 
 def region_depth(regions: DataFrame, runs: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -52,28 +71,29 @@ def histogram(sample: DataFrame) -> DataFrame:
     return sample.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-def depth_test(candidates: DataFrame, sample: DataFrame) -> DataFrame:
+def depth_test(candidates: DataFrame, hist: DataFrame) -> DataFrame:
     """`candidates(id, is_dup, mean_depth)` with pval: the share of the sample beyond the mean.
 
-    Running counts are kept for every whole depth up to the largest, so the share is a lookup by the
-    mean's neighbour: an equality join with as many rows as there are depths.
+    `hist(depth, n)`: the sample's histogram. Running counts are kept for every whole depth up to the
+    largest, so the share is a lookup by the mean's neighbour: an equality join with as many rows as there
+    are depths.
     """
-    total = sample.count()
+    total = hist.agg(F.sum("n")).first()[0] or 0
     w = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
-    every = sample.agg(F.max("depth").alias("top")).where("top is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long"))).alias("depth"))
-    counts = every.join(histogram(sample), "depth", "left").select(F.col("depth").alias("key"), F.sum(F.coalesce("n", F.lit(0))).over(w).alias("upto"))
+    every = hist.agg(F.max("depth").alias("top")).where("top is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long"))).alias("depth"))
+    counts = every.join(hist, "depth", "left").select(F.col("depth").alias("key"), F.sum(F.coalesce("n", F.lit(0))).over(w).alias("upto"))
     keyed = candidates.withColumn("key", F.when(F.col("is_dup"), F.floor("mean_depth")).otherwise(F.ceil("mean_depth") - 1).cast("long"))
     upto = F.coalesce("upto", F.when(F.col("key") < 0, 0).otherwise(total))
     share = F.when(F.col("is_dup"), total - upto).otherwise(upto).cast("double") / max(total, 1)
     return keyed.join(counts, "key", "left").withColumn("pval", share).drop("key", "upto")
 
 
-def retyped(variants: DataFrame, runs: DataFrame, sample: DataFrame) -> DataFrame:
+def retyped(variants: DataFrame, runs: DataFrame, hist: DataFrame) -> DataFrame:
     """Breakends on one contig whose depth stands out become DUP (both strands turned) or DEL (none)."""
     one = (F.col("svtype") == "BND") & (F.col("chr") == F.col("chr2")) & (F.col("flag1") == F.col("flag2"))
     open_ = variants.where(one).select(F.col("sv_id").alias("id"), F.col("chr").alias("rname"), F.col("pos").alias("from"), F.col("end").alias("to"), reverse(F.col("flag1")).alias("is_dup"))
     means = region_depth(open_, runs)
-    tested = depth_test(open_.select("id", "is_dup").join(means, "id"), sample).select(F.col("id").alias("sv_id"), "mean_depth", "is_dup", F.col("pval").alias("depth_pval"))
+    tested = depth_test(open_.select("id", "is_dup").join(means, "id"), hist).select(F.col("id").alias("sv_id"), "mean_depth", "is_dup", F.col("pval").alias("depth_pval"))
     out = variants.join(tested, "sv_id", "left")
     kind = F.when(F.col("depth_pval") < SIGNIFICANT, F.when(F.col("is_dup"), "DUP").otherwise("DEL")).otherwise(F.col("svtype"))
     return out.withColumn("svtype", kind).drop("is_dup")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from breakline.operators.coverage import without_masked
+from breakline.operators.coverage import depth_runs, without_masked
+from breakline.operators.range_join import range_join
+from breakline.shared import discard, saved
 
 
 def with_offsets(contigs: DataFrame) -> DataFrame:
@@ -15,16 +17,13 @@ def with_offsets(contigs: DataFrame) -> DataFrame:
 
 
 def place(offsets: DataFrame, contigs: DataFrame, column: str) -> DataFrame:
-    """Genome-wide offsets (from 0) to rname and 1-based position: the first contig whose end lies behind.
-
-    The contigs become one sorted array; each offset looks up its place in it.
-    """
-    known = with_offsets(contigs)
-    rows = known.select("rname", "before", "length").orderBy("before").collect()  # one row per contig
-    ends = F.array(*(F.struct(F.lit(r["before"] + r["length"]).alias("stop"), F.lit(r["before"]).alias("before"), F.lit(r["rname"]).alias("rname")) for r in rows))
-    found: Column = F.get(F.filter(ends, lambda e: e["stop"] > F.col(column)), F.lit(0))
-    out = offsets.withColumn("_e", found).where("_e is not null")
-    return out.withColumns({"rname": F.col("_e.rname"), "position": F.col(column) - F.col("_e.before") + 1}).drop("_e")
+    """Genome-wide offsets (from 0) to rname and 1-based position: the first contig whose end lies behind."""
+    known = with_offsets(contigs.where("length > 0"))
+    size = known.agg(F.sum("length"), F.count(F.lit(1))).first()
+    width = max(1, (size[0] or 0) // max(1, size[1]))
+    spans = known.select(F.col("rname"), F.col("before").alias("_before"), (F.col("before") + F.col("length") - 1).alias("_last"))
+    met = range_join(offsets, column, spans, "_before", "_last", [], width)
+    return met.withColumn("position", F.col(column) - F.col("_before") + 1).drop("_before", "_last")
 
 
 def merged_masks(*masks: DataFrame) -> DataFrame:
@@ -43,21 +42,25 @@ def read_mask(rows: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def sample_positions(spark: SparkSession, contigs: DataFrame, mask: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """`n` distinct unmasked positions: rname, position.
+    """`n` distinct unmasked positions: rname, position; an error if there are fewer.
 
-    Draws in rounds; each round draws what is missing, twice over. The same seed gives the same sample.
+    Draws in rounds until there are enough, each round twice as many as the last. The same seed gives the
+    same sample on every cluster.
     """
     total = contigs.agg(F.sum("length")).first()[0] or 0
-    have, got, draw = None, 0, 2 * n
-    for turn in range(20):
-        if not total or got >= n:
-            break
-        offsets = spark.range(draw).select(F.floor(F.rand(seed + turn) * total).cast("long").alias("offset"))
-        fresh = without_masked(place(offsets, contigs, "offset").select("rname", "position"), mask)
-        have = fresh if have is None else have.unionByName(fresh)
-        have = have.distinct()
-        got = have.count()
-        draw = 2 * draw
+    sizes = contigs.select("rname", "length")
+    inside = mask.join(sizes, "rname").select("rname", F.greatest("start", F.lit(1)).alias("pos"), F.least("stop", "length").alias("stop"))
+    hidden = depth_runs(inside).where("depth > 0").agg(F.sum(F.col("stop") - F.col("start") + 1)).first()[0] or 0
+    if n > total - hidden:
+        raise ValueError(f"{n} positions are asked for, {total - hidden} are not masked")
+    have, got, turn = None, 0, 0
+    while got < n:
+        draw = spark.range(2 * n << turn).select(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(turn)), F.lit(total)).alias("offset"))
+        fresh = without_masked(place(draw, contigs, "offset").select("rname", "position"), mask)
+        old, have = have, saved((fresh if have is None else have.unionByName(fresh)).distinct(), "positions")
+        if old is not None:
+            discard(old)
+        got, turn = have.count(), turn + 1
     if have is None:
         return spark.createDataFrame([], "rname string, position long")
     return have.orderBy(F.xxhash64("rname", "position", F.lit(seed)), "rname", "position").limit(n)

@@ -2,47 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breakline.config import CallConfig
 from breakline.functions import cigar as C
 
 
+#: Columns of an alignment that its segments do not repeat.
+LONG = ("cigar", "md", "seq", "qual")
+CHUNK = "struct<pos:bigint,stop:bigint,length:bigint,clip:bigint,clip_2:bigint,pid:double>"
+
+
+def with_chunks(alignments: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
+    """Mapped alignments with `chunks`: an array of CHUNK, the stretches between long gaps.
+
+    Every operation is looked at a fixed number of times, so long CIGARs take time in proportion.
+    """
+    lead, trail = C.clips(F.col("cigar"), F.col("flag"))
+    rows = alignments.where(F.col("flag").bitwiseAND(4) == 0).withColumn("_ops", C.operations(F.col("cigar")))
+    rows = rows.withColumns({"_clip": lead, "_clip_2": trail, "_back": C.reverse(F.col("flag")), "_cuts": C.cuts(F.col("_ops"), config.min_indel_size), "_matches": C.md_matches(F.col("md"))})
+    rows = rows.withColumns({"_m": F.transform(C.pieces(F.col("_ops"), F.col("_cuts")), C.sums), "_seps": F.transform("_cuts", lambda i: F.get("_ops", i))})
+    gone = lambda kind: F.concat(F.transform("_seps", lambda o: F.when(o["op"] == kind, o["len"]).otherwise(F.lit(0).cast("long"))), F.array(F.lit(0).cast("long")))
+    # Before each chunk: reference bases with cut-out deletions, read bases, cut-out insertions.
+    split = F.size("_cuts") > 0
+    before = lambda values: F.when(split, C.running(values)).otherwise(F.array(F.lit(0).cast("long")))
+    rows = rows.withColumns(
+        {
+            "_ref": before(F.zip_with(F.transform("_m", lambda m: m["span"]), gone("D"), lambda a, b: a + b)),
+            "_read": before(F.transform("_m", lambda m: m["qal"])),
+            "_ins": before(gone("I")),
+            "_total": F.aggregate("_m", F.lit(0).cast("long"), lambda acc, m: acc + m["qal"]) + F.aggregate(gone("I"), F.lit(0).cast("long"), lambda acc, x: acc + x),
+        }
+    )
+
+    def chunk(i) -> Column:
+        m, ref, read, ins = (F.get(c, i) for c in ("_m", "_ref", "_read", "_ins"))
+        start, rest = F.col("pos0") + ref, F.col("_total") - read - m["qal"]
+        return F.struct(
+            (start + 1).alias("pos"),
+            (start + m["span"]).alias("stop"),
+            m["qal"].alias("length"),
+            (F.col("_clip") + F.when(F.col("_back"), rest - ins).otherwise(read + ins)).alias("clip"),
+            (F.col("_clip_2") + F.when(F.col("_back"), read).otherwise(rest)).alias("clip_2"),
+            C.share(F.col("_matches"), m["eq"], m["m"], m["qal"]).alias("pid"),
+        )
+
+    made = F.transform(F.sequence(F.lit(0), F.size("_m") - 1), chunk)
+    return rows.withColumn("chunks", made.cast(f"array<{CHUNK}>")).select(*alignments.columns, "chunks")
+
+
 def split_alignments(alignments: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
     """`alignments(qname, flag, rname, pos0, mapq, cigar, md, ...)` to segments, cut at long gaps.
 
     One row per chunk with aligned bases: rname, pos, stop (1-based, inclusive), qname, flag, mapq,
-    length, clip, clip_2, pid, chunk. Unmapped rows go. No shuffle. The clip behind a chunk does not
-    count insertions that were cut out, and identity from MD is that of the whole alignment over the
-    chunk's length: both as the parity register asks.
+    length, clip, clip_2, pid, chunk; columns of LONG are dropped. Unmapped rows go. No shuffle. The clip
+    behind a chunk does not count insertions that were cut out, and identity from MD is that of the whole
+    alignment over the chunk's length: both as the parity register asks.
     """
-    lead, trail = C.clips(F.col("cigar"), F.col("flag"))
-    mapped = alignments.where(F.col("flag").bitwiseAND(4) == 0)
-    ops = mapped.withColumns({"_ops": C.operations(F.col("cigar")), "_clip": lead, "_clip_2": trail, "_back": C.reverse(F.col("flag"))})
-    whole = ops.withColumns({"_total": C.total(F.col("_ops"), "MI=X"), "_chunks": C.chunks(F.col("_ops"), config.min_indel_size)})
-    facts = "struct<qal:bigint,span:bigint,d:bigint,i:bigint,ops:array<" + C.OP + ">>"
-    measured = F.transform(
-        "_chunks",
-        lambda c: F.struct(C.total(c["ops"], "MI=X").alias("qal"), C.total(c["ops"], "MD=X").alias("span"), c["d"].alias("d"), c["i"].alias("i"), c["ops"].alias("ops")),
-    )
-    whole = whole.withColumn("_m", measured.cast(f"array<{facts}>"))
-    rows = whole.select(*[c for c in alignments.columns], "_clip", "_clip_2", "_back", "_total", "_m", F.posexplode("_m").alias("chunk", "_c"))
-    before = lambda name: F.aggregate(F.slice("_m", 1, F.col("chunk")), F.lit(0).cast("long"), lambda acc, x: acc + x[name])
-    qal, start = F.col("_c.qal"), F.col("pos0") + before("span") + before("d")
-    read, rest = before("qal"), F.col("_total") - before("qal") - qal
-    cut = before("i")
-    rows = rows.select(
-        *alignments.columns,
-        "chunk",
-        (start + 1).alias("pos"),
-        (start + F.col("_c.span")).alias("stop"),
-        qal.alias("length"),
-        (F.col("_clip") + F.when(F.col("_back"), rest - cut).otherwise(read + cut)).alias("clip"),
-        (F.col("_clip_2") + F.when(F.col("_back"), read).otherwise(rest)).alias("clip_2"),
-        C.identity(F.col("md"), F.col("_c.ops"), qal).alias("pid"),
-    )
-    return rows.where("length > 0")
+    others = [c for c in alignments.columns if c not in LONG]
+    rows = with_chunks(alignments, config).select(*others, F.posexplode("chunks").alias("chunk", "_c"))
+    return rows.select(*others, "chunk", "_c.*").where("length > 0")
+
+
+def aligned_blocks(alignments: DataFrame) -> DataFrame:
+    """rname, pos, stop of the reference stretches that mapped alignments cover with read bases.
+
+    Deleted and skipped bases are not covered. All mapped alignments count, whatever their quality.
+    """
+    rows = alignments.where((F.col("flag").bitwiseAND(4) == 0) & (F.col("cigar") != "*")).select("rname", "pos0", C.operations(F.col("cigar")).alias("_ops"))
+    gaps = F.filter(F.transform("_ops", lambda o, i: F.when(o["op"].isin("D", "N"), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_at", gaps)
+    span = lambda ops: C.total(ops, "M=X")
+    rows = rows.select("rname", "pos0", F.transform(C.pieces(F.col("_ops"), F.col("_at")), span).alias("_span"), F.concat(F.transform("_at", lambda i: F.get("_ops", i)["len"]), F.array(F.lit(0).cast("long"))).alias("_gap"))
+    rows = rows.withColumn("_before", C.running(F.zip_with("_span", "_gap", lambda a, b: a + b)))
+    block = F.explode(F.zip_with("_before", "_span", lambda at, n: F.struct((F.col("pos0") + at + 1).alias("pos"), (F.col("pos0") + at + n).alias("stop"))))
+    return rows.select("rname", block.alias("b")).select("rname", "b.*").where("pos <= stop")
 
 
 def keep_segments(segments: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,27 +31,37 @@ def detect(segments: DataFrame, config: CallConfig = CallConfig()) -> tuple[Data
     return made, saved(clusters.variants(made, config), "numbered")
 
 
-def call(segments: DataFrame, config: CallConfig = CallConfig(), sample: DataFrame | None = None, runs: DataFrame | None = None, bases: DataFrame | None = None) -> Call:
+def call(
+    segments: DataFrame,
+    config: CallConfig = CallConfig(),
+    hist: DataFrame | None = None,
+    runs: DataFrame | None = None,
+    bases: Callable[[DataFrame], DataFrame] | None = None,
+) -> Call:
     """Variants with evidence, genotype, type, density, mates and filters.
 
-    `sample(depth)` and `runs` (of coverage.depth_runs) allow retyping by depth; `bases(rname, pos,
-    ref)` give the reference base, 'N' where unknown. Hom-ref variants are not in `calls`.
+    `hist(depth, n)` of the depth sample and `runs` (of coverage.depth_runs) allow retyping by depth;
+    `bases` gives the usual base (rname, pos, ref) of asked positions (rname, pos), 'N' where it has none.
+    Hom-ref variants are not in `calls`.
     """
     made, found = detect(segments, config)
     hung = saved(evidence.hanging_support(found, hanging_ends(segments, config), config), "hanging")
     spanning = saved(evidence.reference_reads(found, segments, config), "reference-reads")
-    out = found.join(evidence.support(made, found, hung, spanning).drop("dv"), "sv_id").join(evidence.side_medians(made, found, hung), "sv_id")
+    # Hom-ref variants go first: their medians and read ids are not needed.
+    out = found.join(evidence.support(made, found, hung, spanning).drop("dv").where("gt <> '0/0'"), "sv_id")
+    out = out.join(evidence.side_medians(made, found, hung), "sv_id")
     out = out.join(evidence.reference_read_ids(spanning), "sv_id", "left")
     none = lambda c: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0, F.array(F.lit("NA"))).otherwise(F.col(c))
     out = out.withColumns({c: none(c) for c in ("ref_read_ids_1", "ref_read_ids_2")})
-    if config.depth_support and sample is not None and runs is not None:
-        out = coverage.retyped(out, runs, sample)
+    if config.depth_support and hist is not None and runs is not None:
+        out = coverage.retyped(out, runs, hist)
     else:
         out = out.withColumn("depth_pval", F.lit(None).cast("double"))
+    live = saved(out, "live")
     if bases is not None:
-        out = out.join(bases.select(F.col("rname").alias("chr"), "pos", "ref"), ["chr", "pos"], "left").na.fill("N", ["ref"])
+        known = bases(live.select(F.col("chr").alias("rname"), "pos").distinct()).select(F.col("rname").alias("chr"), "pos", "ref")
+        named = live.join(known, ["chr", "pos"], "left").na.fill("N", ["ref"])
     else:
-        out = out.withColumn("ref", F.lit("N"))
-    live = saved(out.where("gt <> '0/0'"), "live")
-    live = live.join(annotate.density(live, config), "sv_id").join(annotate.mates(live, config), "sv_id", "left")
-    return Call(made, found, hung, spanning, live.withColumn("filters", annotate.filters(config)))
+        named = live.withColumn("ref", F.lit("N"))
+    named = named.join(annotate.density(live, config), "sv_id").join(annotate.mates(live, config), "sv_id", "left")
+    return Call(made, found, hung, spanning, named.withColumn("filters", annotate.filters(config)))

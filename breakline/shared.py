@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,13 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it names none (one machine) a temporary folder."""
+    """The session's spark.checkpoint.dir. Without it, a temporary folder, on one machine only.
+
+    On a cluster a local folder would lose what other machines write, so that is an error.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     own = spark.conf.get("breakline.shared.dir", None)
     if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="breakline-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="breakline-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        own = f"file://{path}"
         spark.conf.set("breakline.shared.dir", own)
     return own
 
@@ -28,4 +38,20 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """Write and read again: cuts the lineage and the plan, survives lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `saved` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def filesystem(uri: str):
+    """pyarrow's file system and the path inside it, for any store that tasks can reach."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

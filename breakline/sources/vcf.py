@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,11 +70,16 @@ def header(contigs: list[tuple[str, int]], sample: str, config: CallConfig = Cal
     return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])]
 
 
+@F.pandas_udf("string")
+def decimals(x: pd.Series) -> pd.Series:
+    """Three decimals of the exact binary value; no built-in function rounds its ties that way."""
+    return x.map(lambda v: f"{v:.3f}", na_action="ignore")
+
+
 def info_text() -> Column:
     """INFO of a called variant; END is left out for a breakend, IMPRECISE for exact bounds."""
     c = F.col
     text = lambda *xs: F.concat_ws(",", *(x.cast("string") for x in xs))
-    three = lambda x: F.format_string("%.3f", F.round(x, 3))
     exact = (c("cipos_lo") == 0) & (c("cipos_hi") == 0) & (c("ciend_lo") == 0) & (c("ciend_hi") == 0)
     pair = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}="), value))
     parts = [
@@ -87,11 +93,11 @@ def info_text() -> Column:
         pair("RT", F.lit("0,0,0")),
         pair("GAP", c("gap").cast("string")),
         pair("MAPQ", text(c("mapq_med1"), c("mapq_med2"))),
-        pair("PID", F.concat_ws(",", three(c("pid_med1")), three(c("pid_med2")))),
-        pair("PLENGTH", F.concat_ws(",", three(c("plen_med1")), three(c("plen_med2")))),
+        pair("PID", F.concat_ws(",", decimals(c("pid_med1")), decimals(c("pid_med2")))),
+        pair("PLENGTH", F.concat_ws(",", decimals(c("plen_med1")), decimals(c("plen_med2")))),
         pair("RLENGTH", c("rlength_med").cast("string")),
         pair("MATEID", c("mate_id").cast("string")),
-        pair("DEPTHPVAL", F.when(c("depth_pval").isNotNull(), three(c("depth_pval")))),
+        pair("DEPTHPVAL", F.when(c("depth_pval").isNotNull(), decimals(c("depth_pval")))),
         pair("ALT_READ_IDS", F.concat_ws(",", "alt_read_ids")),
         pair("REF_READ_IDS_1", F.concat_ws(",", "ref_read_ids_1")),
         pair("REF_READ_IDS_2", F.concat_ws(",", "ref_read_ids_2")),
@@ -106,7 +112,7 @@ def record_lines(calls: DataFrame) -> DataFrame:
     info = info_text()
     for name in ("purity_score", "phasing_score", "phasing_pvalue", "snps_used"):
         if name in calls.columns:
-            info = F.concat_ws(";", info, F.when(F.col(name).isNotNull(), F.concat(F.lit(f"{name.upper()}="), F.col(name).cast("string"))))
+            info = F.concat_ws(";", info, F.when(F.col(name).isNotNull(), F.concat(F.lit(f"{name.upper()}="), decimals(name) if name == "phasing_pvalue" else F.col(name).cast("string"))))
     failed = F.when(F.size("filters") == 0, F.lit("PASS")).otherwise(F.concat_ws(";", "filters"))
     line = F.concat_ws("\t", F.col("chr"), F.col("pos").cast("string"), F.col("sv_id").cast("string"), F.col("ref"), alt_notation(F.col("ref")), F.col("qual").cast("string"), failed, info, F.lit("GT:DR:DV:GQ:HR:PL"), sample)
     return calls.select("sv_id", line.alias("line"))
