@@ -7,6 +7,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from breakline.config import CallConfig
 from breakline.operators.annotate import alt_notation, sv_length
@@ -70,7 +71,7 @@ def header(contigs: list[tuple[str, int]], sample: str, config: CallConfig = Cal
     return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decimals(x: pd.Series) -> pd.Series:
     """Three decimals of the exact binary value; no built-in function rounds its ties that way."""
     return x.map(lambda v: f"{v:.3f}", na_action="ignore")
