@@ -224,11 +224,11 @@ left join ranked a on a.chr = t.chr and a.pos = t.pos and a.r = 1 left join rank
 _PHASE = (
     *_EVIDENCE,
     PILEUP,
-    ("het", "select s.* from svs s join genotype g on g.sv_id = s.sv_id where g.gt = '0/1' and s.svtype = 'BND' and s.dv >= 4"),
-    ("windows", 'select sv_id, 0 as bp_side, chr, flag1 as flag, case when flag1 = 16 then pos else pos - 1500 end as lo, case when flag1 = 16 then pos + 1500 else pos end as hi from het union all select sv_id, 1, chr2, flag2, case when flag2 = 16 then "end" - 1500 else "end" end, case when flag2 = 16 then "end" else "end" + 1500 end from het'),
+    ("het", "select s.* from svs s join genotype g on g.sv_id = s.sv_id where g.gt = '0/1'"),
+    ("windows", 'select sv_id, 0 as bp_side, chr, flag1 as flag, case when flag1 = 16 then pos else pos - 7000 end as lo, case when flag1 = 16 then pos + 7000 else pos end as hi from het union all select sv_id, 1, chr2, flag2, case when flag2 = 16 then "end" - 7000 else "end" end, case when flag2 = 16 then "end" else "end" + 7000 end from het'),
     ("snps", "select chr, pos from pileup group by chr, pos having count(distinct base) >= 2"),
     ("ref_reads", "select sv_id, bp_side, cast(qname as varchar) || ';' || clip as seg_key, 0 as is_sv, pos, pos as a from spanning where sv_id in (select sv_id from het)"),
-    ("reads_of", "select distinct r.sv_id, r.bp_side, r.seg_key, r.is_sv, g.pos, g.stop from (select sv_id, bp_side, seg_key, is_sv from ref_reads) r join segments g on cast(g.qname as varchar) || ';' || g.clip = r.seg_key union select m.sv_id, b.bp_side, cast(m.qname as varchar) || ';' || m.clip, 1, g.pos, g.stop from members m cross join (values (0), (1)) b(bp_side) join segments g on g.qname = m.qname and g.clip = m.clip where m.sv_id in (select sv_id from het)"),
+    ("reads_of", "select sv_id, bp_side, seg_key, max(is_sv) as is_sv, pos, stop from (select r.sv_id, r.bp_side, r.seg_key, r.is_sv, g.pos, g.stop from (select sv_id, bp_side, seg_key, is_sv from ref_reads) r join segments g on cast(g.qname as varchar) || ';' || g.clip = r.seg_key union select m.sv_id, b.bp_side, cast(m.qname as varchar) || ';' || m.clip, 1, g.pos, g.stop from members m cross join (values (0), (1)) b(bp_side) join segments g on g.qname = m.qname and g.clip = m.clip where m.sv_id in (select sv_id from het)) group by sv_id, bp_side, seg_key, pos, stop"),
     (
         "cells",
         """
@@ -293,12 +293,14 @@ from split s join clips c on c.qname = s.qname and c.ln = s.ln where s.qal > 0""
   n as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from s)
   select user_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n, round(sum(value), 6) as total from n group by user_id, session""",
     "union_masks": _ctes(("repeats", X.MASKS["repeats"]), ("gaps", X.MASKS["gaps"])) + "select rname, start, stop from repeats union select rname, start, stop from gaps",
-    "sv_call_flagship": _ctes(*_SVS) + f"select {_SV}, cipos_lo, cipos_hi, ciend_lo, ciend_hi from svs",
+    "sv_call_flagship": _ctes(*_CALLED)
+    + f"select sv_id, {_SV}, gt, gq, qual, dr_1, dr_2, hr_1, hr_2, round(depth_pval, 9) as depth_pval, cast(svcluster as bigint) as svcluster, mate_id, filters from filtered",
     "vcf_lines": _ctes(*_CALLED, REF_IDS)
     + f"""select f.sv_id, concat_ws(chr(9), chr, pos, f.sv_id, 'N', {ALT}, qual, case when filters = '' then 'PASS' else filters end,
   concat_ws(';', case when cipos_lo <> 0 or cipos_hi <> 0 or ciend_lo <> 0 or ciend_hi <> 0 then 'IMPRECISE' end, 'SVTYPE=' || svtype, 'SVMETHOD=breakline_0.1', case when svtype <> 'BND' then 'END=' || "end" end,
     'CIPOS=' || cipos_lo || ',' || cipos_hi, 'CIEND=' || ciend_lo || ',' || ciend_hi, 'SVLEN=' || case when svtype = 'INS' then gap when chr = chr2 then "end" - pos end, 'RT=0,0,0', 'GAP=' || gap,
-    'MAPQ=' || mapq_med1 || ',' || mapq_med2, 'RLENGTH=' || rlength_med, 'MATEID=' || mate_id,
+    'MAPQ=' || mapq_med1 || ',' || mapq_med2, 'PID=' || format('{{:.3f}}', pid_med1) || ',' || format('{{:.3f}}', pid_med2), 'PLENGTH=' || format('{{:.3f}}', plen_med1) || ',' || format('{{:.3f}}', plen_med2),
+    'RLENGTH=' || rlength_med, 'MATEID=' || mate_id, 'DEPTHPVAL=' || format('{{:.3f}}', depth_pval),
     'ALT_READ_IDS=' || alt_read_ids, 'REF_READ_IDS_1=' || coalesce(a, 'NA'), 'REF_READ_IDS_2=' || coalesce(b, 'NA')),
   'GT:DR:DV:GQ:HR:PL', gt || ':' || dr_1 || ',' || dr_2 || ':' || dv || ',' || dv || ':' || gq || ':' || hr_1 || ',' || hr_2 || ':' || array_to_string(pl, ',')) as line
 from filtered f left join ref_ids r on r.sv_id = f.sv_id""",

@@ -20,8 +20,6 @@ from breakline.streaming.sessions import sessions
 CONFIG = CallConfig()
 SIDES = ["qname", "clip", "rname1", "pos1", "flag1", "mapq1", "pid1", "rname2", "pos2", "flag2", "mapq2", "pid2", "gap", "rlength"]
 VARIANT = ["svtype", "chr", "chr2", "flag1", "flag2", "dv", "pos", "end"]
-#: Window of phase_matrix and phase_similarity, and the least support of a variant there, as in their SQL.
-PHASE_WINDOW, PHASE_SUPPORT = 1500, 4
 
 
 def split_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +145,9 @@ def sv_alt_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _depths(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs of depth, and the depths of the sampled positions."""
+    """Runs of depth, and the histogram of depths at the sampled positions."""
     runs = saved(coverage.depth_runs(rows.select("rname", "pos", "stop")), "depth-runs")
-    return runs, saved(coverage.depth_at(_positions(spark), runs).select("depth"), "depth-sample")
+    return runs, saved(coverage.histogram(coverage.depth_at(_positions(spark), runs)), "depth-sample")
 
 
 def _positions(spark: SparkSession) -> DataFrame:
@@ -197,23 +195,9 @@ def _snps(calls: DataFrame) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads by SNPs around well-supported heterozygous breakends, as the SQL has them; phase_cluster takes all."""
-    rows = saved(X.segments(spark, sf_dir), "segments")
-    made, found = calling.detect(rows, CONFIG)
-    spanning = saved(evidence.reference_reads(found, rows, CONFIG), "reference-reads")
-    gt = evidence.support(made, found, evidence.hanging_support(found, J.hanging_ends(rows, CONFIG), CONFIG), spanning)
-    het = saved(found.join(gt.where("gt = '0/1'").select("sv_id"), "sv_id", "left_semi").where((F.col("svtype") == "BND") & (F.col("dv") >= PHASE_SUPPORT)), "het")
-    config = CallConfig(phasing_window=PHASE_WINDOW)
-    windows = het.select("sv_id", F.explode(annotate.phasing_windows(config)).alias("w"), "flag1", "flag2").select("sv_id", "w.*", F.when(F.col("w.bp_side") == 0, F.col("flag1")).otherwise(F.col("flag2")).alias("flag"))
-    calls = saved(X.pileup(spark, sf_dir), "pileup")
-    snps = _snps(calls)
-    named = rows.select("qname", "clip", "pos", "stop")
-    key = F.concat_ws(";", F.col("qname").cast("string"), F.col("clip").cast("string"))
-    ref = spanning.join(het.select("sv_id"), "sv_id", "left_semi").select("sv_id", "bp_side", "qname", "clip", F.lit(0).alias("is_sv"))
-    own = made.join(het.withColumnsRenamed({"chr": "rname1", "chr2": "rname2"}).select(*clusters.CLUSTER, "sv_id"), clusters.CLUSTER)
-    own = own.select("sv_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("bp_side"), "qname", "clip", F.lit(1).alias("is_sv"))
-    reads = ref.union(own).join(named, ["qname", "clip"]).select("sv_id", "bp_side", key.alias("seg_key"), "is_sv", "pos", "stop").distinct()
-    return saved(phasing.matrix(windows, reads, snps, calls, 10_000), "cells")
+    """Reads by SNPs around every heterozygous call."""
+    rows, calls = saved(X.segments(spark, sf_dir), "segments"), saved(X.pileup(spark, sf_dir), "pileup")
+    return saved(phase.cells(calling.call(rows, CONFIG), rows, _snps(calls), calls, CONFIG), "cells")
 
 
 def phase_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +205,7 @@ def phase_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phase_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phasing.similarities(_cells(spark, sf_dir)).select("sv_id", "bp_side", "read_a", "read_b", F.round("similarity", 9).alias("similarity"))
+    return phasing.similarities(phasing.read_rows(_cells(spark, sf_dir))).select("sv_id", "bp_side", "read_a", "read_b", F.round("similarity", 9).alias("similarity"))
 
 
 def phase_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,14 +245,13 @@ def events_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VCF records; the fields of decimals are left to their own queries, as their text rounds by engine."""
-    plain = F.regexp_replace("line", r"(PID|PLENGTH|DEPTHPVAL)=[^;\t]*;", "")
-    return vcf.record_lines(_call(spark, sf_dir).calls).select("sv_id", plain.alias("line"))
+    return vcf.record_lines(_call(spark, sf_dir).calls)
 
 
 def sv_call_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads to junctions to clusters to variants with enough support."""
-    return sv_ci(spark, sf_dir)
+    """The whole call: junctions, clusters, evidence, genotypes, depth, density, mates and filters."""
+    measured = (F.round("depth_pval", 9).alias("depth_pval"), "svcluster", "mate_id", F.concat_ws(";", "filters").alias("filters"))
+    return _call(spark, sf_dir).calls.select("sv_id", *VARIANT, "gt", "gq", "qual", "dr_1", "dr_2", "hr_1", "hr_2", *measured)
 
 
 _LIST = (

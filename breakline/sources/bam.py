@@ -10,20 +10,20 @@ fields, name and CIGAR of a record and of the one behind it, and reads on across
 as far as a record goes. Records of any length, and CIGARs of the CG tag, are read whole.
 
 Options: `path` (files or folders, commas between them, in any store that pyarrow opens), `split`,
-`sequence` (false leaves seq and qual null). Filters on rname (equality, IN) are applied before a record
-is unpacked (they are handed down where spark.sql.python.filterPushdown.enabled is set); in a sorted
-file reading stops behind the wanted contigs, and a .bai file beside the BAM prunes stretches.
+`sequence` (false leaves seq and qual null), `contigs` (names joined by commas: other records, those
+without a contig too, are passed over before they are unpacked; in a sorted file reading stops behind
+the wanted contigs, and a .bai file beside the BAM prunes stretches).
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from breakline.shared import filesystem
 
@@ -345,7 +345,9 @@ class BamReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths, self.split = [], int(options.get("split", 64 << 20))
         self.sequence = str(options.get("sequence", "true")).lower() != "false"
-        self.wanted: frozenset[str] | None = None
+        # Contigs to read, joined by commas (no contig's name may hold one); all by default.
+        asked = options.get("contigs")
+        self.wanted: frozenset[str] | None = None if asked is None else frozenset(str(asked).split(","))
         for path in options["path"].split(","):
             store, at = filesystem(path)
             if store.get_file_info(at).is_file:
@@ -356,14 +358,6 @@ class BamReader(DataSourceReader):
                 names = [x.base_name for x in store.get_file_info(fs.FileSelector(at)) if x.base_name.endswith(".bam")]
                 self.paths += [f"{path.rstrip('/')}/{x}" for x in sorted(names)]
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for x in filters:
-            if isinstance(x, EqualTo | In) and x.attribute == ("rname",):
-                names = frozenset([x.value] if isinstance(x, EqualTo) else x.value)
-                self.wanted = names if self.wanted is None else self.wanted & names
-            else:
-                yield x
-
     def partitions(self) -> list[Stretch]:
         out = []
         for p in self.paths:

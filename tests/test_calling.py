@@ -150,7 +150,7 @@ def test_depth_and_test(spark):
     assert means == {1: pytest.approx(sum(got[p] for p in range(1, 21)) / 20), 2: 0.0}
     sample = spark.createDataFrame([(d,) for d in (0, 1, 1, 2, 5)], "depth long")
     asked = spark.createDataFrame([(i, dup, m) for i, (dup, m) in enumerate([(True, 1.0), (True, 9.0), (False, 1.0), (False, 0.0), (False, 1.5), (True, 4.5), (False, 99.0)])], "id int, is_dup boolean, mean_depth double")
-    assert [r.pval for r in coverage.depth_test(asked, sample).orderBy("id").collect()] == [0.4, 0.0, 0.2, 0.0, 0.6, 0.2, 1.0]
+    assert [r.pval for r in coverage.depth_test(asked, coverage.histogram(sample)).orderBy("id").collect()] == [0.4, 0.0, 0.2, 0.0, 0.6, 0.2, 1.0]
 
 
 def test_reference_base(spark):
@@ -176,8 +176,17 @@ def test_alt_notation(spark):
 def test_snp_calls(spark):
     row = [("r", 0, "c", 99, "2S3=1X2D2=", "ACGTATTG", list(range(8)), None), ("m", 0, "c", 99, "2S4M1I2D2M", "ACGTATTGC", list(range(9)), "1A2^GG0T1")]
     df = spark.createDataFrame(row, "qname string, flag int, rname string, pos0 long, cigar string, seq string, qual array<int>, md string")
-    assert sorted(map(tuple, phasing.snp_calls_from_cigar(df.where("md is null")).collect())) == [("c", 103, "r;2", "T", 5), ("c", 104, "r;2", "-", None), ("c", 105, "r;2", "-", None)]
-    assert sorted(map(tuple, phasing.snp_calls_from_md(df).collect())) == [("c", 101, "m;2", "T", 3), ("c", 106, "m;2", "G", 7)]
+    gone = lambda q: [("c", 104, q, "-", None), ("c", 105, q, "-", None)]
+    got = sorted(map(tuple, phasing.snp_calls(df.withColumn("mapq", F.lit(60)), CallConfig(min_pid=0.0)).collect()), key=lambda r: (r[2], r[1]))
+    assert got == [("c", 101, "m;2", "T", 3), *gone("m;2"), ("c", 106, "m;2", "G", 7), ("c", 103, "r;2", "T", 5), *gone("r;2")]
+
+
+def test_snp_discovery_counts_matching_reads(spark):
+    """20 reads over one position, half of them with another base: a heterozygous SNP; half of 4: not."""
+    calls = spark.createDataFrame([("c", 103, f"r{i}", "T", 30) for i in range(10)] + [("d", 103, f"r{i}", "T", 30) for i in range(2)], "chr string, pos long, seg_key string, base string, qual int")
+    rows = spark.createDataFrame([("c", 90 + i % 5, 200) for i in range(20)] + [("d", 90, 200)] * 4 + [("c", 104, 200)] * 7, "rname string, pos long, stop long")
+    found = phasing.accepted(phasing.discovered(calls, rows)).collect()
+    assert [(r.chr, r.pos, r.total, r.base1, r.n1, r.base2, r.n2) for r in found] == [("c", 103, 20, "=", 10, "T", 10)]
 
 
 def test_phasing_scores(spark):
@@ -197,7 +206,7 @@ def test_merge_reads_means():
 
 
 def test_judge_needs_two_clusters():
-    assert phasing.judge([[0]], np.array([True])) == (0, 0, None)
+    assert phasing.judge([(1, 1)], 1, 1) == (0, 0, None)
 
 
 def test_hanging_and_evidence_columns(spark):

@@ -61,10 +61,29 @@ def test_bam_round_trip(spark, tmp_path):
     for split in (1 << 30, 20_000, 3_000):
         got = [tuple(r) for r in spark.read.format("bam").option("path", str(tmp_path / "a.bam")).option("split", split).load().collect()]
         assert sorted(got, key=str) == sorted(rows, key=str), split
-    header, _ = bam.read_header(str(tmp_path / "a.bam"))
+    header = bam.read_header(str(tmp_path / "a.bam"))
     assert header.sorted and header.sample("x") == "me" and header.contigs == [("chr1", 20000), ("chr2", 500)]
 
 
+def test_bam_records_over_many_blocks(spark, tmp_path):
+    """Reads of 700 kb, one with a CIGAR in the CG tag, at splits below, at and above a record's size."""
+    rng = random.Random(4)
+    long = [(f"long{i}", 0, "chr1", 10 * i, 60, "700000M", "".join(rng.choices("ACGT", k=700_000)), None, None) for i in range(4)]
+    write_bam(tmp_path / "a.bam", [("chr1", 900_000), ("chr2", 900)], [*long, ("other", 0, "chr2", 5, 60, "3M", "ACG", None, None)], 60_000)
+    spark.dataSource.register(bam.BamSource)
+    for split in (50_000, 400_000, 1_000_000):
+        read = spark.read.format("bam").option("path", str(tmp_path / "a.bam")).option("split", split)
+        got = read.load().select("qname", "pos0", "seq").collect()
+        assert sorted(map(tuple, got)) == sorted([*((r[0], r[3], r[6]) for r in long), ("other", 5, "ACG")]), split
+        assert [r.qname for r in read.option("contigs", "chr2").load().collect()] == ["other"]
+
+
+def test_cigar_of_the_cg_tag():
+    steps = [3 << 4, 2 << 4 | 1, 1 << 4]
+    body = struct.pack("<iiBBHHHiiii", 0, 9, 2, 60, 0, 2, 0, 6, -1, -1, 0) + b"q\0" + struct.pack("<2I", 6 << 4 | 4, 4 << 4 | 3) + bytes(3) + bytes([255] * 6)
+    assert bam.parse(body + b"CGBI" + struct.pack("<i3I", 3, *steps), [("c", 100)])[5] == "3M2I1M"
+
+
 def test_sample_name_from_path():
     assert bam.Header("", []).sample("/x/y.sorted.bam") == "y" and not bam.Header("@HD\tSO:queryname", []).sorted
 
@@ -100,4 +119,5 @@ def test_command_line(spark, tmp_path):
     assert {r[4] for r in records} >= {"<INS>"} and all(len(r) == 10 for r in records)
     ins = next(r for r in records if r[4] == "<INS>")
     assert "SVLEN=60" in ins[7].split(";") and ins[9].split(":")[2] == "100,100"
+    assert all(r[3] in ("A", "C", "G", "T") for r in records)
     assert any("SVLEN=1001" in r[7].split(";") for r in records)
