@@ -6,8 +6,9 @@ placeholder such as `<|image_2|>` and is recorded as an attachment with its refe
 of tokens that the placeholder expands to (`units` times the rate of its type).
 
 Template of a turn: ``<|im_start|>role\\ncontent<|im_end|>\\n``. In texts and roles a backslash is
-doubled and ``<|`` becomes ``<\\|``, so no control string can occur inside a text and the original is
-recovered by removing one level of backslashes.
+doubled and a ``|`` that follows ``<`` or begins the text becomes ``\\|``. So ``<|`` occurs in no content
+but as the start of a placeholder, also where one text part ends in ``<`` and the next begins with ``|``,
+and the original is recovered by removing one level of backslashes.
 
 Edge cases: a null text or role is the empty string; a null or empty part list is an empty content;
 a part of unknown or null type counts as text; rows with equal turn are ordered by role, then
@@ -31,7 +32,7 @@ PLACEHOLDER = r"<\|(?:image|audio|document)_\d+\|>"
 
 def escape(text: Column) -> Column:
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(doubled, F.lit("<|"), F.lit("<\\|"))
+    return F.regexp_replace(doubled, r"(^|<)\|", r"$1\\|")
 
 
 def unescape(text: Column) -> Column:
@@ -150,7 +151,7 @@ told AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-    sum(length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + 24) AS chars
+    sum(length(regexp_replace(replace(role, '\\', '\\\\'), '(^|<)[|]', '\\1__', 'g')) + length(regexp_replace(replace(text, '\\', '\\\\'), '(^|<)[|]', '\\1__', 'g')) + 24) AS chars
   FROM turns GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(told) AS turns_sha256,
   CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars

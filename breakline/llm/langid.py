@@ -4,14 +4,14 @@ Subwords are the n-grams of the bytes of a lower-cased word between two marks, f
 the word itself, each hashed to a row of the embedding table. A text is the mean of its rows; a softmax
 over the learnt languages follows. Training uses a bounded sample of rows that are not held out
 (at most PER_LANG documents of a language, chosen by the hash of doc_id). A temperature is fitted on a
-part of the sample that training leaves out, and a text whose best calibrated probability is under
-`reject` can be rejected (the query asks for a learnt language, so it rejects only texts without
-letters). As embedding and softmax are both linear, scoring uses their product: one row of class
+part of the sample that training leaves out, and so is a threshold: the least at which the texts of that
+part that reach it are right in PRECISION of cases. `rejected` marks texts whose best calibrated
+probability is under it; they keep their predicted language, as the query asks for a learnt one. As embedding and softmax are both linear, scoring uses their product: one row of class
 weights for each subword.
 
-Edge cases: a null text, or one without a letter, is `und` with score 0; repeated rows get equal
-results; a null lang is not learnt from; without any learnable row all texts are `und`; a null doc_id
-is predicted and not held out. Other columns are ignored.
+Edge cases: a null text, or one without a letter, is `und` with score 0 and rejected; repeated rows get equal
+results; a null lang is not learnt from; without any learnable row all texts are `und` and rejected; more
+than MAX_LANGS languages are an error; a null doc_id is predicted and not held out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ from .textscan import Words, blocks, mix, word_bytes, words
 #: Documents of each language that training uses at most.
 PER_LANG = 600
 BITS, DIM, ORDERS, EPOCHS, RATE, BATCH, SEED = 17, 8, (2, 3, 4), 4, 0.5, 32, 5
-#: Calibrated probability under which `predict` rejects, unless told otherwise.
-REJECT = 0.0
+#: Share of right answers among the left-out texts that the rejection threshold lets pass.
+PRECISION = 0.99
+#: Languages that a model can hold.
+MAX_LANGS = 1000
 UNKNOWN = "und"
 _TABLE = word_bytes()
 _TABLE[48:58] = False  # digits are no letters
@@ -44,6 +46,7 @@ class Model:
     weights: np.ndarray  # subword x language
     bias: np.ndarray
     temperature: float
+    reject: float = 0.0
 
 
 def distinct_words(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -117,14 +120,31 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[st
         return float(-(z[np.arange(len(apart)), y[apart]] - np.log(np.exp(z).sum(1))).mean())
 
     temperature = min((0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0), key=loss) if len(apart) else 1.0
-    return Model(langs, weights.astype(np.float32), bias, temperature)
+    return Model(langs, weights.astype(np.float32), bias, temperature, threshold(logits / temperature, y[apart]))
+
+
+def threshold(logits: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """The least best probability at which the texts that reach it are right in `precision` of cases; 0 if
+    all do, above 1 if none."""
+    p = np.exp(logits - logits.max(1, keepdims=True)) if len(y) else np.ones((0, 1))
+    top, right = (p / p.sum(1, keepdims=True)).max(1), p.argmax(1) == y
+    order = np.argsort(-top, kind="stable")
+    good = np.cumsum(right[order]) >= precision * np.arange(1, len(y) + 1)
+    # Equal probabilities pass together.
+    last = np.append(top[order][1:] != top[order][:-1], True)[: len(y)]
+    fit_ = np.flatnonzero(good & last)
+    if not len(fit_):
+        return 0.0 if not len(y) else 2.0
+    return 0.0 if fit_[-1] == len(y) - 1 else float(top[order][fit_[-1]])
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Fit on at most about `per_lang` documents of a language that are not held out."""
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
         return None
     langs = sorted(counts)
@@ -149,13 +169,16 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     return fit([(flat[a:b].astype(np.int64), many[a:b].astype(float)) for a, b in zip(cut[:-1], cut[1:], strict=True)], np.array([where[x] for x in got["lang"].to_pylist()], int), langs)
 
 
-def predict(docs: DataFrame, model: Model | None, reject: float = REJECT) -> DataFrame:
-    """`docs` with lang_pred and score added (columns of those names are replaced)."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model | None, reject: float = 0.0) -> DataFrame:
+    """`docs` with lang_pred, score and rejected added (columns of those names are replaced).
+
+    A text whose best probability is under `reject` is `und` besides.
+    """
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     if model is None:
-        return docs.select(*keep).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.select(*keep).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -176,11 +199,11 @@ def predict(docs: DataFrame, model: Model | None, reject: float = REJECT) -> Dat
                 text_ = batch["text"].slice(lo, hi - lo)
                 letter = pc.fill_null(pc.match_substring_regex(text_, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 best = np.where(letter & (top >= reject), best, len(m.langs))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(names[best], pa.string()), pa.array(np.where(letter, top, 0.0))], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(names[best], pa.string()), pa.array(np.where(letter, top, 0.0)), pa.array(~letter | (top < max(reject, m.reject)))], [*keep, "lang_pred", "score", "rejected"])
 
     return docs.select(*keep).mapInArrow(apply, schema)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return predict(docs.select("doc_id", "text"), train(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), train(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")

@@ -2,8 +2,9 @@
 
 A classifier learnt from the labelled table gives every document a posterior over domains (one
 factorization machine per domain, against the rest; its terms are words, runs of other signs, and
-buckets of length and of repetition). Posteriors are rounded to a grid of 1 / GRID, so they take few
-distinct values however many documents there are.
+buckets of length and of repetition). Posteriors are rounded to a grid of 1 / GRID (1 / 2k for k > 16
+domains): with few domains they take few distinct values however many documents there are. Targets are
+met for these rounded posteriors.
 
 Rates r >= 0 minimize 1/2 |sum_d r_d n_d p_d - T|^2 / N + RIDGE / 2 sum_d n_d (r_d - r0)^2 with n_d the
 tokens (words) of a document, p_d its posterior, T the target totals and N all tokens. The solver is
@@ -98,7 +99,8 @@ def posteriors(docs: DataFrame, names: list[str], machines: list[toxicity.Machin
             for lo, hi, data, offsets in blocks(batch["text"]):
                 slots, text, many = features(data, offsets)
                 p = np.stack([1 / (1 + np.exp(-np.clip(m.logits(slots, text, hi - lo), -30, 30))) for m in sent.value], 1)
-                p = np.round(GRID * p / p.sum(1, keepdims=True))
+                # The largest share is 1 / k at least, so a grid of 2 k leaves no posterior empty.
+                p = np.round(max(GRID, 2 * p.shape[1]) * p / p.sum(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(p.reshape(-1)), p.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(many, pa.int64()), lists], [*keep, "n_tokens", "p"])
@@ -166,7 +168,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget:
 
 
 def _copies(rate: Column) -> Column:
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 40)) / float(1 << 40)
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("mixing")), F.lit(1 << 40)) / float(1 << 40)
     return F.floor(rate + chance).cast("long")
 
 
@@ -175,9 +177,7 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior, rate and copies of every document; without labels all rates are BUDGET, posteriors empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    names, machines = train(docs, quality_domains(table(spark, sf_dir, "labels")))
-    soft = saved(posteriors(docs, names, machines).select("doc_id", "n_tokens", "p"), "mixing-posteriors")
-    history, step, r0 = solve(soft, [TARGETS.get(x, 0.0) for x in names], BUDGET)
-    rate = rate_of(F.col("p"), history, step, r0)
-    return soft.withColumn("rate", rate["x"] if history else rate).select("doc_id", "n_tokens", F.col("p").alias("posterior"), "rate", _copies(F.col("rate")).alias("copies"))
+    out = mixed(docs, quality_domains(table(spark, sf_dir, "labels")), TARGETS, BUDGET)
+    return out.select("doc_id", "n_tokens", F.col("p").alias("posterior"), "rate", "copies")

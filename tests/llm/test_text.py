@@ -242,6 +242,25 @@ def test_mixing(spark):
     assert {r.rate for r in mixing.mixed(docs.limit(3), labels.limit(0), targets, 2.0).collect()} == {2.0}
 
 
+def test_mixing_many_domains(spark):
+    """70 domains and texts that tell nothing: posteriors are whole and rates finite; no labels: the budget."""
+    labels = spark.createDataFrame([(i, f"d{i % 70}") for i in range(140)], "doc_id long, domain string")
+    docs = spark.createDataFrame([(i, "same words in every text") for i in range(140)], "doc_id long, text string")
+    got = mixing.mixed(docs, labels, {f"d{i}": 1 / 70 for i in range(70)}, 1.0).collect()
+    assert all(np.isclose(sum(r.p), 1) and np.isfinite(r.rate) for r in got) and len(got) == 140
+    empty = new_path(spark, "empty-labels")
+    docs.write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert {r.rate for r in mixing.op1_mixing(spark, empty).collect()} == {mixing.BUDGET}
+
+
+def test_language_threshold():
+    logits = np.log(np.array([[0.9, 0.1], [0.8, 0.2], [0.7, 0.3], [0.6, 0.4]]))
+    assert langid.threshold(logits, np.array([0, 0, 0, 0])) == 0.0
+    assert np.isclose(langid.threshold(logits, np.array([0, 0, 1, 0]), 0.9), 0.8)
+    assert langid.threshold(logits, np.array([1, 1, 1, 1])) == 2.0 and langid.threshold(np.zeros((0, 2)), np.zeros(0)) == 0.0
+
+
 def test_mixing_equals_plain_solver(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([1, 1, 1], 50)
