@@ -74,7 +74,7 @@ def header(contigs: list[tuple[str, int]], sample: str, config: CallConfig = Cal
 @F.pandas_udf(StringType())
 def decimals(x: pd.Series) -> pd.Series:
     """Three decimals of the exact binary value; no built-in function rounds its ties that way."""
-    return x.map(lambda v: f"{v:.3f}", na_action="ignore")
+    return pd.Series([None if pd.isna(v) else f"{v:.3f}" for v in x], index=x.index, dtype=object)
 
 
 def info_text() -> Column:
