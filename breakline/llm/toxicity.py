@@ -5,7 +5,8 @@ longer words, which stand for the inflections of a stem. The machine's logit is
 bias + sum w[i] + 1/2 sum_f ((sum V[i,f])^2 - sum V[i,f]^2), so a pair of words can weigh what neither
 does alone. It is trained by AdaGrad in numpy on a bounded sample of labelled rows (SAMPLE documents,
 those with the smallest hash of doc_id among rows that are not held out); slots seen in fewer than
-MIN_DOCS sampled documents, or independent of the label, keep weight zero. All texts are then scored whole, in one pass without a
+MIN_DOCS sampled documents, or that tell nothing about the label, neither alone nor in a pair, keep weight
+zero. All texts are then scored whole, in one pass without a
 shuffle; the model is sent to the tasks and has a fixed size.
 
 Edge cases: a null or empty text gets the bias alone; repeated rows get equal scores; a label that is
@@ -30,11 +31,16 @@ from .textscan import blocks, word_bytes, words
 #: Labelled documents that training uses at most.
 SAMPLE = 12_000
 BITS, FACTORS, EPOCHS, RATE, L2, MIN_DOCS, SEED = 18, 4, 12, 0.1, 1e-4, 5, 3
+#: Spread of the factors at the start, and their rate.
+START, RATE_V = 0.1, 0.1
 #: Weight of a toxic document in training: a miss costs more than a false alarm.
 POSITIVE = 3.0
 PREFIXES = (4, 5, 6, 8)
 #: Slots that training keeps: those of the largest chi-square between presence and label, over a floor.
 TERMS, CHI = 4096, 12.0
+#: And the slots of pairs that tell together: of the most frequent slots, with an interaction of at least
+#: this squared z (27 leaves one chance hit in the 2 million pairs; small cells have heavier tails).
+PAIRED, PAIR_CHI = 2048, 40.0
 _TABLE = word_bytes()
 
 
@@ -66,7 +72,7 @@ def slots_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def telling(docs: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
-    """Mask of slots whose presence depends on the label; rarer ones would only be learnt by heart."""
+    """Mask of slots that tell about the label, alone or together with another one; rarer ones would only be learnt by heart."""
     n, positives = len(docs), y.sum()
     count = lambda which: sum((np.bincount(np.concatenate(which[i : i + 500]), minlength=size) for i in range(0, len(which), 500)), np.zeros(size))
     a = count([d for d, label in zip(docs, y, strict=True) if label > 0])
@@ -74,7 +80,43 @@ def telling(docs: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     seen = a + b
     chi = n * (a * (n - positives - b) - b * (positives - a)) ** 2 / np.maximum(seen * (n - seen) * positives * (n - positives), 1)
     chi[seen < MIN_DOCS] = 0
-    return chi >= max(CHI, np.sort(chi)[-TERMS])
+    kept = chi >= max(CHI, np.sort(chi)[-TERMS])
+    kept[joint(docs, y, seen)] = True
+    return kept
+
+
+def joint(docs: list[np.ndarray], y: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Slots of pairs whose four cells (both, one, the other, neither) depart from adding up, whatever each does alone.
+
+    The pairs are those of the PAIRED slots in the most documents. With r and c the label's rate and the
+    documents of a cell, z is (r11 - r10 - r01 + r00) over its standard error under the common rate.
+    """
+    n, rate = len(docs), y.mean()
+    top = np.argsort(-np.where(seen >= n, 0, seen), kind="stable")[:PAIRED]
+    top = top[(seen[top] >= MIN_DOCS) & (seen[top] < n)]
+    place = np.full(len(seen), -1)
+    place[top] = np.arange(len(top))
+    held = [place[d] for d in docs]
+    x = np.zeros((n, len(top)), np.float32)
+    for row, p in zip(x, held, strict=True):
+        row[p[p >= 0]] = 1
+    label = y.astype(np.float32)
+    alone, toxic = x.sum(0), x.T @ label
+    kept = np.zeros(len(top), bool)
+    for lo in range(0, len(top), 512):
+        part = x[:, lo : lo + 512]
+        c11, a11 = part.T @ x, (part * label[:, None]).T @ x
+        c10, a10 = alone[lo : lo + 512, None] - c11, toxic[lo : lo + 512, None] - a11
+        c01, a01 = alone[None] - c11, toxic[None] - a11
+        c00, a00 = n - c11 - c10 - c01, label.sum() - a11 - a10 - a01
+        cells = ((c11, a11, 1), (c10, a10, -1), (c01, a01, -1), (c00, a00, 1))
+        off = sum(s * a / np.maximum(c, 1) for c, a, s in cells)
+        z = off**2 / (rate * (1 - rate) * sum(1 / np.maximum(c, 1) for c, _, _ in cells))
+        z[np.minimum.reduce([c for c, _, _ in cells]) < MIN_DOCS] = 0
+        hit = z >= PAIR_CHI
+        kept[lo : lo + 512] |= hit.any(1)
+        kept |= hit.any(0)
+    return top[kept]
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, positive: float = POSITIVE) -> Machine:
@@ -88,7 +130,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, positive: float = POSITIVE) -> Ma
     rng = np.random.default_rng(SEED)
     kept = telling(docs, y, size)
     docs = [d[kept[d]].astype(np.int64) for d in docs]
-    w, v = np.zeros(size), rng.normal(0, 0.02, (size, FACTORS)) * kept[:, None]
+    w, v = np.zeros(size), rng.normal(0, START, (size, FACTORS)) * kept[:, None]
     gw, gv, gb, bias = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2, float(np.log(positives / (1 - positives)))
     for _ in range(EPOCHS):
         for lo in range(0, len(docs), 64):
@@ -106,7 +148,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, positive: float = POSITIVE) -> Ma
             gw[used] += dw**2
             gv[used] += dv**2
             w[used] -= RATE * dw / np.sqrt(gw[used])
-            v[used] -= RATE / 4 * dv / np.sqrt(gv[used])
+            v[used] -= RATE_V * dv / np.sqrt(gv[used])
             db = float(err.mean())
             gb += db * db
             bias -= RATE * db / gb**0.5
@@ -130,7 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
 
     # The sample is bounded by `limit`, so it can be broadcast and its features fit the driver.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(featurize, "doc_id long, y int, slots array<int>")
-    got = rows.toArrow().sort_by("doc_id")
+    # A doc_id with several texts is learnt once.
+    once = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("slots", F.xxhash64("slots")).alias("slots"))
+    got = once.toArrow().sort_by("doc_id")
     lists = got["slots"].combine_chunks()
     flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, int)
     return fit([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], got["y"].to_numpy().astype(float))

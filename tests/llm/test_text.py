@@ -82,6 +82,32 @@ def test_toxicity_learns_pairs():
     assert score([1, 2]) > 0 > max(score([1]), score([2]))
 
 
+@pytest.mark.parametrize("share", [0.5, 0.2])
+def test_toxicity_learns_pairs_that_no_additive_model_can(share):
+    """Label 1: both terms or neither. Weights alone rank (both, neither) around (one, other), never above both."""
+    rng = np.random.default_rng(0)
+    docs, y = [], []
+    for _ in range(6000):
+        a, b = rng.random() < share, rng.random() < share
+        noise = rng.choice(np.arange(10, 60), 5, replace=False)
+        docs.append(np.unique(np.concatenate((noise, [1] if a else [], [2] if b else [])).astype(np.int64)))
+        y.append(float(a == b))
+    m = toxicity.fit(docs, np.array(y), positive=1.0)
+    score = lambda s: m.logits(np.array(s, int), np.zeros(len(s), int), 1)[0]
+    assert min(score([1, 2]), score([])) > 0 > max(score([1]), score([2]))
+    alone = toxicity.Machine(m.bias, m.w, np.zeros_like(m.v))
+    additive = lambda s: alone.logits(np.array(s, int), np.zeros(len(s), int), 1)[0]
+    assert np.isclose(additive([1, 2]) + additive([]), additive([1]) + additive([2]))
+
+
+def test_toxicity_learns_a_repeated_doc_id_once(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(toxicity, "fit", lambda docs, y, positive=0: taught.append(len(docs)))
+    docs = frame(spark, ["a text", "another"]).unionByName(spark.range(500).selectExpr("1L AS doc_id", "concat('t', id) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars"))
+    toxicity.train(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
+    assert taught == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (0, 1))]
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     sound = {"xx": ["ka", "ki", "to", "ru"], "yy": ["schl", "ung", "heit", "ver"], "zz": ["çao", "ñol", "és", "ía"]}
@@ -147,6 +173,30 @@ def test_decontamination_recall_and_precision(spark):
     assert decontaminate.with_leaks(rows, bench.limit(0)).where(F.size("leaks") > 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [(8, 14), (15, 27), (28, 60), (60, 120), (120, 200)])
+def test_decontamination_recall_of_each_size_and_edit_share(size):
+    rng = random.Random(5)
+    vocabulary = ["the", "of", "and"] * 20 + ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    for share in (0.1, 0.15, 0.2):
+        items = [rng.choices(vocabulary, k=rng.randint(*size)) for _ in range(150)]
+        docs = []
+        for item in items:
+            words, piece = rng.choices(vocabulary, k=rng.randint(0, 150)), list(item)
+            for _ in range(int(share * len(item))):
+                at = rng.randrange(len(piece))
+                piece[at : at + rng.randrange(2)] = rng.choice([[], [rng.choice(vocabulary)]])
+            at = rng.randint(0, len(words))
+            words[at:at] = piece
+            docs.append(" ".join(words))
+        index = decontaminate.Index(list(range(150)), [" ".join(x) for x in items])
+        found = [f for _, _, data, offsets in textscan.blocks(pa.array(docs)) for f in index.find(data, offsets)]
+        assert sum(any(x["item_id"] == i for x in f) for i, f in enumerate(found)) >= 0.9 * 150, share
+
+
+def test_places_verified_at_once():
+    assert list(decontaminate.runs([(0, 0, 1), (0, 0, 3), (0, 0, 9), (0, 1, 9), (2, 1, 9)], [4, 2])) == [(0, 0, 1, 3), (0, 0, 9, 9), (0, 1, 9, 9), (2, 1, 9, 9)]
+
+
 def test_short_items(spark):
     bench = spark.createDataFrame([(1, "alpha"), (2, "alpha beta"), (3, "a b c d e")], "item_id long, text string")
     got = decontaminate.with_leaks(frame(spark, ["x alpha y", "beta alpha beta", "a b x d e", "zz"]), bench)
