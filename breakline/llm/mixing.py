@@ -2,26 +2,28 @@
 
 A classifier learnt from the labelled table gives every document a posterior over domains (one
 factorization machine per domain, against the rest; its terms are words, runs of other signs, and
-buckets of length and of repetition). Posteriors are rounded to a grid of 1 / GRID (1 / 2k for k > 16
-domains): with few domains they take few distinct values however many documents there are. Targets are
-met for these rounded posteriors.
+buckets of length and of repetition).
 
 Rates r >= 0 minimize 1/2 |sum_d r_d n_d p_d - T|^2 / N + RIDGE / 2 sum_d n_d (r_d - r0)^2 with n_d the
-tokens (words) of a document, p_d its posterior, T the target totals and N all tokens. The solver is
-projected gradient with momentum, in units where the step of a document is p_d . g. Documents of equal
-posterior have equal rates, so each iteration is a Spark aggregation over the grid, whose rows hold
-summed tokens; the history of gradients, a few numbers an iteration, gives the rates of all documents
-in the end.
+tokens (words) of a document, p_d its posterior, T the target totals and N all tokens. Documents whose
+posteriors round to the same multiples of 1 / GRID form a cell and share a rate; a cell's totals
+sum n_d p_d are those of the unrounded posteriors, so the expected totals of the documents meet the targets
+themselves. With few domains there are few cells however many documents; with many there are at most as
+many as documents. The solver is projected gradient with momentum
+(dropped when it goes against the gradient), in units where the step of a cell is its
+mean posterior times g, and each iteration is a Spark aggregation over the cells. It ends when no rate
+moves by TOLERANCE, and warns if that takes more than ITERATIONS.
 
 Edge cases: a null or empty text has no tokens and gets the rate of its posterior; repeated rows have
 equal rates; labels that are null are not learnt from; of several domains of one doc_id the smallest
 counts; with one domain all posteriors are 1; a domain without target has target 0; without labels or
-tokens all rates are r0. Other columns are kept.
+tokens all rates are r0. Other columns are kept, but for n_tokens, p, rate and copies, which are replaced.
 """
 
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import toxicity
-from .common import bounded_sample, saved, small_batches, table
+from .common import bounded_sample, maybe_broadcast, saved, small_batches, table
 from .textscan import blocks, mix, word_bytes, words
 
 #: Labelled documents that training uses at most.
 SAMPLE = 8_000
-GRID, RIDGE, ITERATIONS, TOLERANCE = 32, 1e-3, 80, 1e-4
+GRID, RIDGE, ITERATIONS, TOLERANCE = 32, 1e-3, 1000, 1e-4
+#: Steps after which the rates of the cells are written, so that a plan never holds a longer history.
+STRETCH = 50
 _WORD = word_bytes()
 _SIGN = ~_WORD
 _SIGN[[32, 9, 10, 11, 12, 13]] = False
@@ -79,17 +83,19 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list
 
     # Bounded by `limit`.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text")
-    got = rows.mapInArrow(run, "doc_id long, domain string, slots array<int>").toArrow().sort_by("doc_id")
+    made = rows.mapInArrow(run, "doc_id long, domain string, slots array<int>")
+    # A doc_id with several texts is learnt once.
+    got = made.groupBy("doc_id").agg(F.min("domain").alias("domain"), F.min_by("slots", F.xxhash64("slots")).alias("slots")).toArrow().sort_by("doc_id")
     domain = np.array(got["domain"].to_pylist(), object)
     lists = got["slots"].combine_chunks()
     cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     slots = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     names = sorted(set(domain.tolist()))
-    return names, [toxicity.fit(slots, (domain == x).astype(float), positive=1.0) for x in names]
+    return names, [toxicity.fit(slots, (domain == x).astype(float), positive=1.0, pairs=False) for x in names]
 
 
 def posteriors(docs: DataFrame, names: list[str], machines: list[toxicity.Machine]) -> DataFrame:
-    """`docs` with n_tokens and p (array over names, multiples of 1 / GRID up to their sum)."""
+    """`docs` with n_tokens and p (array over names, sum 1; columns of these names are replaced)."""
     sent = docs.sparkSession.sparkContext.broadcast(machines)
     keep = [c for c in docs.columns if c not in ("n_tokens", "p")]
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("p", T.ArrayType(T.DoubleType()))
@@ -99,8 +105,6 @@ def posteriors(docs: DataFrame, names: list[str], machines: list[toxicity.Machin
             for lo, hi, data, offsets in blocks(batch["text"]):
                 slots, text, many = features(data, offsets)
                 p = np.stack([1 / (1 + np.exp(-np.clip(m.logits(slots, text, hi - lo), -30, 30))) for m in sent.value], 1)
-                # The largest share is 1 / k at least, so a grid of 2 k leaves no posterior empty.
-                p = np.round(max(GRID, 2 * p.shape[1]) * p / p.sum(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(p.reshape(-1)), p.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(many, pa.int64()), lists], [*keep, "n_tokens", "p"])
@@ -108,47 +112,70 @@ def posteriors(docs: DataFrame, names: list[str], machines: list[toxicity.Machin
     return docs.select(*keep).mapInArrow(run, schema)
 
 
-def rate_of(p: Column, history: list[tuple[list[float], float]], step: float, r0: float) -> Column:
-    """The rate after the steps of `history` ((gradient over domains, momentum) of each)."""
-    if not history:
-        return F.lit(r0)
-    dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+def cell_of(p: Column) -> Column:
+    return F.transform(p, lambda x: F.round(x * GRID).cast("int"))
+
+
+def moved(center: Column, x: Column, y: Column, history: list[tuple[list[float], float]], step: float, r0: float) -> Column:
+    """(x, y, d, e) after the steps of `history` ((gradient over domains, momentum) of each).
+
+    Of the last step, d is how far it moved and e > 0 if momentum went against the gradient.
+    """
+    dot = lambda g: F.aggregate(F.zip_with(center, g, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
     # One literal, however long the history is.
     told = json.dumps([{"g": g, "b": b} for g, b in history])
     rows = F.from_json(F.lit(told), "array<struct<g:array<double>,b:double>>")
-    start = F.struct(F.lit(r0).alias("x"), F.lit(r0).alias("y"))
 
     def move(acc: Column, h: Column) -> Column:
-        x = F.greatest(F.lit(0.0), acc["y"] - step * (dot(h["g"]) + RIDGE * (acc["y"] - r0)))
-        return F.struct(x.alias("x"), (x + h["b"] * (x - acc["x"])).alias("y"))
+        new = F.greatest(F.lit(0.0), acc["y"] - step * (dot(h["g"]) + RIDGE * (acc["y"] - r0)))
+        return F.struct(new.alias("x"), (new + h["b"] * (new - acc["x"])).alias("y"), F.abs(new - acc["y"]).alias("d"), ((acc["y"] - new) * (new - acc["x"])).alias("e"))
 
-    return F.aggregate(rows, start, move, lambda acc: F.struct(acc["x"].alias("x"), acc["y"].alias("y")))
+    return F.aggregate(rows, F.struct(x.alias("x"), y.alias("y"), F.lit(float("inf")).alias("d"), F.lit(0.0).alias("e")), move)
 
 
-def solve(soft: DataFrame, target: list[float], budget: float) -> tuple[list, float, float]:
-    """`soft(n_tokens, p)`: (history, step, r0) of the projected gradient."""
+def solve(soft: DataFrame, target: list[float], budget: float) -> tuple[DataFrame, int]:
+    """`soft(n_tokens, p)`: (cell, rate) of every cell, and how many cells there are."""
     k, r0 = len(target), float(budget)
-    grid = saved(soft.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("mass")), "mixing-grid")
+    rows = soft.select("n_tokens", "p", cell_of(F.col("p")).alias("cell"))
     at = [F.get("p", F.lit(i)) for i in range(k)]
-    moments = grid.agg(F.sum("mass").alias("n"), *(F.sum(F.col("mass") * at[i] * at[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(k))).first()
-    total = moments["n"] or 0.0
+    mass = F.sum("n_tokens").cast("double")
+    center = F.array(*(F.when(mass > 0, F.sum(F.col("n_tokens") * x) / mass).otherwise(F.avg(x)) for x in at))
+    cells = saved(rows.groupBy("cell").agg(mass.alias("mass"), center.alias("center")), "mixing-cells")
+    at = [F.get("center", F.lit(i)) for i in range(k)]
+    told = cells.agg(F.count(F.lit(1)).alias("many"), F.sum("mass").alias("n"), *(F.sum(F.col("mass") * x).alias(f"s{i}") for i, x in enumerate(at))).first()
+    total = told["n"] or 0.0
     if not total or k < 2:
-        return [], 0.0, r0
-    gram = np.array([[moments[f"h{i}_{j}"] for j in range(k)] for i in range(k)]) / total
-    step = float(1 / (np.linalg.eigvalsh(gram)[-1] + RIDGE))
+        return cells.select("cell", F.lit(r0).alias("rate")), told["many"]
+    # Posteriors sum to 1, so a row of their second moments sums to its domain's share, which bounds the curvature.
+    step = float(1 / (max(told[f"s{i}"] for i in range(k)) / total + RIDGE))
     goal = np.array(target) * budget
+    cells = cells.withColumns({"x": F.lit(r0), "y": F.lit(r0), "d": F.lit(float("inf")), "e": F.lit(0.0)})
     history: list[tuple[list[float], float]] = []
-    for t in range(ITERATIONS):
-        # Gradient at y: one aggregation over the grid.
-        y = rate_of(F.col("p"), history, step, r0)
-        y = y["y"] if history else y
-        rated = grid.select("mass", "p", y.alias("y"))
-        got = rated.agg(*(F.sum(F.col("mass") * F.col("y") * at[i]).alias(f"s{i}") for i in range(k)), F.sum(F.col("mass") * F.col("y")).alias("m")).first()
-        gradient = np.array([got[f"s{i}"] for i in range(k)]) / total - goal
-        if history and np.abs(gradient + RIDGE * (got["m"] / total - r0)).max() < TOLERANCE:
+    age = 0
+    for _ in range(ITERATIONS + 1):
+        rated = cells
+        if history:
+            rated = cells.select("cell", "mass", "center", moved(F.col("center"), F.col("x"), F.col("y"), history, step, r0).alias("now")).select("cell", "mass", "center", "now.*")
+        if len(history) == STRETCH:
+            cells, history = saved(rated, "mixing-cells"), []
+            rated = cells
+        # Gradient at y: one aggregation over the cells.
+        got = rated.agg(*(F.sum(F.col("mass") * F.col("y") * x).alias(f"s{i}") for i, x in enumerate(at)), F.max("d").alias("d"), F.sum(F.col("mass") * F.col("e")).alias("e")).first()
+        if got["d"] < TOLERANCE:
             break
-        history.append((gradient.tolist(), t / (t + 3)))
-    return history, step, r0
+        age = 0 if got["e"] > 0 else age
+        history.append(((np.array([got[f"s{i}"] for i in range(k)]) / total - goal).tolist(), age / (age + 3)))
+        age += 1
+    else:
+        warnings.warn(f"rates still move by {got['d']:.2g} after {ITERATIONS} steps", stacklevel=2)
+    return rated.select("cell", F.col("x").alias("rate")), told["many"]
+
+
+def rated(soft: DataFrame, target: list[float], budget: float) -> DataFrame:
+    """`soft(n_tokens, p)` with its rates."""
+    cells, many = solve(soft.select("n_tokens", "p"), target, budget)
+    found = maybe_broadcast(cells.select(F.col("cell").alias("_cell"), "rate"), many)
+    return soft.join(found, cell_of(F.col("p")) == F.col("_cell")).drop("_cell")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float) -> DataFrame:
@@ -156,15 +183,13 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget:
 
     A document's chance is a hash of its doc_id and text, so a rerun gives the same copies.
     """
+    docs = docs.drop("n_tokens", "p", "rate", "copies")
     names, machines = train(docs, labels)
     if not names:
         none = F.lit(float(budget))
         return docs.withColumns({"n_tokens": F.lit(None).cast("long"), "p": F.array().cast("array<double>"), "rate": none, "copies": _copies(none)})
     soft = saved(posteriors(docs, names, machines), "mixing-posteriors")
-    history, step, r0 = solve(soft.select("n_tokens", "p"), [targets.get(x, 0.0) for x in names], budget)
-    rate = rate_of(F.col("p"), history, step, r0)
-    rate = rate["x"] if history else rate
-    return soft.withColumn("rate", rate).withColumn("copies", _copies(F.col("rate")))
+    return rated(soft, [targets.get(x, 0.0) for x in names], budget).withColumn("copies", _copies(F.col("rate")))
 
 
 def _copies(rate: Column) -> Column:

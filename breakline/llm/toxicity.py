@@ -71,7 +71,7 @@ def slots_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (key & np.uint64((1 << BITS) - 1)).astype(np.int64), (key >> np.uint64(BITS)).astype(np.int64)
 
 
-def telling(docs: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+def telling(docs: list[np.ndarray], y: np.ndarray, size: int, pairs: bool) -> np.ndarray:
     """Mask of slots that tell about the label, alone or together with another one; rarer ones would only be learnt by heart."""
     n, positives = len(docs), y.sum()
     count = lambda which: sum((np.bincount(np.concatenate(which[i : i + 500]), minlength=size) for i in range(0, len(which), 500)), np.zeros(size))
@@ -81,7 +81,8 @@ def telling(docs: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     chi = n * (a * (n - positives - b) - b * (positives - a)) ** 2 / np.maximum(seen * (n - seen) * positives * (n - positives), 1)
     chi[seen < MIN_DOCS] = 0
     kept = chi >= max(CHI, np.sort(chi)[-TERMS])
-    kept[joint(docs, y, seen)] = True
+    if pairs:
+        kept[joint(docs, y, seen)] = True
     return kept
 
 
@@ -119,8 +120,8 @@ def joint(docs: list[np.ndarray], y: np.ndarray, seen: np.ndarray) -> np.ndarray
     return top[kept]
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, positive: float = POSITIVE) -> Machine:
-    """docs: distinct slots of each document."""
+def fit(docs: list[np.ndarray], y: np.ndarray, positive: float = POSITIVE, pairs: bool = True) -> Machine:
+    """docs: distinct slots of each document; `pairs`: keep also slots that tell only together."""
     size = 1 << BITS
     machine = Machine(0.0, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32))
     positives = float(y.mean()) if len(y) else 0.5
@@ -128,7 +129,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, positive: float = POSITIVE) -> Ma
         machine.bias = float(np.log((positives + 1e-3) / (1 - positives + 1e-3)))
         return machine
     rng = np.random.default_rng(SEED)
-    kept = telling(docs, y, size)
+    kept = telling(docs, y, size, pairs)
     docs = [d[kept[d]].astype(np.int64) for d in docs]
     w, v = np.zeros(size), rng.normal(0, START, (size, FACTORS)) * kept[:, None]
     gw, gv, gb, bias = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2, float(np.log(positives / (1 - positives)))

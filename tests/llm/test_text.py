@@ -288,6 +288,7 @@ def test_mixing(spark):
     assert len(got) == len(rows) + len(ODD) and all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
     p, n, rate = np.array([r.p for r in got]), np.array([r.n_tokens for r in got]), np.array([r.rate for r in got])
     assert np.allclose((p * (n * rate)[:, None]).sum(0) / n.sum(), [0.5, 0.5], atol=0.02)
+    assert np.abs(p * mixing.GRID - np.round(p * mixing.GRID)).max() > 0.05  # posteriors are not rounded
     assert mixing.mixed(docs.limit(0), labels, targets, 1.0).count() == 0
     assert {r.rate for r in mixing.mixed(docs.limit(3), labels.limit(0), targets, 2.0).collect()} == {2.0}
 
@@ -311,21 +312,23 @@ def test_language_threshold():
     assert langid.threshold(logits, np.array([1, 1, 1, 1])) == 2.0 and langid.threshold(np.zeros((0, 2)), np.zeros(0)) == 0.0
 
 
-def test_mixing_equals_plain_solver(spark):
+@pytest.mark.parametrize("target", [[0.6, 0.25, 0.15], [0.4, 0.3, 0.3]])
+def test_mixing_equals_plain_solver(spark, target):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([1, 1, 1], 50)
     n = rng.integers(1, 100, 50)
-    df = spark.createDataFrame([(int(k), x.tolist()) for k, x in zip(n, p, strict=True)], "n_tokens long, p array<double>")
-    history, step, r0 = mixing.solve(df, [0.8, 0.15, 0.05], 1.0)
-    got = np.array([r[0] for r in df.select(mixing.rate_of(F.col("p"), history, step, r0)["x"]).collect()])
-    rate = np.ones(50)
-    for _ in range(40_000):
-        g = (p * (n * rate)[:, None]).sum(0) / n.sum() - np.array([0.8, 0.15, 0.05])
-        rate = np.maximum(0, rate - 2 * (p @ g + mixing.RIDGE * (rate - 1)))
-    assert np.abs((p * (n * (got - rate))[:, None]).sum(0) / n.sum()).max() < 0.01 and got.min() >= 0
-
-
-TOKENS = [*ODD[:-1], "Hello, World!! it's don't <|endoftext|> x<|startoftext|>y", "<|EndOfText|>", "İstanbul ẞ é́   a b\x1cc", "\x01 a\x01b", "naïve café" * 50, "Hello, World!! it's"]
+    df = spark.createDataFrame([(i, int(k), x.tolist()) for i, (k, x) in enumerate(zip(n, p, strict=True))], "i long, n_tokens long, p array<double>")
+    target = np.array(target)
+    got = np.array([r.rate for r in mixing.rated(df, target.tolist(), 1.0).orderBy("i").collect()])
+    _, cell = np.unique(np.floor(p * mixing.GRID + 0.5), axis=0, return_inverse=True)
+    cell = cell.reshape(-1)
+    mass = np.bincount(cell, n)
+    center = np.stack([np.bincount(cell, n * p[:, i]) for i in range(3)], 1) / mass[:, None]
+    rate = np.ones(len(mass))
+    for _ in range(60_000):
+        rate = np.maximum(0, rate - (center @ ((center * (mass * rate)[:, None]).sum(0) / n.sum() - target) + mixing.RIDGE * (rate - 1)))
+    assert np.abs(got - rate[cell]).max() < 0.02 and got.min() >= 0
+    assert np.abs((p * (n * (got - rate[cell]))[:, None]).sum(0) / n.sum()).max() < 1e-3
 
 
 def test_tokens_equal_direct_encoding(spark):
