@@ -5,8 +5,9 @@ page is then a `response` or a `revisit` that refers to the smallest page_id of
 task appends gzip members to a WARC file of its own in the shared folder and returns one capture per
 record; the captures are a committed table, so a file that a lost or repeated task left behind is
 never read. Index: captures are range-partitioned by key (host reversed, then path), sorted, and
-written as gzip blocks of `BLOCK` lines; the directory keeps one row per block. A lookup searches
-the directory, reads only the blocks that may hold the key and then the bytes of the records.
+written as gzip blocks of `BLOCK` lines; the directory keeps one row per block. A lookup cuts wanted keys
+and directory at the same points, searches the directory slice by binary search, reads only the blocks
+that may hold the key, searches those, and then reads the bytes of the records.
 
 Edge cases: a null html is an empty payload; a null url has the empty key; rows with a null page_id
 are responses and never referred to; rows that repeat the smallest page_id of a payload are all
@@ -25,6 +26,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ from .common import maybe_broadcast, new_path, saved, table
 
 #: Captures per index block; records per file are bounded by ROTATE bytes.
 BLOCK, ROTATE = 1000, 512 << 20
+#: Directory rows of a slice of the lookup, slices at most, and characters of the key that a cut keeps.
+SLICE, SPLITS, SPLIT_CHARS = 64, 4096, 64
 #: A payload of fewer bytes is always a response.
 MIN_PAYLOAD = 0
 CAPTURE = "key string, page_id long, file string, offset long, length long"
@@ -167,17 +171,73 @@ def read_range(store, at: str, file: str, offset: int, length: int) -> bytes:
         return zlib.decompress(f.read(length), 31)
 
 
-def read_captures(directory: DataFrame, path: str) -> DataFrame:
-    """All captures, from the index blocks."""
+def split_points(directory: DataFrame) -> list[str]:
+    """At most SPLITS sorted cuts of the key range (first SPLIT_CHARS characters of block keys), about SLICE blocks apart."""
+    cut = F.substring("first", 1, SPLIT_CHARS)
+    n = min(SPLITS, directory.count() // SLICE)
+    if not n:
+        return []
+    ranked = directory.select(cut.alias("cut")).distinct().orderBy(F.xxhash64("cut"), "cut").limit(n)
+    return sorted(r["cut"] for r in ranked.collect())
+
+
+def find_captures(directory: DataFrame, path: str, keys: DataFrame) -> DataFrame:
+    """Captures of the rows of `keys(key)`, read from the index blocks that the directory names.
+
+    Key range and directory are cut at the same points; a block that spans several slices is in each. In a
+    slice the directory rows come first and stay in memory, and each batch of wanted keys is found among them
+    by binary search. Blocks hit are then read, each once per slice, and searched in the same way. A key with
+    many captures has many blocks, which are dealt out on their own.
+    """
+    cuts = split_points(directory)
+    told = directory.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("long")
+    def slice_of(key: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(told.value, k) for k in key], dtype="int64")
+
+    blocks = directory.select(F.explode(F.sequence(slice_of("first"), slice_of("last"))).alias("slice"), F.lit(0).alias("kind"), F.col("first").alias("key"), "last", "file", "offset", "length")
+    wanted = keys.where("key is not null").select("key").distinct()
+    none = [F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("length")]
+    both = blocks.unionByName(wanted.select(slice_of("key").alias("slice"), F.lit(1).alias("kind"), "key", *none))
+    n = max(1, keys.rdd.getNumPartitions(), directory.rdd.getNumPartitions())
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, parts, table_, firsts, lasts = None, [], None, None, None
+        for pdf in batches:
+            for at, group in pdf.groupby("slice", sort=False):
+                if at != here:
+                    here, parts, table_ = at, [], None
+                own = group[group.kind == 0]
+                if len(own):
+                    parts.append(own)
+                    table_ = None
+                ask = group.loc[group.kind == 1, "key"].to_numpy(object)
+                if not len(ask) or not parts:
+                    continue
+                if table_ is None:
+                    table_ = pd.concat(parts, ignore_index=True)
+                    firsts, lasts = table_.key.to_numpy(object), table_["last"].to_numpy(object)
+                # Blocks are disjoint and in order: those of a key lie between the first that ends at it or
+                # later and the last that starts at it or before.
+                lo, hi = np.searchsorted(lasts, ask, "left"), np.searchsorted(firsts, ask, "right")
+                for b in range(int(lo.min()), int(hi.max())):
+                    hit = ask[np.searchsorted(hi, b, "right") : np.searchsorted(lo, b, "right")]
+                    if len(hit):
+                        row = table_.iloc[b]
+                        yield pd.DataFrame({"file": [row.file], "offset": [row.offset], "length": [row.length], "keys": [hit.tolist()]})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, at = filesystem(path)
         for pdf in batches:
             for b in pdf.itertuples(index=False):
                 rows = [json.loads(x) for x in read_range(store, at, b.file, b.offset, b.length).decode().split("\n")]
-                yield pd.DataFrame(rows, columns=["key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
+                names = [r[0] for r in rows]
+                found = [r for k in b.keys for r in rows[bisect.bisect_left(names, k) : bisect.bisect_right(names, k)]]
+                yield pd.DataFrame(found, columns=["key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
 
-    return directory.mapInPandas(read, CAPTURE)
+    hits = both.repartition(n, "slice").sortWithinPartitions("slice", "kind", "key", "last", "file", "offset").mapInPandas(search, "file string, offset long, length long, keys array<string>")
+    return hits.repartition(n, "file", "offset").mapInPandas(read, CAPTURE)
 
 
 def read_warc(captures: DataFrame, path: str) -> DataFrame:
@@ -212,38 +272,16 @@ def read_warc(captures: DataFrame, path: str) -> DataFrame:
 
 
 def lookup(directory: DataFrame, index_path: str, warc_path: str, urls: DataFrame) -> DataFrame:
-    """Records whose url has the key of a row of `urls(url)`.
-
-    The directory has a row per BLOCK captures. Its first and last keys select blocks by a join on
-    ranges of a bounded query list; inside a block the key is found by binary search.
-    """
-    spark = directory.sparkSession
-    wanted = sorted({r[0] for r in urls.select(key_of(F.col("url")).alias("key")).distinct().limit(100_001).collect()})
-    if len(wanted) > 100_000:
-        raise ValueError("look up at most 100,000 keys at a time")
-    sent = spark.sparkContext.broadcast(wanted)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, at = filesystem(index_path)
-        for pdf in batches:
-            for b in pdf.itertuples(index=False):
-                keys = sent.value[bisect.bisect_left(sent.value, b.first) : bisect.bisect_right(sent.value, b.last)]
-                if not keys:
-                    continue
-                rows = [json.loads(x) for x in read_range(store, at, b.file, b.offset, b.length).decode().split("\n")]
-                names = [r[0] for r in rows]
-                hit = [r for k in keys for r in rows[bisect.bisect_left(names, k) : bisect.bisect_right(names, k)]]
-                yield pd.DataFrame(hit, columns=["key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
-
-    return read_warc(directory.mapInPandas(read, CAPTURE), warc_path)
+    """Records whose url has the key of a row of `urls(url)`, however many rows there are."""
+    return read_warc(find_captures(directory, index_path, urls.select(key_of(F.col("url")).alias("key"))), warc_path)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, written with their index and read back from index and archives."""
+    """All pages, written with their index, looked up by their urls and read back from the archives."""
     path, index = new_path(spark, "warc"), new_path(spark, "warc-index")
-    directory = write_index(write_warc(table(spark, sf_dir, "pages"), path), index)
-    back = read_warc(read_captures(directory, index), path)
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    directory = write_index(write_warc(pages, path), index)
+    return lookup(directory, index, path, pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP10_SQL = """

@@ -110,7 +110,7 @@ def test_warc(spark, tmp_path):
     df = spark.createDataFrame(list(zip(ids, urls, html, ids, strict=True)), "page_id long, url string, html string, first long")
     path, index = new_path(spark, "w"), new_path(spark, "i")
     directory = warc.write_index(warc.write_warc(df, path), index)
-    back = warc.read_warc(warc.read_captures(directory, index), path).collect()
+    back = warc.lookup(directory, index, path, df).collect()
     assert len(back) == 7
     by = {r.page_id: r for r in back}
     for i, h in zip(ids, html, strict=True):
@@ -124,6 +124,22 @@ def test_warc(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_warc_lookup_over_many_blocks(spark, monkeypatch):
+    """Small blocks and slices; one url holds a third of all pages and so many blocks."""
+    monkeypatch.setattr(warc, "SLICE", 3)
+    monkeypatch.setattr(warc, "SPLIT_CHARS", 12)
+    captures = spark.createDataFrame([(f"com,h{i % 97})/" if i % 3 else "com,hot)/", i, f"f{i}", i, 1) for i in range(900)], warc.CAPTURE).repartition(3)
+    index = new_path(spark, "many")
+    monkeypatch.setattr(warc, "BLOCK", 7)
+    directory = warc.write_index(captures, index)
+    assert len(warc.split_points(directory)) > 3
+    got = warc.find_captures(directory, index, captures.select("key").union(captures.select("key")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, captures.collect()))
+    some = spark.createDataFrame([("com,hot)/",), ("com,h5)/",), ("aaa",), ("zzz",), ("com,h50",), (None,)], "key string")
+    assert sorted(r.page_id for r in warc.find_captures(directory, index, some).collect()) == [i for i in range(900) if i % 3 == 0 or i % 97 == 5]
+    assert warc.find_captures(directory.limit(0), index, some).count() == 0
+
+
 def test_warc_members_are_standard():
     raw = warc.record(7, "http://a/\r\nx", b"body", None)
     assert gzip.decompress(gzip.compress(raw)) == raw and warc.parse(raw)["payload"] == b"body"
