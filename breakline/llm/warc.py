@@ -36,7 +36,7 @@ from .common import maybe_broadcast, new_path, saved, table
 #: Captures per index block; records per file are bounded by ROTATE bytes.
 BLOCK, ROTATE = 1000, 512 << 20
 #: Directory rows of a slice of the lookup, slices at most, and characters of the key that a cut keeps.
-SLICE, SPLITS, SPLIT_CHARS = 64, 4096, 64
+SLICE, SPLITS, SPLIT_CHARS = 4, 4096, 64
 #: A payload of fewer bytes is always a response.
 MIN_PAYLOAD = 0
 CAPTURE = "key string, page_id long, file string, offset long, length long"
