@@ -61,7 +61,8 @@ def split_alignments(alignments: DataFrame, config: CallConfig = CallConfig()) -
     alignment over the chunk's length: both as the parity register asks.
     """
     others = [c for c in alignments.columns if c not in LONG]
-    rows = with_chunks(alignments, config).select(*others, F.posexplode("chunks").alias("chunk", "_c"))
+    # An outer generator: no filter on the size of `chunks` is inferred, which would hold the whole expression.
+    rows = with_chunks(alignments, config).select(*others, F.posexplode_outer("chunks").alias("chunk", "_c"))
     return rows.select(*others, "chunk", "_c.*").where("length > 0")
 
 
