@@ -331,6 +331,9 @@ def test_mixing_equals_plain_solver(spark, target):
     assert np.abs((p * (n * (got - rate[cell]))[:, None]).sum(0) / n.sum()).max() < 1e-3
 
 
+TOKENS = [*ODD[:-1], "Hello, World!! it's don't <|endoftext|> x<|startoftext|>y", "<|EndOfText|>", "İstanbul ẞ é́   a b\x1cc", "\x01 a\x01b", "naïve café" * 50, "Hello, World!! it's"]
+
+
 def test_tokens_equal_direct_encoding(spark):
     path = tokenstore.vocabulary()
     rng = random.Random(2)
