@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, jaccard, langid, license_scan, mixing, tokenstore, topk, toxicity, warc
+from . import chat, decontaminate, fim, jaccard, langid, license_scan, mixing, quality, spelling, tokenstore, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,7 +17,10 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_warc": warc.op10_warc,
+    "op11_fim": fim.op11_fim,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_quality": quality.op13_quality,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op3_topk": topk.OP3_SQL, "op8_chat": chat.OP8_SQL, "op9_jaccard": jaccard.OP9_SQL, "op10_warc": warc.OP10_SQL}
+SQL = {"op3_topk": topk.OP3_SQL, "op8_chat": chat.OP8_SQL, "op9_jaccard": jaccard.OP9_SQL, "op10_warc": warc.OP10_SQL, "op11_fim": fim.OP11_SQL}
