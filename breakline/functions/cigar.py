@@ -37,6 +37,11 @@ def total(ops: Column, kinds: str) -> Column:
     return F.aggregate(ops, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["op"].isin(list(kinds)), x["len"]).otherwise(0))
 
 
+def reference_length(cigar: Column) -> Column:
+    """Reference bases of an alignment."""
+    return F.aggregate(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), F.lit(1)), F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long"))
+
+
 def outer_clips(cigar: Column) -> tuple[Column, Column]:
     """Leading and trailing clip: the outermost operation if it is S or H, else 0."""
     number = lambda pattern: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(cigar, pattern, 1), F.lit("")), F.lit("999999999999")).cast("long"), F.lit(0).cast("long"))
@@ -96,28 +101,3 @@ def share(matches: Column, equal: Column, aligned_m: Column, aligned: Column) ->
     part = lambda n: rounded3(F.try_divide(n.cast("double"), aligned.cast("double")))
     same = part(equal)
     return F.when(matches.isNotNull(), part(matches)).otherwise(F.when(same == 0, part(aligned_m)).otherwise(same))
-
-
-def read_index(ops: Column, gap: int = -1, skip: int = -2) -> Column:
-    """For each reference base of the alignment the place of its read base; `gap` in D, `skip` in N."""
-    uses = F.transform(ops, lambda o: F.when(o["op"].isin(list("MIS=X")), o["len"]).otherwise(F.lit(0).cast("long")))
-    placed = F.zip_with(ops, running(uses), lambda o, at: F.struct(o.alias("o"), at.alias("at")))
-    many = F.filter(placed, lambda x: x["o"]["op"].isin(list("MDN=X")) & (x["o"]["len"] > 0))
-    last = lambda x: (x["at"] + x["o"]["len"] - 1).cast("int")
-    other = lambda x: F.array_repeat(F.when(x["o"]["op"] == "D", F.lit(gap)).otherwise(F.lit(skip)), x["o"]["len"].cast("int"))
-    return F.flatten(F.transform(many, lambda x: F.when(x["o"]["op"].isin(list("M=X")), F.sequence(x["at"].cast("int"), last(x))).otherwise(other(x))))
-
-
-def md_mismatches(md: Column) -> Column:
-    """Offsets, in reference bases without skipped ones, of the mismatches of an MD string."""
-    parts = F.regexp_extract_all(md, F.lit(r"(\d+|\^[A-Za-z]+|[A-Za-z])"), F.lit(1))
-    width = lambda x: F.when(x.rlike(r"^\d"), x.try_cast("long")).when(x.startswith("^"), F.length(x) - 1).otherwise(F.lit(1)).cast("long")
-    placed = F.zip_with(parts, running(F.transform(parts, width)), lambda x, at: F.when(x.rlike("^[A-Za-z]$"), at))
-    return F.filter(placed, lambda x: x.isNotNull())
-
-
-def offsets_of(ops: Column, kind: str) -> Column:
-    """Offsets, in all reference bases, of the bases of operations of a kind (X or D)."""
-    uses = F.transform(ops, lambda o: F.when(o["op"].isin(list("MDN=X")), o["len"]).otherwise(F.lit(0).cast("long")))
-    placed = F.filter(F.zip_with(ops, running(uses), lambda o, at: F.struct(o.alias("o"), at.alias("at"))), lambda x: (x["o"]["op"] == kind) & (x["o"]["len"] > 0))
-    return F.flatten(F.transform(placed, lambda x: F.sequence(x["at"], x["at"] + x["o"]["len"] - 1)))

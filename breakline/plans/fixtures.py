@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Segments from lineitem: an order is a read, a line a segment.
 SEGMENTS = """
@@ -34,6 +35,34 @@ select qname, ln, rname, flag, pos - 1 as pos0, mapq,
 from segments
 """
 
+#: Alignments with bases and qualities, from the segments. Reads of a place share the reference position of an
+#: X or MD mismatch, which four in nine show; some have an insertion, a deletion, a skipped stretch, a long gap.
+READS = """
+with r as (select *, cast(pos % 100 as int) as jit, 3 + ln as clip5, case when qname % 9 < 4 then 'X' else '=' end as mid, case when ln % 3 = 0 then 'I' else 'D' end as gap,
+    2 + cast(qname % 4 as int) as small, 31 + cast(qname % 3 as int) as wide, cast(length as int) - 220 as tail from segments),
+c as (select *, case when ln % 2 = 0 then 'M' else '=' end as eq, case when ln % 2 = 0 then 'M' else mid end as at_site from r)
+select qname, ln, rname, flag, pos - 1 as pos0, mapq,
+  concat(cast(clip5 as varchar(9)), 'S', cast(200 - jit as varchar(9)), eq, '1', at_site, '19', eq, cast(small as varchar(9)), gap, '8', eq,
+    case when ln = 5 then concat(cast(wide as varchar(9)), 'D') when ln = 4 then '40N' else '' end, cast(tail as varchar(9)), eq, '2H') as cigar,
+  case when ln % 2 = 0 then concat(case when mid = 'X' then concat(cast(200 - jit as varchar(9)), 'C', case when gap = 'D' then '19' else cast(27 + tail as varchar(9)) end)
+      else case when gap = 'D' then cast(220 - jit as varchar(9)) else cast(228 - jit + tail as varchar(9)) end end,
+    case when gap = 'D' then concat('^', repeat('G', small), cast(8 + tail as varchar(9))) else '' end) end as md,
+  clip5 + 200 - jit as site, clip5 + 228 - jit + tail + case when gap = 'I' then small else 0 end as bases, mid
+from c
+"""
+
+#: Bases and qualities of READS: digits of a hash, but one base for all that differ at the shared position.
+BASES = """
+select qname, ln, rname, flag, pos0, mapq, cigar, md, concat(substr(s, 1, site), case when mid = 'X' then 'T' else 'A' end, substr(s, site + 2)) as seq, q as qual_text
+from (select *, substr(repeat(translate(md5(concat(cast(qname as varchar(20)), ';', cast(ln as varchar(9)))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 32), 1, bases) as s,
+  substr(repeat(translate(md5(concat(cast(ln as varchar(9)), ';', cast(qname as varchar(20)))), 'abcdef', '789789'), 32), 1, bases) as q from reads)
+"""
+
+#: Asked positions: some around every place.
+SPOTS = """
+select distinct rname, pos - pos % 100 + o as pos from segments cross join (select 7 as o union all select 200 union all select 221 union all select 224 union all select 250 union all select 275) x
+"""
+
 #: Read bases at positions on a grid of 100, from lineitem.
 PILEUP = """
 with d as (select *, row_number() over (partition by l_orderkey, l_linenumber
@@ -80,6 +109,17 @@ def pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, PILEUP, lineitem=table(spark, sf_dir, "lineitem"), segments=segments(spark, sf_dir))
 
 
+def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """READS with seq and qual (array<int>)."""
+    rows = view(spark, BASES, reads=view(spark, READS, segments=segments(spark, sf_dir)))
+    digits = F.filter(F.split("qual_text", ""), lambda x: x != "")
+    return rows.select("qname", "ln", "rname", "flag", "pos0", "mapq", "cigar", "md", "seq", F.transform(digits, lambda x: x.cast("int") * 4).alias("qual"))
+
+
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, SPOTS, segments=segments(spark, sf_dir))
+
+
 def mask(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source = "part" if name == "repeats" else "supplier"
     return view(spark, MASKS[name], **{source: table(spark, sf_dir, source)})

@@ -11,6 +11,7 @@ from breakline.config import CallConfig
 from breakline.functions import cigar as C
 from breakline.operators import annotate, clusters, coverage, evidence, phasing, sampling, segments
 from breakline.operators import junctions as J
+from breakline.operators.pileup import pileup
 from breakline.plans import calling, phase
 from breakline.plans import fixtures as X
 from breakline.shared import saved
@@ -22,6 +23,11 @@ SIDES = ["qname", "clip", "rname1", "pos1", "flag1", "mapq1", "pid1", "rname2",
 VARIANT = ["svtype", "chr", "chr2", "flag1", "flag2", "dv", "pos", "end"]
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments, written, for queries whose steps read them several times."""
+    return saved(X.segments(spark, sf_dir), "segments")
+
+
 def split_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = segments.split_alignments(X.alignments(spark, sf_dir), CONFIG)
     return out.select("qname", "ln", F.col("chunk").cast("long").alias("chunk"), "pos", "stop", "length", "clip", "clip_2")
@@ -68,17 +74,17 @@ def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_cluster_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = CONFIG.cluster_distance
-    rows = clusters.islands(J.junctions(X.segments(spark, sf_dir), CONFIG), clusters.REGION, "pos1", d)
-    keys = [*clusters.REGION, "island"]
-    made = clusters.gap_clusters(rows, keys, ["pos1", "pos2", "qname", "clip"], d, "c1")
-    over = f"over (partition by {', '.join(keys)}, c1)"
-    return made.selectExpr("qname", "clip", "svtype", f"min(pos1) {over} as cluster_start", f"count(1) {over} as cluster_size")
+    rows = saved(J.junctions(X.segments(spark, sf_dir), CONFIG), "junctions")
+    made = clusters.gap_clusters(rows, clusters.REGION, ["pos1", "pos2", "qname", "clip"], CONFIG.cluster_distance, "c1")
+    name = [*clusters.REGION, "c1"]
+    of = made.groupBy(*name).agg(F.min("pos1").alias("cluster_start"), F.count(F.lit(1)).alias("cluster_size"))
+    return made.join(of, name).select("qname", "clip", "svtype", "cluster_start", "cluster_size")
 
 
 def gap_cluster_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    over = f"over (partition by {', '.join(clusters.CLUSTER)})"
-    return _clustered(spark, sf_dir).selectExpr("qname", "clip", "svtype", f"min(pos1) {over} as start1", f"min(pos2) {over} as start2", f"count(1) {over} as cluster_size")
+    made = _clustered(spark, sf_dir)
+    of = made.groupBy(*clusters.CLUSTER).agg(F.min("pos1").alias("start1"), F.min("pos2").alias("start2"), F.count(F.lit(1)).alias("cluster_size"))
+    return made.join(of, clusters.CLUSTER).select("qname", "clip", "svtype", "start1", "start2", "cluster_size")
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +96,7 @@ def sv_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _call(spark: SparkSession, sf_dir: str, depth: bool = True) -> calling.Call:
-    rows = X.segments(spark, sf_dir)
+    rows = _segments(spark, sf_dir)
     if not depth:
         return calling.call(rows, CONFIG)
     runs, sample = _depths(spark, rows)
@@ -98,7 +104,7 @@ def _call(spark: SparkSession, sf_dir: str, depth: bool = True) -> calling.Call:
 
 
 def sv_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = _segments(spark, sf_dir)
     made, found = calling.detect(rows, CONFIG)
     hung = evidence.hanging_support(found, J.hanging_ends(rows, CONFIG), CONFIG)
     out = found.join(evidence.side_medians(made, found, hung), "sv_id")
@@ -111,18 +117,18 @@ def sv_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sv_hanging_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = _segments(spark, sf_dir)
     found = calling.detect(rows, CONFIG)[1]
     return evidence.hanging_support(found, J.hanging_ends(rows, CONFIG), CONFIG).select("sv_id", "bp_side", "rname", "side", "pos", "qname", "clip")
 
 
 def ref_read_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = _segments(spark, sf_dir)
     return evidence.reference_reads(calling.detect(rows, CONFIG)[1], rows, CONFIG)
 
 
 def sv_genotype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = _segments(spark, sf_dir)
     made, found = calling.detect(rows, CONFIG)
     out = evidence.support(made, found, evidence.hanging_support(found, J.hanging_ends(rows, CONFIG), CONFIG), evidence.reference_reads(found, rows, CONFIG))
     return out.select("sv_id", "dv", "hr_1", "hr_2", "dr_1", "dr_2", F.round("vo", 6).alias("vo"), F.round("ro", 6).alias("ro"), "gt", F.concat_ws(",", F.transform("pl", lambda x: x.cast("string"))).alias("pl"), "gq", "qual")
@@ -161,14 +167,14 @@ def coverage_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_hist_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = _segments(spark, sf_dir)
     runs, sample = _depths(spark, rows)
     tested = coverage.retyped(calling.detect(rows, CONFIG)[1], runs, sample).where("depth_pval is not null")
     return tested.select("sv_id", (F.col("flag1") == 16).alias("is_dup"), F.round("mean_depth", 6).alias("mean_depth"), F.round("depth_pval", 9).alias("pval"))
 
 
 def sv_depth_retype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = _segments(spark, sf_dir)
     runs, sample = _depths(spark, rows)
     return coverage.retyped(calling.detect(rows, CONFIG)[1], runs, sample).select("sv_id", "chr", "pos", "end", "svtype")
 
@@ -177,6 +183,26 @@ def ref_base_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.aligned_bases(X.pileup(spark, sf_dir).withColumnRenamed("chr", "rname"))
 
 
+def pileup_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases of the reads with sequences at the asked positions."""
+    return pileup(saved(X.bases(spark, sf_dir), "reads"), X.spots(spark, sf_dir)).select("rname", "pos", "qname", "clip", "base", F.col("qual").cast("long").alias("qual"))
+
+
+def snp_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNPs of the reads with sequences: alleles of every called position, '=' among them, and whether it is accepted."""
+    reads = saved(X.bases(spark, sf_dir), "reads")
+    kept = segments.keep_segments(segments.split_alignments(reads, CONFIG), CONFIG)
+    alleles = saved(phasing.discovered(saved(phasing.snp_calls(reads, CONFIG), "snp-calls"), kept.select("rname", "pos", "stop"), CONFIG), "alleles")
+    taken = phasing.accepted(alleles, CONFIG).select("chr", "pos", F.lit(1).alias("accepted"))
+    return alleles.join(taken, ["chr", "pos"], "left").na.fill(0, ["accepted"])
+
+
+def bed_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bases of the intervals have each depth of mapped alignments."""
+    runs = saved(coverage.depth_runs(segments.aligned_blocks(X.alignments(spark, sf_dir))), "depth-runs")
+    return coverage.interval_histogram(_masks(spark, sf_dir), runs)
+
+
 def _alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phasing.top_alleles(phasing.allele_counts(X.pileup(spark, sf_dir), CONFIG))
 
@@ -196,7 +222,7 @@ def _snps(calls: DataFrame) -> DataFrame:
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads by SNPs around every heterozygous call."""
-    rows, calls = saved(X.segments(spark, sf_dir), "segments"), saved(X.pileup(spark, sf_dir), "pileup")
+    rows, calls = _segments(spark, sf_dir), saved(X.pileup(spark, sf_dir), "pileup")
     return saved(phase.cells(calling.call(rows, CONFIG), rows, _snps(calls), calls, CONFIG), "cells")
 
 
@@ -210,7 +236,7 @@ def phase_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phase_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the purer side of every heterozygous variant; 0 and no p-value where no SNP is near."""
-    rows, calls = saved(X.segments(spark, sf_dir), "segments"), saved(X.pileup(spark, sf_dir), "pileup")
+    rows, calls = _segments(spark, sf_dir), saved(X.pileup(spark, sf_dir), "pileup")
     made = calling.call(rows, CONFIG)  # retyping by depth changes neither genotypes nor cells
     scored = phase.phased(made, rows, _snps(calls), calls, CONFIG).where("gt = '0/1'")
     return scored.select("sv_id", F.col("purity_score").alias("purity"), F.col("phasing_score").alias("phasing"), F.col("phasing_pvalue").alias("pvalue"), "snps_used")
@@ -257,7 +283,7 @@ def sv_call_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIST = (
     split_cigar, clip_extract, pid_filter, dedup_segments, read_split_filter, read_junctions, junction_canonical, junction_svtype, hanging_ends, gap_cluster_l1, gap_cluster_l2,
     sv_support, sv_medians, sv_ci, sv_hanging_join, ref_read_range_join, sv_genotype, sv_density, sv_mates, sv_filters, sv_alt_notation, coverage_depth, coverage_hist_pvalue,
-    sv_depth_retype, ref_base_mode, snp_allele_top2, snp_accept, phase_matrix, phase_similarity, phase_cluster, mask_anti_join, contig_asof_offset, events_sessionize, union_masks,
+    sv_depth_retype, bed_depth, pileup_bases, snp_discovery, ref_base_mode, snp_allele_top2, snp_accept, phase_matrix, phase_similarity, phase_cluster, mask_anti_join, contig_asof_offset, events_sessionize, union_masks,
     vcf_lines, sv_call_flagship,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _LIST}

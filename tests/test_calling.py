@@ -11,7 +11,7 @@ from breakline.functions import cigar as C
 from breakline.functions.genotype import with_genotype
 from breakline.operators import annotate, clusters, coverage, evidence, phasing, sampling, segments
 from breakline.operators import junctions as J
-from breakline.operators.range_join import range_join
+from breakline.operators.range_join import binned_intervals, range_join
 from breakline.sources import vcf
 from breakline.streaming.sessions import position_sessions, sessions
 
@@ -106,7 +106,7 @@ def _junctions(spark, points, **fixed):
 def _groups(df):
     out = {}
     for r in df.collect():
-        out.setdefault((r.island, r.c1, r.c2), set()).add((r.pos1, r.pos2))
+        out.setdefault((r.c1, r.c2), set()).add((r.pos1, r.pos2))
     return sorted(map(sorted, out.values()))
 
 
@@ -124,6 +124,51 @@ def test_clusters_do_not_depend_on_order(spark):
     assert sum(map(len, one)) == len(points)
 
 
+def plain_runs(rows, distance):
+    """{(key, position, tie): number} by a loop over sorted rows; None sorts first and ends a run."""
+    out, last = {}, {}
+    for k, p, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        before, n = last.get(k, (None, 0))
+        n += not (before is not None and p is not None and p - before <= distance)
+        out[k, p, t], last[k] = n, (p, n)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_gap_clusters_equal_a_loop(spark, partitions):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(0, 900)]), i) for i in range(400)] + [("hot", 3 * i, i) for i in range(3000)] + [("hot", 10_000 + 20 * i, i) for i in range(500)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        df = spark.createDataFrame(rows, "k string, p long, t int").repartition(5)
+        got = clusters.gap_clusters(df, ["k"], ["p", "t"], 10, "c").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert {(r.k, r.p, r.t): r.c for r in got} == plain_runs(rows, 10) and len(got) == len(rows)
+    assert clusters.gap_clusters(df.limit(0), ["k"], ["p", "t"], 10, "c").count() == 0
+
+
+def test_one_endless_run_is_many_tasks(spark):
+    """One key, one chain: no task has over two shares of the rows, and the chain is one cluster."""
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        rows = spark.range(200_000).select(F.lit("k").alias("k"), (F.col("id") * 2).alias("p"), "id")
+        made = clusters.gap_clusters(rows, ["k"], ["p", "id"], 10, "c")
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        tasks = spark.read.parquet(*made.inputFiles()).where("_run is not null").groupBy("_part").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert "Window" not in plan.split("BroadcastExchange")[0]
+    assert len(tasks) == 20 and max(r["count"] for r in tasks) <= 2 * 200_000 / 20
+    assert [r.c for r in made.select("c").distinct().collect()] == [1]
+
+
 def test_numbered(spark):
     df = spark.createDataFrame([("b", 5), ("a", 3_000_000), ("a", 1), ("b", 2), ("a", 2)], "k string, p long")
     assert [(r.k, r.p) for r in clusters.numbered(df, ["k"], ["p"], "n").orderBy("n").collect()] == [("a", 1), ("a", 2), ("a", 3_000_000), ("b", 2), ("b", 5)]
@@ -138,6 +183,25 @@ def test_range_join_equals_plain_join(spark):
         assert sorted(range_join(points, "p", spans, "lo", "hi", ["k"], width).select("i", "j").collect()) == sorted(plain.collect())
 
 
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_range_join_of_short_and_very_long_intervals(spark, how):
+    """Intervals of 1 to 10^7 bases against a plain join; each has two rows at most."""
+    rng = random.Random(6)
+    spots = [rng.randint(-1000, 20_000_000) for _ in range(60)]
+    lengths = [1, 2, 3, 1999, 2000, 2001, 7999, 8000, 8001, 31_999, 32_001, 10**5, 10**6, 10**7]
+    spans = [(i, rng.choice("ab"), (a := rng.choice(spots) - rng.randint(0, n)), a + n - 1) for i, n in enumerate(lengths * 9)] + [(900, "a", 5, 4), (901, None, 1, 10**7), (902, "a", None, 9)]
+    points = [(i, rng.choice("ab"), p) for i, p in enumerate(spots * 3)] + [(500, None, spots[0]), (501, "a", None), *((600 + i, k, x) for i, (_, k, a, b) in enumerate(spans[:126]) for x in (a, b))]
+    p, s = spark.createDataFrame(points, "i int, k string, p long"), spark.createDataFrame(spans, "j int, k string, lo long, hi long")
+    joined = range_join(p, "p", s, "lo", "hi", ["k"], 2000, how)
+    hit = [(i, j) for i, k, x in points for j, q, a, b in spans if None not in (k, x, q, a, b) and k == q and a <= x <= b]
+    if how == "inner":
+        assert sorted((r.i, r.j) for r in joined.collect()) == sorted(hit)
+        sizes = binned_intervals(s, "lo", "hi", 2000).groupBy("j").count().collect()
+        assert max(r["count"] for r in sizes) == 2 and len(sizes) == len(spans) - 2
+    else:
+        assert sorted(r.i for r in joined.collect()) == sorted(r[0] for r in points if (r[0] in {i for i, _ in hit}) == (how == "left_semi"))
+
+
 def test_depth_and_test(spark):
     blocks = spark.createDataFrame([("c", 5, 14), ("c", 10, 30), ("c", 10, 10)], "rname string, pos long, stop long")
     runs = coverage.depth_runs(blocks, 8)
@@ -253,8 +317,8 @@ def test_position_sessions_equal_first_level(spark):
     points = [(p, 1) for p in (1, 11, 21, 32, 100, 105, 116)]
     got = sorted((r.cluster_start, r.cluster_end, r.cluster_size) for r in position_sessions(_junctions(spark, points), clusters.REGION, 10).collect())
     assert got == [(1, 21, 3), (32, 32, 1), (100, 105, 2), (116, 116, 1)]
-    made = clusters.cluster(_junctions(spark, points)).groupBy("island", "c1").agg(F.min("pos1"), F.max("pos1"), F.count("*"))
-    assert got == sorted(tuple(r)[2:] for r in made.collect())
+    made = clusters.cluster(_junctions(spark, points)).groupBy("c1").agg(F.min("pos1"), F.max("pos1"), F.count("*"))
+    assert got == sorted(tuple(r)[1:] for r in made.collect())
 
 
 def test_breakends_count_both_sides(spark):
