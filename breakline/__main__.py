@@ -36,7 +36,7 @@ def read_alignments(spark: SparkSession, path: str, sequence: bool = True) -> tu
     header = bam.read_header(path)
     if not header.sorted:
         sys.exit(f"{path} is not sorted by coordinate")
-    spark.dataSource.register(bam.BamSource)
+    bam.register(spark)
     return spark.read.format("bam").option("path", path).option("sequence", sequence).load(), header.contigs, header.sample(path)
 
 

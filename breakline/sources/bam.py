@@ -1,18 +1,21 @@
 """Alignments from BAM files, as a Python data source.
 
-    spark.dataSource.register(BamSource)
-    spark.read.format("bam").option("path", "reads.bam").load()
+    bam.register(spark)
+    spark.read.format("bam").option("path", "reads.bam").load().where("rname = 'chr2' and pos0 between 500 and 900")
 
 A BAM file is a chain of BGZF blocks, which are gzip members of at most 64 KB that tell their own
 length. A file is cut into stretches of `split` bytes. A record belongs to the stretch in which its
 first block starts, so each is read once; a reader finds the first record of its stretch by the fixed
 fields, name and CIGAR of a record and of the one behind it, and reads on across the end of the stretch
-as far as a record goes. Records of any length, and CIGARs of the CG tag, are read whole.
+as far as a record goes. Records of any length, and CIGARs of the CG tag, are read whole. Fields are
+unpacked for many records at once and handed to Spark as Arrow batches; qual is binary.
+
+Filters on rname (=, in, is not null) and pos0 (=, <, <=, >, >=) are pushed into the scan: other records are
+passed over before they are unpacked, in a sorted file reading stops behind the last wanted one, and with a
+.bai file beside the BAM only the blocks are read that its bins and linear index name for the region.
 
 Options: `path` (files or folders, commas between them, in any store that pyarrow opens), `split`,
-`sequence` (false leaves seq and qual null), `contigs` (names joined by commas: other records, those
-without a contig too, are passed over before they are unpacked; in a sorted file reading stops behind
-the wanted contigs, and a .bai file beside the BAM prunes stretches).
+`sequence` (false leaves seq and qual null), `contigs` (names joined by commas, as a filter on rname).
 """
 
 from __future__ import annotations
@@ -20,21 +23,25 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from breakline.shared import filesystem
 
-SCHEMA = "qname string, flag int, rname string, pos0 long, mapq int, cigar string, seq string, qual array<int>, md string"
+SCHEMA = "qname string, flag int, rname string, pos0 long, mapq int, cigar string, seq string, qual binary, md string"
 # Fixed values of the format: CIGAR operations and base codes, in the order of their numbers.
 OPERATIONS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
-_PAIRS = np.array([(ord(BASES[b >> 4]), ord(BASES[b & 15])) for b in range(256)], np.uint8)
+_CODES = np.array([(ord(BASES[b >> 4]), ord(BASES[b & 15])) for b in range(256)], np.uint8).view(np.uint16)[:, 0]
 _READS = np.array([op in "MIS=X" for op in OPERATIONS])
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 #: Bytes asked of the store at a time; no record is larger than LARGEST.
 CHUNK, LARGEST = 1 << 20, 1 << 30
+#: Records and bytes of a batch; a longer record is a batch of its own.
+BATCH, BATCH_BYTES = 5000, 8 << 20
 
 
 def open_file(path: str):
@@ -165,38 +172,100 @@ def read_header(path: str) -> Header:
         return Header(text, contigs, s.place(at))
 
 
-def parse(data: bytes, contigs: list[tuple[str, int]], sequence: bool = True) -> tuple:
-    """A record, without its length, as a row of SCHEMA."""
-    ref, pos, name, mapq, _, ops, flag, length = struct.unpack_from("<iiBBHHHi", data)
-    at = 32
-    qname = data[at : at + name - 1].decode()
-    at += name
-    steps = struct.unpack_from(f"<{ops}I", data, at)
-    at += 4 * ops
-    seq = qual = md = None
-    if sequence and length:
-        seq = _PAIRS[np.frombuffer(data, np.uint8, (length + 1) // 2, at)].tobytes()[:length].decode()
-        start = at + (length + 1) // 2
-        qual = None if data[start] == 255 else list(data[start : start + length])
-    at += (length + 1) // 2 + length
-    while at < len(data):
+def flat(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... of n[i] places each, one after another."""
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def strings(kind: pa.DataType, data: np.ndarray | bytes, n: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """Strings or bytes of n[i] bytes each; those marked `null` have none."""
+    ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+    known = None if null is None else pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+    return pa.Array.from_buffers(kind, len(n), [known, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def cigar_strings(steps: np.ndarray, ops: np.ndarray) -> pa.Array:
+    """Text of packed operations, ops[i] of them in each record; '*' for none."""
+    value, digits = (steps >> 4).astype(np.int64), np.ones(len(steps), np.int64)
+    for k in range(1, 9):
+        digits += value >= 10**k
+    ends = np.cumsum(digits + 1)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[ends - 1] = np.frombuffer(OPERATIONS.encode().ljust(16, b"?"), np.uint8)[steps & 15]
+    for k in range(9):
+        has = digits > k
+        out[ends[has] - 2 - k] = 48 + value[has] // 10**k % 10
+    first = np.cumsum(ops) - ops
+    before = np.concatenate(([0], ends))
+    size = before[first + ops] - before[first]
+    # A '*' for each record without operations.
+    bare = size == 0
+    whole = np.full(int(size.sum()) + int(bare.sum()), 42, np.uint8)
+    starts_ = np.cumsum(size + bare) - (size + bare)
+    whole[flat(starts_, size)] = out
+    return strings(pa.string(), whole, size + bare)
+
+
+def tags(data: bytes, at: int, end: int) -> tuple[str | None, np.ndarray | None]:
+    """(MD, operations of CG) among the tags data[at:end]."""
+    md = steps = None
+    while at < end:
         tag, kind = data[at : at + 2], chr(data[at + 2])
         at += 3
         if kind in "ZH":
-            end = data.index(b"\0", at)
+            stop = data.index(b"\0", at)
             if tag == b"MD":
-                md = data[at:end].decode()
-            at = end + 1
+                md = data[at:stop].decode()
+            at = stop + 1
         elif kind == "B":
             inner, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-            # A CIGAR of over 65,535 operations: the field holds kSmN, the tag the operations.
-            if tag == b"CG" and inner == "I" and ops == 2 and steps[0] == length << 4 | 4 and steps[1] & 15 == 3:
-                steps = struct.unpack_from(f"<{n}I", data, at + 5)
+            if tag == b"CG" and inner == "I":
+                steps = np.frombuffer(data, "<u4", n, at + 5)
             at += 5 + n * _SIZES[inner]
         else:
             at += _SIZES[kind]
-    cigar = "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in steps)
-    return qname, flag, contigs[ref][0] if ref >= 0 else None, pos, mapq, cigar or "*", seq, qual, md
+    return md, steps
+
+
+def unpacked(records: list[bytes], contigs: pa.Array, sequence: bool) -> pa.RecordBatch:
+    """Records, without their lengths, as a batch of SCHEMA."""
+    data = b"".join(records)
+    size = np.array([len(r) for r in records], np.int64)
+    at = np.cumsum(size) - size
+    raw = np.frombuffer(data, np.uint8)
+    head = raw[at[:, None] + np.arange(20)]
+    ref, pos, length = (np.ascontiguousarray(head[:, k : k + 4]).view("<i4")[:, 0].astype(np.int64) for k in (0, 4, 16))
+    ops, flag = (np.ascontiguousarray(head[:, k : k + 2]).view("<u2")[:, 0].astype(np.int64) for k in (12, 14))
+    name, mapq = head[:, 8].astype(np.int64), head[:, 9].astype(np.int32)
+    names = strings(pa.string(), raw[flat(at + 32, name - 1)], name - 1)
+    first = at + 32 + name
+    steps = np.ascontiguousarray(raw[flat(first, 4 * ops)]).view("<u4")
+    packed = (length + 1) // 2
+    bases = first + 4 * ops
+    rest = bases + packed + length
+    found = [tags(data, a, b) for a, b in zip(rest.tolist(), (at + size).tolist(), strict=True)]
+    # A CIGAR of over 65,535 operations: the field holds kSmN, the tag the operations.
+    begin = np.cumsum(ops) - ops
+    long = [i for i, (_, cg) in enumerate(found) if cg is not None and ops[i] == 2 and steps[begin[i]] == length[i] << 4 | 4 and steps[begin[i] + 1] & 15 == 3]
+    if long:
+        parts = np.split(steps, begin[1:])
+        for i in long:
+            parts[i] = found[i][1]
+        steps, ops = np.concatenate(parts), np.array([len(p) for p in parts])
+    seq = qual = pa.nulls(len(records))
+    if sequence:
+        # Long stretches are joined as slices; only the codes of bases are looked up.
+        codes = b"".join([data[a:b] for a, b in zip(bases.tolist(), (bases + packed).tolist(), strict=True)])
+        pairs = memoryview(_CODES[np.frombuffer(codes, np.uint8)].view(np.uint8))
+        begin = (2 * (np.cumsum(packed) - packed)).tolist()
+        seq = strings(pa.string(), b"".join([pairs[a : a + n] for a, n in zip(begin, length.tolist(), strict=True)]), length, length == 0)
+        start = bases + packed
+        bare = (length == 0) | (raw[np.minimum(start, len(raw) - 1)] == 255)
+        kept = np.where(bare, 0, length)
+        qual = strings(pa.binary(), b"".join([data[a : a + n] for a, n in zip(start.tolist(), kept.tolist(), strict=True)]), kept, bare)
+    rname = contigs.take(pa.array(np.maximum(ref, 0), mask=ref < 0)) if len(contigs) else pa.nulls(len(records), pa.string())
+    columns = [names, pa.array(flag.astype(np.int32)), rname, pa.array(pos), pa.array(mapq), cigar_strings(steps, ops), seq.cast(pa.string()), qual.cast(pa.binary()), pa.array([m for m, _ in found], pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["qname", "flag", "rname", "pos0", "mapq", "cigar", "seq", "qual", "md"])
 
 
 def plausible(data: bytearray, at: int, contigs: list[tuple[str, int]]) -> bool | None:
@@ -271,51 +340,115 @@ def _chained(s: Stream, at: int, contigs: list[tuple[str, int]]) -> bool:
 
 @dataclass
 class Stretch(InputPartition):
+    """Records whose first byte lies in a block that starts in [start, stop); `first` is that of the first record
+    where it is known, `last` ends the stretch: (file position of a block, offset inside)."""
+
     path: str
     start: int
     stop: int
+    first: tuple[int, int] | None = None
+    last: tuple[int, int] | None = None
 
     def __post_init__(self) -> None:
         super().__init__((self.path, self.start))
 
 
-def records(path: str, start: int, stop: int, sequence: bool = True, wanted: frozenset[str] | None = None) -> Iterator[tuple]:
-    """Rows of the records whose first byte lies in a block that starts in [start, stop)."""
-    header = read_header(path)
+@dataclass(frozen=True)
+class Wanted:
+    """Records to read: of these contigs (None: all; with `placed` those with one), from low to high."""
+
+    names: frozenset[str] | None = None
+    placed: bool = False
+    low: int | None = None
+    high: int | None = None
+
+    def narrowed(self, f: Filter) -> Wanted | None:
+        """With another filter, which is then wholly obeyed; None where it can't be."""
+        column = getattr(f, "attribute", None)
+        if column == ("rname",):
+            if isinstance(f, IsNotNull):
+                return replace(self, placed=True)
+            names = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if names is not None:
+                return replace(self, placed=True, names=frozenset(x for x in names if x is not None and (self.names is None or x in self.names)))
+        if column == ("pos0",):
+            if isinstance(f, IsNotNull):
+                return self
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.value is not None:
+                low = high = None
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    low = f.value + isinstance(f, GreaterThan)
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    high = f.value - isinstance(f, LessThan)
+                most = lambda pick, a, b: b if a is None else a if b is None else pick(a, b)
+                return replace(self, low=most(max, self.low, low), high=most(min, self.high, high))
+        return None
+
+    @property
+    def everything(self) -> bool:
+        return self == Wanted()
+
+
+def batches(part: Stretch, sequence: bool = True, wanted: Wanted = Wanted()) -> Iterator[pa.RecordBatch]:
+    """The wanted records of a stretch."""
+    header = read_header(part.path)
     contigs = header.contigs
-    keep = None if wanted is None else {i for i, (name, _) in enumerate(contigs) if name in wanted}
+    names = pa.array([n for n, _ in contigs], pa.string())
+    keep = None if wanted.names is None else {i for i, (name, _) in enumerate(contigs) if name in wanted.names}
     in_order = any("SO:coordinate" in x for x in header.text.split("\n") if x.startswith("@HD"))
-    with open_file(path) as f:
-        if start <= header.first[0]:
-            if header.first[0] >= stop:
+    low, high = -(1 << 40) if wanted.low is None else wanted.low, 1 << 40 if wanted.high is None else wanted.high
+    held: list[bytes] = []
+    bytes_held = 0
+    with open_file(part.path) as f:
+        first = part.first
+        if first is None and part.start <= header.first[0]:
+            if header.first[0] >= part.stop:
                 return
-            s = Stream(f, header.first[0])
+            first = header.first
+        if first is not None:
+            s = Stream(f, first[0])
             s.more()
-            s.here = header.first[1]
+            s.here = first[1]
         else:
-            at = first_block(f, start)
-            if at is None or at >= stop:
+            at = first_block(f, part.start)
+            if at is None or at >= part.stop:
                 return
             s = Stream(f, at)
             s.more()
-            if not first_record(s, contigs, stop):
+            if not first_record(s, contigs, part.stop):
                 return
+        end = part.last or (part.stop, 0)
         while s.hold(4):
-            if s.bounds[-1][1] >= stop and s.place(s.here)[0] >= stop:
-                return
+            if s.bounds[-1][1] >= end[0] and s.place(s.here) >= end:
+                break
             size = struct.unpack_from("<i", s.data, s.here)[0]
             if not s.hold(4 + size):
-                raise ValueError(f"{path} is cut short")
-            ref = struct.unpack_from("<i", s.data, s.here + 4)[0]
-            if keep is None or ref in keep:
-                yield parse(bytes(s.data[s.here + 4 : s.here + 4 + size]), contigs, sequence)
-            elif in_order and (not keep or ref < 0 or ref > max(keep)):
-                return
+                raise ValueError(f"{part.path} is cut short")
+            ref, pos = struct.unpack_from("<ii", s.data, s.here + 4)
+            if (ref in keep if keep is not None else ref >= 0 or not wanted.placed) and low <= pos <= high:
+                held.append(bytes(s.data[s.here + 4 : s.here + 4 + size]))
+                bytes_held += size
+                if len(held) >= BATCH or bytes_held >= BATCH_BYTES:
+                    yield unpacked(held, names, sequence)
+                    held, bytes_held = [], 0
+            elif in_order and keep is not None and (not keep or ref < 0 or ref > max(keep) or ref == max(keep) and pos > high):
+                break
             s.skip(4 + size)
+    if held:
+        yield unpacked(held, names, sequence)
+
 
+def bins_of(low: int, high: int) -> Iterator[int]:
+    """Numbers of the index's bins that meet [low, high]: six levels, each eight times as fine as the one above."""
+    first = 0
+    for depth in range(6):
+        shift = 29 - 3 * depth
+        yield from range(first + (low >> shift), first + (high >> shift) + 1)
+        first += 1 << 3 * depth
 
-def index_ranges(path: str) -> list[tuple[int, int] | None] | None:
-    """Per contig, the first and last file position of its blocks, from the .bai file; None without one."""
+
+def index_chunks(path: str, wanted: Wanted) -> list[tuple[int, int]] | None:
+    """Stretches of the file, as virtual offsets of records, that hold all wanted ones; None without a .bai file."""
     for name in (f"{path}.bai", f"{path.removesuffix('.bam')}.bai"):
         store, at = filesystem(name)
         if store.get_file_info(at).is_file:
@@ -326,19 +459,34 @@ def index_ranges(path: str) -> list[tuple[int, int] | None] | None:
         raw = f.read()
     if raw[:4] != b"BAI\1":
         raise ValueError(f"{name} is not a BAI file")
-    n, at, out = struct.unpack_from("<i", raw, 4)[0], 8, []
-    for _ in range(n):
+    low, high = max(0, wanted.low or 0), min((1 << 29) - 1, (1 << 29) - 1 if wanted.high is None else wanted.high)
+    asked = set(bins_of(low, high)) if low <= high else set()
+    contigs = read_header(path).contigs
+    count, at, out = struct.unpack_from("<i", raw, 4)[0], 8, []
+    for i in range(count):
         bins, at = struct.unpack_from("<i", raw, at)[0], at + 4
-        spans = []
+        spans: list[tuple[int, int]] = []
         for _ in range(bins):
             number, chunks = struct.unpack_from("<Ii", raw, at)
             at += 8
-            if number != 37450:  # a bin of that number holds counts
-                spans += struct.unpack_from(f"<{2 * chunks}Q", raw, at)
+            if number in asked:
+                both = struct.unpack_from(f"<{2 * chunks}Q", raw, at)
+                spans += zip(both[::2], both[1::2], strict=True)
             at += 16 * chunks
-        at += 4 + 8 * struct.unpack_from("<i", raw, at)[0]
-        out.append((min(spans) >> 16, max(spans) >> 16) if spans else None)
-    return out
+        windows = struct.unpack_from("<i", raw, at)[0]
+        # No record that reaches this window begins before its entry.
+        window = low >> 14
+        least = struct.unpack_from("<Q", raw, at + 4 + 8 * window)[0] if window < windows else 0
+        at += 4 + 8 * windows
+        if contigs[i][0] in wanted.names:
+            out += [(max(a, least), b) for a, b in spans if b > least]
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 class BamReader(DataSourceReader):
@@ -347,7 +495,7 @@ class BamReader(DataSourceReader):
         self.sequence = str(options.get("sequence", "true")).lower() != "false"
         # Contigs to read, joined by commas (no contig's name may hold one); all by default.
         asked = options.get("contigs")
-        self.wanted: frozenset[str] | None = None if asked is None else frozenset(str(asked).split(","))
+        self.wanted = Wanted() if asked is None else Wanted(frozenset(str(asked).split(",")), True)
         for path in options["path"].split(","):
             store, at = filesystem(path)
             if store.get_file_info(at).is_file:
@@ -358,19 +506,30 @@ class BamReader(DataSourceReader):
                 names = [x.base_name for x in store.get_file_info(fs.FileSelector(at)) if x.base_name.endswith(".bam")]
                 self.paths += [f"{path.rstrip('/')}/{x}" for x in sorted(names)]
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            narrowed = self.wanted.narrowed(f)
+            if narrowed is None:
+                yield f
+            else:
+                self.wanted = narrowed
+
     def partitions(self) -> list[Stretch]:
         out = []
         for p in self.paths:
-            known = index_ranges(p) if self.wanted is not None else None
-            if known is not None:
-                known = [r for (name, _), r in zip(read_header(p).contigs, known, strict=True) if name in self.wanted and r]
-            for at in range(0, size_of(p), self.split):
-                if known is None or any(lo < at + self.split and hi >= at for lo, hi in known):
-                    out.append(Stretch(p, at, at + self.split))
+            chunks = index_chunks(p, self.wanted) if self.wanted.names is not None else None
+            if chunks is None:
+                out += [Stretch(p, at, at + self.split) for at in range(0, size_of(p), self.split)]
+                continue
+            for a, b in chunks:
+                (begin, inner), end = (a >> 16, a & 0xFFFF), (b >> 16, b & 0xFFFF)
+                for at in range(begin, end[0] + 1, self.split):
+                    final = at + self.split > end[0]
+                    out.append(Stretch(p, at, end[0] + 1 if final else at + self.split, (begin, inner) if at == begin else None, end if final else None))
         return out or [Stretch(p, 0, 0) for p in self.paths[:1]]
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
-        return records(partition.path, partition.start, partition.stop, self.sequence, self.wanted)
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        return batches(partition, self.sequence, self.wanted)
 
 
 class BamSource(DataSource):
@@ -383,3 +542,9 @@ class BamSource(DataSource):
 
     def reader(self, schema) -> BamReader:
         return BamReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Make format("bam") known to the session, and let its filters reach the scan."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    spark.dataSource.register(BamSource)
