@@ -13,18 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from breakline.config import CallConfig
+from breakline.functions.runs import differ
 from breakline.shared import saved
 
 REGION = ["svtype", "rname1", "rname2", "flag1", "flag2"]
 
 
-def _differ(column: pa.Array) -> np.ndarray:
-    """Whether each value but the first differs from the one before; nulls are alike."""
-    a, b = column[1:], column[:-1]
-    null = pc.xor(pc.is_null(a), pc.is_null(b))
-    return pc.or_(null, pc.fill_null(pc.not_equal(a, b), False)).to_numpy(zero_copy_only=False)
-
-
 def _scan(keys: list[str], position: str, distance: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Number the runs of sorted rows inside a task: `_run` counts breaks from 0 for each key, `_part` is the task.
 
@@ -40,7 +34,7 @@ def _scan(keys: list[str], position: str, distance: float) -> Callable[[Iterator
             columns = [c.combine_chunks() for c in pa.Table.from_batches([own] if last is None else [last, own]).columns]
             changed = np.zeros(len(columns[0]) - 1, bool)
             for c in columns[:-1]:
-                changed |= _differ(c)
+                changed |= differ(c)
             step = pc.subtract(columns[-1][1:], columns[-1][:-1])
             apart = ~pc.fill_null(pc.less_equal(step, distance), False).to_numpy(zero_copy_only=False)
             if last is None:  # the first row of all begins a key
