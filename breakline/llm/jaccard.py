@@ -3,11 +3,13 @@
 Sets: the distinct hashed word n-grams of a text. Sets of equal fingerprint form a class and only the
 smallest doc_id of a class goes on. Sizes fall into bands [l, u] with u = floor(100 l / threshold), so
 similar sets lie in the same or in neighbouring bands. For each pair of neighbouring bands the hash
-domain is cut into k + 1 + x partitions, k being the most elements in which two similar sets of these
-bands can differ: at least x + 1 partitions of such a pair are equal, so they share a signature (the
-hash of a partition's elements). Empty partitions give none; a set with so many of them that all
-equal ones could be empty adds its prefix elements (the smallest size - ceil(size * threshold) + 1
-hashes), of which similar sets share one. No pair is lost.
+domain is partitioned twice. k being the most elements in which two similar sets of these bands can
+differ, floor(k / (OFF + 1)) + 1 + x first-level partitions leave x + 1 at least in which such a pair differs in
+OFF elements or fewer. Each is cut into SECOND parts, of which then SECOND - OFF are equal; all subsets of so many
+parts are enumerated, and the hash of a subset's elements is a signature, so the pair shares one. A
+subset without elements gives none; a set with so many of them that all those x + 1 partitions could be
+without adds its prefix elements (the smallest size - ceil(size * threshold) + 1 hashes), of
+which similar sets share one. No pair is lost.
 
 Buckets: a block of documents sends one head per signature and names its local members directly, so a
 signature that a third of all documents hold is combined before the shuffle. Links are then found in
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ from .textscan import SPACE, blocks, mix, word_bytes, words
 ELEMENT = 53
 #: Signatures that a block gathers before they are combined; rows of a block of a large bucket.
 GATHER, BUCKET_BLOCK = 600_000, 1024
+#: Parts of a first-level partition, and how many of them an enumerated subset leaves out.
+SECOND, OFF = 3, 1
 #: A document's best candidates (by sketch) among the heads of its buckets.
 STARS = 3
 _SPACED = word_bytes(SPACE)
@@ -112,41 +117,50 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
 
 @cache
 def bands(threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(largest size, differing elements k, partitions) of each band with the next one."""
+    """(largest size, first-level partitions that can differ in over OFF elements, all of them) of each band with the next one."""
     top, low = [], 1
     while low < 1 << 40:
         top.append(low * 100 // threshold)
         low = top[-1] + 1
     u = np.array(top, np.int64)
     k = (100 - threshold) * (u[:-1] + u[1:]) // (100 + threshold)
-    return u[:-1], k, np.where(k > 0, k + 2 + k // 12, 0)
+    far = k // (OFF + 1)
+    return u[:-1], far, np.where(k > 0, far + 2 + far // 12, 0)
 
 
 def signatures(x: np.ndarray, text: np.ndarray, texts: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, text), for texts whose set differs from a similar one."""
-    u, k_of, parts_of = bands(threshold)
+    u, far_of, parts_of = bands(threshold)
     size = np.bincount(text, minlength=texts)
     first = np.concatenate(([0], np.cumsum(size)))
     band = np.searchsorted(u, size)
     out, owners = [], []
     for tag in (band, band - 1):
         known = (size > 0) & (tag >= 0)
-        parts, k = np.where(known, parts_of[tag], 0), np.where(known, k_of[tag], 0)
+        parts, far = np.where(known, parts_of[tag], 0), np.where(known, far_of[tag], 0)
         base = np.cumsum(parts) - parts
         use = parts[text] > 0
         at = text[use]
         seed = mix(tag[at].astype(np.uint64) + np.uint64(1 << 58))
         h = mix(x[use] + seed)
-        slot = base[at] + (((h >> np.uint64(32)) * parts[at].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        total = np.zeros(int(parts.sum()), np.uint64)
+        wide = (parts[at] * SECOND).astype(np.uint64)
+        slot = base[at] * SECOND + (((h >> np.uint64(32)) * wide) >> np.uint64(32)).astype(np.int64)
+        total = np.zeros(int(parts.sum()) * SECOND, np.uint64)
         np.add.at(total, slot, mix(h))
+        total = total.reshape(-1, SECOND)
         owner = np.repeat(np.arange(texts), parts)
-        place = np.arange(len(total)) - base[owner]
-        full = total != 0
-        out.append(mix(total[full] + mix((tag[owner[full]] * 2654435761 + place[full]).astype(np.uint64))))
-        owners.append(owner[full])
-        empty = parts - np.bincount(owner[full], minlength=texts)
-        for d in np.flatnonzero((parts > 0) & (empty >= parts - k)):
+        named = mix((tag[owner] * 2654435761 + np.arange(len(total)) - base[owner]).astype(np.uint64))
+        lacking = np.zeros(len(total), bool)
+        for number, subset in enumerate(combinations(range(SECOND), SECOND - OFF)):
+            code, full = named + np.uint64(number + 1), np.zeros(len(total), bool)
+            for part in subset:
+                code = mix(code + total[:, part])
+                full |= total[:, part] != 0
+            out.append(code[full])
+            owners.append(owner[full])
+            lacking |= ~full
+        bare = np.bincount(owner[lacking], minlength=texts)
+        for d in np.flatnonzero((parts > 0) & (bare >= parts - far)):
             length = size[d] - -(-threshold * size[d] // 100) + 1
             out.append(mix(x[first[d] : first[d] + length] + np.uint64((int(tag[d]) + 7) << 54)))
             owners.append(np.full(length, d))
@@ -264,7 +278,8 @@ def similar(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     copies = saved(known.select("doc_id", "n", "f1", "f2").join(few, ["n", "f1", "f2"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
     n_copies = copies.count()
     # A doc_id with several texts may be a copy by one of them and not by another: see `same` below.
-    several = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    several = saved(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "several")
+    several = maybe_broadcast(several, several.count())
     same = copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     rows = bucket_rows(docs, n, threshold)
@@ -273,8 +288,8 @@ def similar(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     kept = rows.withColumn("salt", salt).selectExpr("sig", "doc_id", "head", "many", f"count(1) over ({group}) as held", f"min(doc_id) over ({group}) as low", f"max(doc_id) over ({group}) as high")
     buckets = saved(kept.where("head is not null or many or held > 1").selectExpr("sig", "doc_id", "head", "low", "high"), "buckets")
 
-    # Step 1: heads. Copies stand for their class.
-    to_rep = maybe_broadcast(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), n_copies)
+    # Step 1: heads. Copies stand for their class; a doc_id with several texts only for itself.
+    to_rep = maybe_broadcast(copies.join(several, "doc_id", "left_anti").groupBy("doc_id").agg(F.min("rep").alias("rep")), n_copies)
 
     def by_class(df: DataFrame, column: str) -> DataFrame:
         return df.join(to_rep.withColumnRenamed("doc_id", column), column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
