@@ -8,13 +8,13 @@ give equal chunks wherever they stand. A chunk is named by the BLAKE2b digest of
 
 Files: `packs/` holds frames of compressed chunks, each distinct chunk once; `index/` (Parquet) tells
 where; `recipes/` (Parquet, ascending doc_id) lists the chunks of each document with its Merkle root;
-`manifest/` (Parquet) has a row per recipe partition: first id position, sums and the root over its
-documents. A task writes packs of its own; only those named in the committed index count, so lost or
+`manifest/` (Parquet) has a row per recipe partition: first id position, sums, the root of the tree over
+its documents in order, and the root over all partitions. A task writes packs of its own; only those named in the committed index count, so lost or
 repeated tasks leave nothing that is read.
 
 One shuffle brings the copies of a chunk together: every block sends a distinct chunk once, so a chunk
 that a third of all documents share arrives once per block. Reading checks every chunk against its
-name and every document against its roots.
+name and every document against its roots and its length; a chunk that is not there is an error.
 
 Edge cases: a null text is empty; an empty text is the end id alone; documents of equal doc_id are
 all stored, in order of their content; a null doc_id comes first; an empty table gives no rows. Other
@@ -43,6 +43,8 @@ END_ID = 2
 WINDOW, SMALL, MASK, LARGE = 16, 64, (1 << 9) - 1, 4096
 #: Words that a worker's cache holds, words of a call, bytes of a frame.
 CACHE_WORDS, RUN, FRAME = 400_000, 200, 1 << 18
+#: Recipes under one digest of a partition's tree.
+BLOCK = 4096
 #: Stands between words that are encoded in one call.
 SIGN = "\x01"
 #: A word also ends between an ASCII letter and an ASCII sign, as the tokenizer cuts there; it does not at
@@ -305,28 +307,42 @@ def write_store(docs: DataFrame, where: str, tokenizer: str, end: int = END_ID)
     stored.where("name is not null").select("name", "pack", "frame", "length", "at", "size").write.parquet(f"{where}/index")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
+        part, done, rank = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             n = batch["n_tokens"].to_numpy()
             start = done + np.cumsum(n) - n
             done += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(start, pa.int64()), *batch.columns], ["part", "start", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(rank + np.arange(len(n)), pa.int64()), pa.array(start, pa.int64()), *batch.columns], ["part", "rank", "start", *batch.schema.names])
+            rank += len(n)
 
     recipes = stored.where("name is null").select("doc_id", "n_tokens", "names", "sizes", "root")
     parts = max(1, stored.rdd.getNumPartitions())
     ordered = recipes.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "root").sortWithinPartitions(F.asc_nulls_first("doc_id"), "root")
-    ordered.mapInArrow(place, "part int, start long, doc_id long, n_tokens long, names array<binary>, sizes array<int>, root binary").write.parquet(f"{where}/recipes")
-    # One row per partition: the driver adds up their sums.
-    roots = F.xxhash64(F.col("start"), F.col("root"))
-    sums = sorted(spark.read.parquet(f"{where}/recipes").groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"), F.bit_xor(roots).alias("root")).collect())
-    rows, base = [], 0
-    for r in sums:
-        rows.append((r["part"], base, r["docs"], r["n"], r["root"]))
-        base += r["n"]
-    spark.createDataFrame(rows, "part int, base long, docs long, n_tokens long, root long").coalesce(1).write.parquet(f"{where}/manifest")
+    ordered.mapInArrow(place, "part int, rank long, start long, doc_id long, n_tokens long, names array<binary>, sizes array<int>, root binary").write.parquet(f"{where}/recipes")
+    # One row per partition: the driver adds up their sums and hashes their roots.
+    sums = sorted(map(tuple, tree(spark.read.parquet(f"{where}/recipes")).collect()))
+    whole, rows, base = root_of(sums), [], 0
+    for part, docs_, n, root in sums:
+        rows.append((part, base, docs_, n, root, whole))
+        base += n
+    spark.createDataFrame(rows, "part int, base long, docs long, n_tokens long, root string, whole string").coalesce(1).write.parquet(f"{where}/manifest")
     return open_store(spark, where)
 
 
+def tree(recipes: DataFrame) -> DataFrame:
+    """part, docs, n_tokens, root: SHA-256 over the digests of blocks of BLOCK recipes, each over its recipes' roots, in order."""
+    joined = lambda xs, of: F.sha2(F.array_join(F.transform(F.sort_array(xs), of), ""), 256)
+    block = F.floor(F.col("rank") / BLOCK).alias("block")
+    leaf = F.struct("rank", F.concat_ws(":", F.col("start"), F.col("n_tokens"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("root")).alias("d"))
+    blocks_ = recipes.groupBy("part", block).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("n"), joined(F.collect_list(leaf), lambda x: x["d"]).alias("d"))
+    return blocks_.groupBy("part").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_tokens"), joined(F.collect_list(F.struct("block", "d")), lambda x: x["d"]).alias("root"))
+
+
+def root_of(sums: list[tuple]) -> str:
+    """The root over the partitions' rows of `tree`."""
+    return hashlib.sha256("".join(f"{p}:{d}:{n}:{r}" for p, d, n, r in sums).encode()).hexdigest()
+
+
 def open_store(spark: SparkSession, where: str) -> dict[str, DataFrame]:
     return {x: spark.read.parquet(f"{where}/{x}") for x in ("index", "recipes", "manifest")}
 
@@ -375,8 +391,9 @@ def checked_recipes(store: dict[str, DataFrame]) -> DataFrame:
 
 
 def check_manifest(store: dict[str, DataFrame]) -> None:
-    got = {tuple(r) for r in store["recipes"].groupBy("part").agg(F.count(F.lit(1)), F.sum("n_tokens"), F.bit_xor(F.xxhash64("start", "root"))).collect()}
-    if got != {tuple(r) for r in store["manifest"].select("part", "docs", "n_tokens", "root").collect()}:
+    got = sorted(map(tuple, tree(store["recipes"]).collect()))
+    told = sorted(map(tuple, store["manifest"].select("part", "docs", "n_tokens", "root", "whole").collect()))
+    if got != [t[:4] for t in told] or any(t[4] != root_of(got) for t in told):
         raise ValueError("the recipes differ from the manifest")
 
 
@@ -393,14 +410,20 @@ def read_documents(spark: SparkSession, where: str) -> DataFrame:
     store = open_store(spark, where)
     check_manifest(store)
     chunks = read_chunks(store, where, "name binary, payload binary", lambda name, payload: (name, payload))
-    joined = occurrences(checked_recipes(store)).join(chunks, "name")
+    joined = occurrences(checked_recipes(store)).join(chunks, "name", "left")
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.concatenate([unpacked(x["payload"]) for x in row]).tolist() for row in batch["parts"].to_pylist()]
+            made = []
+            for row, n in zip(batch["parts"].to_pylist(), batch["n_tokens"].to_pylist(), strict=True):
+                if any(x["payload"] is None for x in row):
+                    raise ValueError("a chunk is missing in the index")
+                made.append(np.concatenate([unpacked(x["payload"]) for x in row]).tolist())
+                if len(made[-1]) != n:
+                    raise ValueError("a document differs from its recipe in length")
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], pa.array(made, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
-    whole = joined.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
+    whole = joined.groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
     return whole.mapInArrow(ids, "doc_id long, start long, ids array<bigint>")
 
 
@@ -443,13 +466,17 @@ def digests(spark: SparkSession, where: str) -> DataFrame:
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch["crc"].null_count:
+                raise ValueError("a chunk is missing in the index")
             moved = crc_before(batch["crc"].to_numpy(), batch["after"].to_numpy() * 4)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], batch["n"], pa.array(moved.astype(np.int64))], ["doc_id", "start", "n", "crc"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "start", "n_tokens", "n")), pa.array(moved.astype(np.int64))], ["doc_id", "start", "n_tokens", "n", "crc"])
 
     chunks = read_chunks(store, where, "name binary, crc long, n long", give)
-    joined = occurrences(checked_recipes(store)).join(chunks, "name").select("doc_id", "start", "n", "crc", "after")
-    moved = joined.mapInArrow(move, "doc_id long, start long, n long, crc long")
-    return moved.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
+    joined = occurrences(checked_recipes(store)).join(chunks, "name", "left").select("doc_id", "start", "n_tokens", "n", "crc", "after")
+    moved = joined.mapInArrow(move, "doc_id long, start long, n_tokens long, n long, crc long")
+    summed = moved.groupBy("doc_id", "start", "n_tokens").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("ids_crc32"))
+    wrong = F.raise_error(F.lit("a document differs from its recipe in length"))
+    return summed.select("doc_id", "start", F.when(F.col("n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(wrong.cast("long")).alias("n_tokens"), "ids_crc32")
 
 
 def vocabulary() -> str:

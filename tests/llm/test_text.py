@@ -334,6 +334,18 @@ def test_mixing_equals_plain_solver(spark, target):
 TOKENS = [*ODD[:-1], "Hello, World!! it's don't <|endoftext|> x<|startoftext|>y", "<|EndOfText|>", "İstanbul ẞ é́   a b\x1cc", "\x01 a\x01b", "naïve café" * 50, "Hello, World!! it's"]
 
 
+def test_jaccard_doc_of_several_texts_links_by_each(spark):
+    """A doc_id that is a copy by one text and a near copy by another belongs to both, whatever is smaller."""
+    rng = random.Random(9)
+    one, two = (" ".join(f"{c}{rng.randint(0, 9999)}" for _ in range(60)) for c in "xy")
+    near = two.split()
+    near[-1] = "changed"
+    rows = [(5, one), (5, two), (1, one), (9, " ".join(near)), (7, "alone in the world of texts here")]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.component_id) for r in jaccard.similar(spark.createDataFrame(order, "doc_id long, text string"), 4, 85).collect()}
+        assert got == {(5, 1), (1, 1), (9, 1), (7, 7)}
+
+
 def test_tokens_equal_direct_encoding(spark):
     path = tokenstore.vocabulary()
     rng = random.Random(2)
@@ -355,6 +367,42 @@ def test_tokens_equal_direct_encoding(spark):
     assert tokenstore.write_store(df.limit(0), new_path(spark, "t"), path)["recipes"].count() == 0
 
 
+def test_store_tells_what_is_lost(spark):
+    """A chunk out of the index, a recipe out of its place or partition, a changed count: each is an error."""
+    rng = random.Random(6)
+    docs = frame(spark, [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=900)) for _ in range(9)])
+    where = new_path(spark, "lost")
+    store = tokenstore.write_store(docs, where, tokenstore.vocabulary())
+    total = store["manifest"].agg(F.sum("n_tokens")).first()[0]
+    assert sum(r.n_tokens for r in tokenstore.digests(spark, where).collect()) == total
+    assert len({r.whole for r in store["manifest"].collect()}) == 1
+
+    def broken(name, change):
+        other = new_path(spark, "broken")
+        for x in ("index", "recipes", "manifest"):
+            df = spark.read.parquet(f"{where}/{x}")
+            (change(df) if x == name else df).write.parquet(f"{other}/{x}")
+        files, at = tokenstore.filesystem(where)
+        import shutil
+
+        shutil.copytree(f"{at}/packs", f"{tokenstore.filesystem(other)[1]}/packs")
+        return other
+
+    first = store["index"].orderBy("name").first()["name"]
+    swap = F.when(F.col("rank") == 0, 1).when(F.col("rank") == 1, 0).otherwise(F.col("rank")).cast("long")
+    cases = {
+        "chunk is missing": ("index", lambda df: df.where(F.col("name") != F.lit(first))),
+        "recipes differ": ("recipes", lambda df: df.withColumn("rank", swap)),
+        "the recipes differ from the manifest": ("recipes", lambda df: df.where("doc_id <> 3")),
+        "recipes differ from": ("manifest", lambda df: df.withColumn("whole", F.lit("0"))),
+    }
+    for message, (name, change) in cases.items():
+        other = broken(name, change)
+        for read in (tokenstore.digests, tokenstore.read_documents):
+            with pytest.raises(Exception, match=message):
+                read(spark, other).collect()
+
+
 def test_crc_of_parts():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 256, 5000).astype(np.uint8).tobytes()
