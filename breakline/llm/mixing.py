@@ -5,14 +5,17 @@ factorization machine per domain, against the rest; its terms are words, runs of
 buckets of length and of repetition).
 
 Rates r >= 0 minimize 1/2 |sum_d r_d n_d p_d - T|^2 / N + RIDGE / 2 sum_d n_d (r_d - r0)^2 with n_d the
-tokens (words) of a document, p_d its posterior, T the target totals and N all tokens. Documents whose
-posteriors round to the same multiples of 1 / GRID form a cell and share a rate; a cell's totals
-sum n_d p_d are those of the unrounded posteriors, so the expected totals of the documents meet the targets
-themselves. With few domains there are few cells however many documents; with many there are at most as
-many as documents. The solver is projected gradient with momentum
-(dropped when it goes against the gradient), in units where the step of a cell is its
-mean posterior times g, and each iteration is a Spark aggregation over the cells. It ends when no rate
-moves by TOLERANCE, and warns if that takes more than ITERATIONS.
+tokens (words) of a document, p_d its posterior, T the target totals and N all tokens. At the solution
+r_d = max(0, r0 - p_d . m) with one multiplier m for each domain, so every document has a rate of its own.
+
+The solver is projected gradient with momentum (dropped when it goes against the gradient), in units where
+the step of a document is its posterior times g. Its steps run over cells: documents whose posteriors round
+to the same multiples of 1 / GRID, with their summed tokens and mean posterior; each is a Spark
+aggregation. When no cell's rate moves by NEAR, or after WARM steps, the multipliers that fit the cells'
+rates begin Newton's steps on the multipliers' convex dual, over the documents themselves: each is
+one aggregation of as many numbers as there are pairs of domains, halved while the dual does not fall enough.
+They end when the totals are off those of the solution by CLOSE of all tokens, and an error tells if they
+do not. RIDGE is so small that reachable targets are met; unreachable ones are approached.
 
 Edge cases: a null or empty text has no tokens and gets the rate of its posterior; repeated rows have
 equal rates; labels that are null are not learnt from; of several domains of one doc_id the smallest
@@ -23,7 +26,6 @@ tokens all rates are r0. Other columns are kept, but for n_tokens, p, rate and c
 from __future__ import annotations
 
 import json
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,20 +35,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import toxicity
-from .common import bounded_sample, maybe_broadcast, saved, small_batches, table
+from .common import bounded_sample, saved, small_batches, table
 from .textscan import blocks, mix, word_bytes, words
 
 #: Labelled documents that training uses at most.
 SAMPLE = 8_000
-GRID, RIDGE, ITERATIONS, TOLERANCE = 32, 1e-3, 1000, 1e-4
-#: Steps after which the rates of the cells are written, so that a plan never holds a longer history.
-STRETCH = 50
+GRID, RIDGE = 32, 1e-6
+#: Projected gradient over cells: ends when no rate moves by NEAR, or after WARM steps.
+WARM, NEAR = 40, 1e-2
+#: Newton's steps over documents: at most so many (a handful is usual), until the residual is CLOSE.
+STEPS, CLOSE = 200, 1e-9
 _WORD = word_bytes()
 _SIGN = ~_WORD
 _SIGN[[32, 9, 10, 11, 12, 13]] = False
 
-#: Production targets: shares of tokens by quality, and tokens wanted per token there is.
-TARGETS = {"q0": 0.07, "q1": 0.93}
+#: Production targets: shares of tokens by language and quality, and tokens wanted per token there is.
+TARGETS = {"de-q0": 0.015, "de-q1": 0.16, "en-q0": 0.04, "en-q1": 0.51, "es-q0": 0.01, "es-q1": 0.135, "fr-q0": 0.01, "fr-q1": 0.12}
 BUDGET = 1.25
 
 
@@ -133,49 +137,113 @@ def moved(center: Column, x: Column, y: Column, history: list[tuple[list[float],
     return F.aggregate(rows, F.struct(x.alias("x"), y.alias("y"), F.lit(float("inf")).alias("d"), F.lit(0.0).alias("e")), move)
 
 
-def solve(soft: DataFrame, target: list[float], budget: float) -> tuple[DataFrame, int]:
-    """`soft(n_tokens, p)`: (cell, rate) of every cell, and how many cells there are."""
-    k, r0 = len(target), float(budget)
+def warm(soft: DataFrame, goal: np.ndarray, r0: float) -> tuple[np.ndarray, float]:
+    """(multipliers that fit the rates of the cells after projected gradient, tokens) of `soft(n_tokens, p)`."""
+    k = len(goal)
     rows = soft.select("n_tokens", "p", cell_of(F.col("p")).alias("cell"))
     at = [F.get("p", F.lit(i)) for i in range(k)]
     mass = F.sum("n_tokens").cast("double")
     center = F.array(*(F.when(mass > 0, F.sum(F.col("n_tokens") * x) / mass).otherwise(F.avg(x)) for x in at))
     cells = saved(rows.groupBy("cell").agg(mass.alias("mass"), center.alias("center")), "mixing-cells")
     at = [F.get("center", F.lit(i)) for i in range(k)]
-    told = cells.agg(F.count(F.lit(1)).alias("many"), F.sum("mass").alias("n"), *(F.sum(F.col("mass") * x).alias(f"s{i}") for i, x in enumerate(at))).first()
+    told = cells.agg(F.sum("mass").alias("n"), *(F.sum(F.col("mass") * x).alias(f"s{i}") for i, x in enumerate(at))).first()
     total = told["n"] or 0.0
-    if not total or k < 2:
-        return cells.select("cell", F.lit(r0).alias("rate")), told["many"]
+    if not total:
+        return np.zeros(k), 0.0
     # Posteriors sum to 1, so a row of their second moments sums to its domain's share, which bounds the curvature.
     step = float(1 / (max(told[f"s{i}"] for i in range(k)) / total + RIDGE))
-    goal = np.array(target) * budget
     cells = cells.withColumns({"x": F.lit(r0), "y": F.lit(r0), "d": F.lit(float("inf")), "e": F.lit(0.0)})
     history: list[tuple[list[float], float]] = []
     age = 0
-    for _ in range(ITERATIONS + 1):
+    while True:
         rated = cells
         if history:
-            rated = cells.select("cell", "mass", "center", moved(F.col("center"), F.col("x"), F.col("y"), history, step, r0).alias("now")).select("cell", "mass", "center", "now.*")
-        if len(history) == STRETCH:
-            cells, history = saved(rated, "mixing-cells"), []
-            rated = cells
+            rated = cells.select("mass", "center", moved(F.col("center"), F.col("x"), F.col("y"), history, step, r0).alias("now")).select("mass", "center", "now.*")
         # Gradient at y: one aggregation over the cells.
         got = rated.agg(*(F.sum(F.col("mass") * F.col("y") * x).alias(f"s{i}") for i, x in enumerate(at)), F.max("d").alias("d"), F.sum(F.col("mass") * F.col("e")).alias("e")).first()
-        if got["d"] < TOLERANCE:
+        if got["d"] < NEAR or len(history) == WARM:
             break
         age = 0 if got["e"] > 0 else age
         history.append(((np.array([got[f"s{i}"] for i in range(k)]) / total - goal).tolist(), age / (age + 3)))
         age += 1
-    else:
-        warnings.warn(f"rates still move by {got['d']:.2g} after {ITERATIONS} steps", stacklevel=2)
-    return rated.select("cell", F.col("x").alias("rate")), told["many"]
+    # r0 - x = center . m over the cells that are not at 0, by least squares.
+    fitted = _summed(rated.where("x > 0").select(F.col("mass").alias("n_tokens"), F.col("center").alias("p"), (F.lit(r0) - F.col("x")).alias("v")), k, lambda n, p, v: (p.T @ (n * v), (p * n[:, None]).T @ p), "v double")
+    if fitted is None:
+        return np.zeros(k), total
+    right, gram = fitted
+    return np.linalg.solve(gram + 1e-6 * total * np.eye(k), right), total
+
+
+def _summed(rows: DataFrame, k: int, of, extra: str = "") -> list[np.ndarray] | None:
+    """Sums over `rows(n_tokens, p, ...)` of the arrays that `of` makes from a batch; None without rows.
+
+    Every task sends its sums once; they are added up by their places, so the driver gets one number for each.
+    """
+    names = [x.split()[0] for x in extra.split(", ")] if extra else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                p = batch["p"].flatten().to_numpy().reshape(-1, k)
+                got = of(batch["n_tokens"].to_numpy().astype(float), p, *(batch[c].to_numpy() for c in names))
+                held = got if held is None else [a + b for a, b in zip(held, got, strict=True)]
+        for i, x in enumerate(held or ()):
+            flat = np.asarray(x, float).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), i), pa.int32()), pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["part", "place", "v"])
+
+    got = rows.mapInArrow(run, "part int, place int, v double").groupBy("part", "place").agg(F.sum("v").alias("v")).toArrow().sort_by([("part", "ascending"), ("place", "ascending")])
+    if not got.num_rows:
+        return None
+    part, v = got["part"].to_numpy(), got["v"].to_numpy()
+    shape = {1: (), k: (k,), k * k: (k, k)} if k > 1 else {1: (1,)}
+    return [v[part == i].reshape(shape[(part == i).sum()]) for i in range(int(part.max()) + 1)]
+
+
+def solve(soft: DataFrame, target: list[float], budget: float) -> np.ndarray:
+    """The multipliers of `soft(n_tokens, p)`: a document's rate is max(0, budget - p . multipliers)."""
+    k, r0 = len(target), float(budget)
+    goal = np.array(target, float) * r0
+    if k < 2:
+        return np.zeros(k)
+    m, total = warm(soft, goal, r0)
+    if not total:
+        return m
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Dual, its gradient and its second derivatives."""
+
+        def of(n: np.ndarray, p: np.ndarray) -> tuple:
+            rate = np.maximum(0.0, r0 - p @ m)
+            on = p * (n * (rate > 0))[:, None]
+            return np.array([0.5 * n @ rate**2]), p.T @ (n * rate), on.T @ p
+
+        value, totals, second = _summed(soft.select("n_tokens", "p"), k, of)
+        return float(value) / total + goal @ m + RIDGE / 2 * m @ m, goal + RIDGE * m - totals / total, second / total + RIDGE * np.eye(k)
+
+    value, slope, second = at(m)
+    for _ in range(STEPS):
+        if np.abs(slope).max() < CLOSE * max(1.0, r0):
+            return m
+        step = np.linalg.solve(second, slope)
+        share = 1.0
+        while True:
+            new = at(m - share * step)
+            # Close to the end the dual's last digits no longer tell; there the slope has to fall.
+            if new[0] <= value - 1e-4 * share * (slope @ step) or np.abs(new[1]).max() < np.abs(slope).max() and abs(new[0] - value) <= 1e-12 * max(1.0, abs(value)):
+                break
+            share /= 2
+            if share < 1e-9:
+                raise RuntimeError(f"rates are off their targets by {np.abs(slope).max():.2g} of all tokens and no step helps")
+        m, (value, slope, second) = m - share * step, new
+    raise RuntimeError(f"rates are off their targets by {np.abs(slope).max():.2g} of all tokens after {STEPS} steps")
 
 
 def rated(soft: DataFrame, target: list[float], budget: float) -> DataFrame:
     """`soft(n_tokens, p)` with its rates."""
-    cells, many = solve(soft.select("n_tokens", "p"), target, budget)
-    found = maybe_broadcast(cells.select(F.col("cell").alias("_cell"), "rate"), many)
-    return soft.join(found, cell_of(F.col("p")) == F.col("_cell")).drop("_cell")
+    m = solve(soft, target, budget)
+    dot = F.aggregate(F.zip_with("p", F.array(*(F.lit(float(x)) for x in m)), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    return soft.withColumn("rate", F.greatest(F.lit(0.0), F.lit(float(budget)) - dot))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float) -> DataFrame:
@@ -197,12 +265,14 @@ def _copies(rate: Column) -> Column:
     return F.floor(rate + chance).cast("long")
 
 
-def quality_domains(labels: DataFrame) -> DataFrame:
-    return labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("domain"))
+def labelled_domains(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, domain: language and quality of the labelled documents whose language is known."""
+    lang = docs.where("lang is not null and doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    return labels.join(lang, "doc_id").select("doc_id", F.concat("lang", F.lit("-q"), F.col("quality").cast("string")).alias("domain"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior, rate and copies of every document; without labels all rates are BUDGET, posteriors empty."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = mixed(docs, quality_domains(table(spark, sf_dir, "labels")), TARGETS, BUDGET)
+    docs = table(spark, sf_dir, "documents")
+    out = mixed(docs.select("doc_id", "text"), labelled_domains(table(spark, sf_dir, "labels"), docs), TARGETS, BUDGET)
     return out.select("doc_id", "n_tokens", F.col("p").alias("posterior"), "rate", "copies")

@@ -43,7 +43,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says: none, once or more."""
-    labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    labels = mixing.labelled_domains(table(spark, sf_dir, "labels"), docs)
     rated = mixing.mixed(docs, labels, mixing.TARGETS, mixing.BUDGET)
     repeated = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
     return rated.select(*COLUMNS, repeated.alias("copy")).select(*COLUMNS)
