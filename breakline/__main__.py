@@ -3,7 +3,8 @@
     python -m breakline reads.bam -o calls.vcf [-c config.ini] [-b positions.bed] [-f snps.vcf]
     python -m breakline positions genome.txt -o positions -n 1000000 [--mask repeats.bed] [--mask gaps.bed]
 
-The output is a folder of text parts, as Spark writes them; `--single` also joins them to one file.
+The output is a folder of text parts, as Spark writes them; `--single` also writes one file, which the tasks
+write in parts and the commit joins: BGZF where its name ends on .gz, with an index if in order of positions.
 """
 
 from __future__ import annotations
@@ -132,11 +133,7 @@ def main(argv: list[str] | None = None) -> None:
     if used is not None:
         text.write_snp_bed(used, f"{args.output}-snps")
     if args.single:
-        lines = spark.read.text(f"{args.output}/part=0").toLocalIterator()
-        with open(args.single, "w") as f:
-            f.writelines(f"{r[0]}\n" for r in lines)
-            order = ["chr", "pos", "sv_id"] if args.by_position else ["sv_id"]
-            f.writelines(f"{r['line']}\n" for r in vcf.record_lines(made.calls.orderBy(*order)).toLocalIterator())
+        vcf.write_single(made.calls, head, args.single, args.by_position)
 
 
 if __name__ == "__main__":

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from breakline.config import CallConfig
 from breakline.operators.annotate import alt_notation, sv_length
+from breakline.sources import vcf_file
 
 METHOD = "breakline_0.1"
 
@@ -126,3 +127,12 @@ def write_vcf(calls: DataFrame, head: list[str], path: str, coordinate_order: bo
     spark.createDataFrame([(x,) for x in head], "line string").coalesce(1).write.mode("errorifexists").text(f"{path}/part=0")
     ordered = record_lines(calls.orderBy(*order)).select("line")
     ordered.write.mode("errorifexists").text(f"{path}/part=1")
+
+
+def write_single(calls: DataFrame, head: list[str], path: str, coordinate_order: bool = False) -> None:
+    """Write one file; with a name on `.gz` as BGZF, and in order of positions with its index."""
+    order = ["chr", "pos", "sv_id"] if coordinate_order else ["sv_id"]
+    vcf_file.register(calls.sparkSession)
+    lines = record_lines(calls.orderBy(*order)).select("line")
+    told = {"path": path, "header": "".join(f"{x}\n" for x in head), "index": str(coordinate_order).lower()}
+    lines.write.format("vcf_file").options(**told).mode("append").save()
