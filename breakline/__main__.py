@@ -84,7 +84,7 @@ def run(spark: SparkSession, path: str, config: CallConfig, bed: str | None = No
     made = call(rows, config, hist, runs, lambda at: coverage.aligned_bases(pileup(alignments, at)))
     used = None
     if config.phasing_on:
-        used, calls = used_snps(alignments, rows, text.read_snps(spark, snps) if snps else None, config)
+        used, calls = used_snps(alignments, rows, text.read_snps(spark, snps, False if config.bed_start_is_position else None) if snps else None, config)
         made.calls = phased(made, rows, used, calls, config)
     return made, vcf.header(contigs, sample_name, config, " ".join(sys.argv)), used
 

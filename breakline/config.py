@@ -38,8 +38,17 @@ class CallConfig:
     min_highq_var: float = 0.6
     min_base_qual_ph: int = 11
     clustering_cutoff: float = 0.3
-    # Where a quirk of the parity register has another reading.
+    # Where a quirk of the parity register has another reading; the defaults are those of the register.
+    #: Side 1's hanging ends are looked up at the second position.
     fix_hanging: bool = False
+    #: Only junctions on one contig can be insertions.
+    one_contig_insertions: bool = False
+    #: The clip behind a chunk counts the insertions that were cut out, as the clip ahead of it does.
+    count_cut_insertions: bool = False
+    #: Breakends of one variant with the same contig and bounds are one, that of side 1.
+    merge_equal_breakends: bool = False
+    #: The start of a BED line of the SNP file is a position as it is.
+    bed_start_is_position: bool = False
 
     @classmethod
     def read(cls, *paths: str) -> CallConfig:

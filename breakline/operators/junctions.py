@@ -54,12 +54,15 @@ def canonical(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns(turned)
 
 
-def typed(pairs: DataFrame) -> DataFrame:
+def typed(pairs: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
     """An insertion where the sides lie closer than the gap between them, else a breakend.
 
-    The contigs are not compared: a gap between contigs can be an insertion (parity register).
+    The contigs are not compared, so a gap between contigs can be an insertion (parity register), but for
+    `one_contig_insertions`.
     """
     inside = F.abs(F.col("pos2") - F.col("pos1")) < F.col("gap")
+    if config.one_contig_insertions:
+        inside = inside & (F.col("rname1") == F.col("rname2"))
     return pairs.withColumns(
         {
             "svtype": F.when(inside, "INS").otherwise("BND"),
@@ -71,7 +74,7 @@ def typed(pairs: DataFrame) -> DataFrame:
 
 
 def junctions(segments: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
-    return typed(canonical(adjacent(segments, config)))
+    return typed(canonical(adjacent(segments, config)), config)
 
 
 def hanging_ends(segments: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:

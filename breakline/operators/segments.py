@@ -39,12 +39,13 @@ def with_chunks(alignments: DataFrame, config: CallConfig = CallConfig()) -> Dat
     def chunk(i) -> Column:
         m, ref, read, ins = (F.get(c, i) for c in ("_m", "_ref", "_read", "_ins"))
         start, rest = F.col("pos0") + ref, F.col("_total") - read - m["qal"]
+        back, ahead = (read + ins, rest - ins) if config.count_cut_insertions else (read, rest)
         return F.struct(
             (start + 1).alias("pos"),
             (start + m["span"]).alias("stop"),
             m["qal"].alias("length"),
             (F.col("_clip") + F.when(F.col("_back"), rest - ins).otherwise(read + ins)).alias("clip"),
-            (F.col("_clip_2") + F.when(F.col("_back"), read).otherwise(rest)).alias("clip_2"),
+            (F.col("_clip_2") + F.when(F.col("_back"), back).otherwise(ahead)).alias("clip_2"),
             C.share(F.col("_matches"), m["eq"], m["m"], m["qal"]).alias("pid"),
         )
 
@@ -57,7 +58,7 @@ def split_alignments(alignments: DataFrame, config: CallConfig = CallConfig()) -
 
     One row per chunk with aligned bases: rname, pos, stop (1-based, inclusive), qname, flag, mapq,
     length, clip, clip_2, pid, chunk; columns of LONG are dropped. Unmapped rows go. No shuffle. The clip
-    behind a chunk does not count insertions that were cut out, and identity from MD is that of the whole
+    behind a chunk does not count insertions that were cut out (but for `count_cut_insertions`), and identity from MD is that of the whole
     alignment over the chunk's length: both as the parity register asks.
     """
     others = [c for c in alignments.columns if c not in LONG]

@@ -36,6 +36,20 @@ def test_split_alignments(spark):
     assert got[98, 0] == [(1001, 1020, 20, 0, 5)]  # the empty last chunk goes
 
 
+def test_other_readings_of_quirks(spark):
+    """Each switch changes what the register names, and nothing without it."""
+    rows = [(i, flag, "chr1", 1000, 60, "10S100M40I60M5S", None) for i, flag in enumerate((0, 16))]
+    df = spark.createDataFrame(rows, "qname int, flag int, rname string, pos0 long, mapq int, cigar string, md string")
+    clips = lambda c: [(r.clip, r.clip_2) for r in segments.split_alignments(df, c).orderBy("qname", "chunk").collect()]
+    assert clips(CallConfig()) == [(10, 65 + 0 * 40 + 40), (150, 45), (105, 10), (5, 110)]
+    assert clips(CallConfig(count_cut_insertions=True)) == [(10, 105), (150, 5), (105, 10), (5, 150)]
+    pair = spark.createDataFrame([("a", 100, 0, "b", 110, 0, 40)], "rname1 string, pos1 long, flag1 int, rname2 string, pos2 long, flag2 int, gap long")
+    assert [J.typed(pair, c).first().svtype for c in (CallConfig(), CallConfig(one_contig_insertions=True))] == ["INS", "BND"]
+    one = spark.createDataFrame([(1, "c", "c", 5, 9, 5, 9), (2, "c", "d", 5, 9, 5, 9)], "sv_id long, chr string, chr2 string, pos_lo long, pos_hi long, end_lo long, end_hi long")
+    got = sorted((r.sv_id, r.bp_side) for r in evidence.breakends(one, CallConfig(merge_equal_breakends=True)).collect())
+    assert got == [(1, 1), (2, 0), (2, 1)] and evidence.breakends(one).count() == 4
+
+
 def test_split_keeps_read_bases(spark):
     rng = random.Random(7)
     rows = []
