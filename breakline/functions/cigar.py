@@ -76,11 +76,6 @@ def identity(md: Column, ops: Column, aligned: Column) -> Column:
     return F.when(md.isNotNull(), share(md_matches(md))).otherwise(F.when(equal == 0, share(total(ops, "M"))).otherwise(equal))
 
 
-def cuts(ops: Column, least: int) -> Column:
-    """Places, from 0, of the D and I operations of at least `least`."""
-    return F.filter(F.transform(ops, lambda o, i: F.when(o["op"].isin("D", "I") & (o["len"] >= least), i)), lambda i: i.isNotNull())
-
-
 def pieces(ops: Column, at: Column) -> Column:
     """The runs of operations between the places `at`: one more than there are places."""
     starts = F.concat(F.array(F.lit(0)), F.transform(at, lambda i: i + 1))
@@ -88,14 +83,6 @@ def pieces(ops: Column, at: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.slice(ops, a + 1, b - a))
 
 
-def sums(ops: Column) -> Column:
-    """`struct<qal, span, eq, m>` of a run: aligned read bases, reference bases, `=` and M."""
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("qal"), zero.alias("span"), zero.alias("eq"), zero.alias("m"))
-    add = lambda acc, name, o, kinds: (acc[name] + F.when(o["op"].isin(list(kinds)), o["len"]).otherwise(zero)).alias(name)
-    return F.aggregate(ops, start, lambda acc, o: F.struct(add(acc, "qal", o, "MI=X"), add(acc, "span", o, "MD=X"), add(acc, "eq", o, "="), add(acc, "m", o, "M")))
-
-
 def share(matches: Column, equal: Column, aligned_m: Column, aligned: Column) -> Column:
     """Share of identical bases, 3 decimals, from counts: MD's, else `=`, else M; null if nothing is aligned."""
     part = lambda n: rounded3(F.try_divide(n.cast("double"), aligned.cast("double")))

@@ -112,6 +112,57 @@ def mismatches(mds: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[~gone], (worth[at] - worth[offsets[row]])[~gone]
 
 
+def md_matches(mds: pa.Array) -> np.ndarray:
+    """Sum of the numbers of each MD string."""
+    data, offsets = _text(mds)
+    digit = _DIGIT[data]
+    ends = np.union1d(np.flatnonzero(~digit), offsets)
+    return np.diff(_sums(_weights(data, np.append(ends, len(data)), digit))[offsets])
+
+
+def _ahead(values: np.ndarray, first: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each value the sum of those before it in its row."""
+    sums = _sums(values)
+    return sums[:-1] - sums[first[owner]]
+
+
+def chunks(cigars: pa.Array, mds: pa.Array, flag: np.ndarray, pos0: np.ndarray, least: int, count_cut: bool = False) -> dict[str, np.ndarray]:
+    """The stretches of alignments between D and I operations of at least `least`, in order, one more than there are of those.
+
+    row, chunk: the alignment and the number of the stretch in it; pos, stop, length, clip, clip_2; and what
+    identity is made of: matches (of the whole alignment's MD), equal, plain (bases of = and M).
+    """
+    ops = Operations(cigars)
+    n = len(ops.first) - 1
+    owner = np.repeat(np.arange(n), np.diff(ops.first))
+    long = ((ops.kind == ord("D")) | (ops.kind == ord("I"))) & (ops.length >= least)
+    before = _sums(long)
+    many = before[ops.first[1:]] - before[ops.first[:-1]] + 1
+    first = np.cumsum(many) - many
+    row = np.repeat(np.arange(n), many)
+    of = first[owner] + before[:-1] - before[ops.first[owner]]
+    total = lambda kinds, keep: np.bincount(of, np.where(_mask(kinds)[ops.kind] & keep, ops.length, 0), len(row)).astype(np.int64)
+    length, span, equal, plain = total(b"MI=X", ~long), total(b"MD=X", ~long), total(b"=", ~long), total(b"M", ~long)
+    gone, put_in = total(b"D", long), total(b"I", long)
+    # Before each chunk: reference bases with cut-out deletions, read bases, cut-out insertions.
+    ref, read, ins = (_ahead(x, first, row) for x in (span + gone, length, put_in))
+    whole = np.bincount(row, length + put_in, n).astype(np.int64)[row]
+    some = np.diff(ops.first) > 0
+    clip = lambda at: np.where(some & _mask(b"SH")[ops.kind[at]], ops.length[at], 0) if len(ops.kind) else np.zeros(n, np.int64)
+    last = max(len(ops.kind) - 1, 0)
+    lead, trail = clip(np.minimum(ops.first[:-1], last)), clip(np.clip(ops.first[1:] - 1, 0, last))
+    back = (flag & 16 != 0)[row]
+    lead, trail = lead[row], trail[row]
+    rest = whole - read - length
+    near, far = np.where(back, trail, lead), np.where(back, lead, trail)
+    behind = (np.where(back, read + ins, rest - ins)) if count_cut else np.where(back, read, rest)
+    start = pos0[row] + ref
+    return {
+        "row": row, "chunk": np.arange(len(row)) - first[row], "pos": start + 1, "stop": start + span, "length": length,
+        "clip": near + np.where(back, rest - ins, read + ins), "clip_2": far + behind, "matches": md_matches(mds)[row], "equal": equal, "plain": plain,
+    }
+
+
 def gathered_bytes(column: pa.Array, row: np.ndarray, at: np.ndarray) -> pa.Array:
     """The byte at each place of a binary column as a string of one character; empty where `at` is not inside."""
     column = column.cast(pa.large_binary())

@@ -2,69 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from breakline.config import CallConfig
 from breakline.functions import cigar as C
+from breakline.functions import placed as P
 
 
 #: Columns of an alignment that its segments do not repeat.
 LONG = ("cigar", "md", "seq", "qual")
-CHUNK = "struct<pos:bigint,stop:bigint,length:bigint,clip:bigint,clip_2:bigint,pid:double>"
-
-
-def with_chunks(alignments: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
-    """Mapped alignments with `chunks`: an array of CHUNK, the stretches between long gaps.
-
-    Every operation is looked at a fixed number of times, so long CIGARs take time in proportion.
-    """
-    lead, trail = C.clips(F.col("cigar"), F.col("flag"))
-    rows = alignments.where(F.col("flag").bitwiseAND(4) == 0).withColumn("_ops", C.operations(F.col("cigar")))
-    rows = rows.withColumns({"_clip": lead, "_clip_2": trail, "_back": C.reverse(F.col("flag")), "_cuts": C.cuts(F.col("_ops"), config.min_indel_size), "_matches": C.md_matches(F.col("md"))})
-    rows = rows.withColumns({"_m": F.transform(C.pieces(F.col("_ops"), F.col("_cuts")), C.sums), "_seps": F.transform("_cuts", lambda i: F.get("_ops", i))})
-    gone = lambda kind: F.concat(F.transform("_seps", lambda o: F.when(o["op"] == kind, o["len"]).otherwise(F.lit(0).cast("long"))), F.array(F.lit(0).cast("long")))
-    # Before each chunk: reference bases with cut-out deletions, read bases, cut-out insertions.
-    split = F.size("_cuts") > 0
-    before = lambda values: F.when(split, C.running(values)).otherwise(F.array(F.lit(0).cast("long")))
-    rows = rows.withColumns(
-        {
-            "_ref": before(F.zip_with(F.transform("_m", lambda m: m["span"]), gone("D"), lambda a, b: a + b)),
-            "_read": before(F.transform("_m", lambda m: m["qal"])),
-            "_ins": before(gone("I")),
-            "_total": F.aggregate("_m", F.lit(0).cast("long"), lambda acc, m: acc + m["qal"]) + F.aggregate(gone("I"), F.lit(0).cast("long"), lambda acc, x: acc + x),
-        }
-    )
-
-    def chunk(i) -> Column:
-        m, ref, read, ins = (F.get(c, i) for c in ("_m", "_ref", "_read", "_ins"))
-        start, rest = F.col("pos0") + ref, F.col("_total") - read - m["qal"]
-        back, ahead = (read + ins, rest - ins) if config.count_cut_insertions else (read, rest)
-        return F.struct(
-            (start + 1).alias("pos"),
-            (start + m["span"]).alias("stop"),
-            m["qal"].alias("length"),
-            (F.col("_clip") + F.when(F.col("_back"), rest - ins).otherwise(read + ins)).alias("clip"),
-            (F.col("_clip_2") + F.when(F.col("_back"), back).otherwise(ahead)).alias("clip_2"),
-            C.share(F.col("_matches"), m["eq"], m["m"], m["qal"]).alias("pid"),
-        )
-
-    made = F.transform(F.sequence(F.lit(0), F.size("_m") - 1), chunk)
-    return rows.withColumn("chunks", made.cast(f"array<{CHUNK}>")).select(*alignments.columns, "chunks")
+#: Places of a chunk, and what its identity is made of.
+PLACES, PARTS = ("chunk", "pos", "stop", "length", "clip", "clip_2"), ("matches", "equal", "plain")
 
 
 def split_alignments(alignments: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
     """`alignments(qname, flag, rname, pos0, mapq, cigar, md, ...)` to segments, cut at long gaps.
 
     One row per chunk with aligned bases: rname, pos, stop (1-based, inclusive), qname, flag, mapq,
-    length, clip, clip_2, pid, chunk; columns of LONG are dropped. Unmapped rows go. No shuffle. The clip
-    behind a chunk does not count insertions that were cut out (but for `count_cut_insertions`), and identity from MD is that of the whole
-    alignment over the chunk's length: both as the parity register asks.
+    length, clip, clip_2, pid, chunk; columns of LONG are dropped. Unmapped rows go. No shuffle: the
+    operations of a batch are summed up together, in time and memory in proportion to them. The clip
+    behind a chunk does not count insertions that were cut out (but for `count_cut_insertions`), and identity
+    from MD is that of the whole alignment over the chunk's length: both as the parity register asks.
     """
     others = [c for c in alignments.columns if c not in LONG]
-    # An outer generator: no filter on the size of `chunks` is inferred, which would hold the whole expression.
-    rows = with_chunks(alignments, config).select(*others, F.posexplode_outer("chunks").alias("chunk", "_c"))
-    return rows.select(*others, "chunk", "_c.*").where("length > 0")
+    rows = alignments.where(F.col("flag").bitwiseAND(4) == 0).select(*others, F.col("flag").alias("_flag"), F.col("pos0").cast("long").alias("_pos0"), F.col("cigar").alias("_cigar"), F.col("md").alias("_md"))
+    least, count_cut = config.min_indel_size, config.count_cut_insertions
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = P.chunks(batch["_cigar"], batch["_md"], batch["_flag"].to_numpy(), batch["_pos0"].to_numpy(), least, count_cut)
+            keep = np.flatnonzero(made["length"] > 0)
+            row = pa.array(made["row"][keep])
+            no_md = pa.array(batch["_md"].is_null().to_numpy(zero_copy_only=False)[made["row"][keep]])
+            told = [pa.array(made[c][keep]) for c in (*PLACES, *PARTS)]
+            told[len(PLACES)] = pc.if_else(no_md, None, told[len(PLACES)])
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(row) for c in others), *told], [*others, *PLACES, *PARTS])
+
+    known = [f for f in alignments.schema.fields if f.name in others]
+    schema = T.StructType([*known, *(T.StructField(c, T.LongType()) for c in (*PLACES, *PARTS))])
+    pid = C.share(F.col("matches"), F.col("equal"), F.col("plain"), F.col("length"))
+    return rows.mapInArrow(split, schema).withColumns({"pid": pid, "chunk": F.col("chunk").cast("int")}).select(*others, *PLACES, "pid")
 
 
 def aligned_blocks(alignments: DataFrame) -> DataFrame:
