@@ -42,7 +42,7 @@ END_ID = 2
 #: Ids in the rolling window; smallest, usual and largest chunk.
 WINDOW, SMALL, MASK, LARGE = 16, 64, (1 << 9) - 1, 4096
 #: Words that a worker's cache holds, words of a call, bytes of a frame.
-CACHE_WORDS, RUN, FRAME = 400_000, 200, 1 << 18
+CACHE_WORDS, RUN, FRAME = 600_000, 200, 1 << 18
 #: Recipes under one digest of a partition's tree.
 BLOCK = 4096
 #: Stands between words that are encoded in one call.
@@ -216,11 +216,10 @@ def pieces(docs: DataFrame, path: str, end: int) -> DataFrame:
     """Two kinds of rows: a recipe for each document, and each distinct chunk of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder = Encoder.of(path)  # what it knows, up to its bound, also serves the worker's next tasks
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch["text"]):
                 yield block(encoder, batch["doc_id"][lo:hi].to_pylist(), data, offsets)
-        encoder.forget()  # the worker lives on through other stages
 
     def block(encoder: Encoder, doc_ids: list, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         ids, lasts = encoder.encode(data, offsets, end)
