@@ -240,7 +240,7 @@ left join (select chr, pos, seg_key, max(base) as base from pileup group by chr,
 )
 
 #: Alignments with sequences under the name of the alignments, their operations with what lies before each.
-READS = ("reads", X.READS)
+WITH_BASES = ("reads", X.READS)
 BASES = ("alignments", X.BASES)
 PLACED = (
     "placed",
@@ -261,7 +261,7 @@ where s.qal > 0 and a.mapq >= 20 and round(cast(case when s.md is not null then
 )
 _DISCOVERED = (
     SEGMENTS,
-    READS,
+    WITH_BASES,
     BASES,
     OPS,
     CLIPS,
@@ -356,7 +356,7 @@ from split s join clips c on c.qname = s.qname and c.ln = s.ln where s.qal > 0""
         ("running", "select rname, place, sum(sum(d)) over (partition by rname order by place) as depth from steps group by rname, place"),
     )
     + "select cast(coalesce(r.depth, 0) as bigint) as depth, cast(count(*) as bigint) as n from asked a asof left join running r on a.rname = r.rname and a.position >= r.place group by 1",
-    "pileup_bases": _ctes(SEGMENTS, READS, BASES, OPS, CLIPS, PLACED, ("spots", X.SPOTS))
+    "pileup_bases": _ctes(SEGMENTS, WITH_BASES, BASES, OPS, CLIPS, PLACED, ("spots", X.SPOTS))
     + """select s.rname, s.pos, p.qname, k.clip, case when p.op = 'D' then '-' when p.op = 'N' then '>' else substr(c.seq, cast(p.read_at + s.pos - p.pos0 - 1 - p.ref_at as bigint) + 1, 1) end as base,
   case when p.op not in ('D', 'N') then 4 * cast(substr(c.qual_text, cast(p.read_at + s.pos - p.pos0 - 1 - p.ref_at as bigint) + 1, 1) as bigint) end as qual
 from placed p join spots s on s.rname = p.rname and s.pos > p.pos0 + p.ref_at and s.pos <= p.pos0 + p.ref_at + p.n join clips k on k.qname = p.qname and k.ln = p.ln join alignments c on c.qname = p.qname and c.ln = p.ln where p.op in ('M', 'D', 'N', '=', 'X')""",
