@@ -96,15 +96,7 @@ def together(docs: list[np.ndarray], y: np.ndarray, seen: np.ndarray, positive:
     """
     n, rate = len(docs), y.mean()
     slots = np.flatnonzero((positive >= MIN_DOCS) & (seen < n))
-    place = np.full(len(seen), -1)
-    place[slots] = np.arange(len(slots))
-    wide = -(-int(y.sum()) // 64)
-    bits = np.zeros((len(slots), wide + -(-int(n - y.sum()) // 64)), np.uint64)
-    at = np.empty(n, np.int64)
-    at[y > 0], at[y <= 0] = np.arange(int(y.sum())), 64 * wide + np.arange(int(n - y.sum()))
-    for d, b in zip(docs, at.tolist(), strict=True):
-        p = place[d]
-        bits[p[p >= 0], b >> 6] |= np.uint64(1) << np.uint64(b & 63)
+    bits, wide = bit_sets(docs, y, slots, len(seen))
     head = np.ascontiguousarray(bits[:, :wide])
     alone, toxic = seen[slots].astype(float), positive[slots].astype(float)
     kept = np.zeros(len(slots), bool)
@@ -122,6 +114,21 @@ def together(docs: list[np.ndarray], y: np.ndarray, seen: np.ndarray, positive:
     return slots[kept]
 
 
+def bit_sets(docs: list[np.ndarray], y: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """(slots x words of 64 documents, how many words the positive documents take, which stand first)."""
+    n, many = len(docs), int(y.sum())
+    place = np.full(size, -1)
+    place[slots] = np.arange(len(slots))
+    wide = -(-many // 64)
+    bits = np.zeros((len(slots), wide + -(-(n - many) // 64)), np.uint64)
+    at = np.empty(n, np.int64)
+    at[y > 0], at[y <= 0] = np.arange(many), 64 * wide + np.arange(n - many)
+    for d, b in zip(docs, at.tolist(), strict=True):
+        p = place[d]
+        bits[p[p >= 0], b >> 6] |= np.uint64(1) << np.uint64(b & 63)
+    return bits, wide
+
+
 def departure(n: int, rate: float, positives: float, alone_i, alone_j, toxic_i, toxic_j, c11: np.ndarray, a11: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(how far a pair's cells depart from adding up, its squared z; 0 where a cell has fewer than MIN_DOCS).
 
@@ -146,22 +153,14 @@ def joint(docs: list[np.ndarray], y: np.ndarray, seen: np.ndarray) -> np.ndarray
     n, rate = len(docs), y.mean()
     top = np.argsort(-np.where(seen >= n, 0, seen), kind="stable")[:PAIRED]
     top = top[(seen[top] >= MIN_DOCS) & (seen[top] < n)]
-    place = np.full(len(seen), -1)
-    place[top] = np.arange(len(top))
-    held = [place[d] for d in docs]
-    x = np.zeros((n, len(top)), np.float32)
-    for row, p in zip(x, held, strict=True):
-        row[p[p >= 0]] = 1
-    label = y.astype(np.float32)
-    alone, toxic = x.sum(0), x.T @ label
+    bits, wide = bit_sets(docs, y, top, len(seen))
+    count = lambda words: np.bitwise_count(words).sum(1, dtype=np.int64).astype(float)
+    alone, toxic = count(bits), count(bits[:, :wide])
     kept = np.zeros(len(top), bool)
-    for lo in range(0, len(top), 512):
-        part = x[:, lo : lo + 512]
-        c11, a11 = part.T @ x, (part * label[:, None]).T @ x
-        _, z = departure(n, rate, label.sum(), alone[lo : lo + 512, None], alone[None], toxic[lo : lo + 512, None], toxic[None], c11, a11)
-        hit = z >= PAIR_CHI
-        kept[lo : lo + 512] |= hit.any(1)
-        kept |= hit.any(0)
+    for i in range(len(top)):
+        both = bits & bits[i]
+        _, z = departure(n, rate, y.sum(), alone[i], alone, toxic[i], toxic, count(both), count(both[:, :wide]))
+        kept |= z >= PAIR_CHI
     return top[kept]
 
 
