@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, saved, small_batches, table
-from .components import components
+from .components import components, joined
 from .textscan import SPACE, blocks, mix, word_bytes, words
 
 #: Bits of a set element; the rest of the word holds the text's place in its block.
@@ -237,6 +237,8 @@ def may_link(n_a: Column, n_b: Column, bits: Column, threshold: int) -> Column:
 def verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataFrame:
     """`pairs(a, b)` whose sets have the similarity."""
     pairs = saved(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
     sets = saved(set_elements(docs, ids, n), "pair-sets")
     x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a")
@@ -279,7 +281,8 @@ def similar(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     n_copies = copies.count()
     # A doc_id with several texts may be a copy by one of them and not by another: see `same` below.
     several = saved(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "several")
-    several = maybe_broadcast(several, several.count())
+    n_several = several.count()
+    several = maybe_broadcast(several, n_several)
     same = copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     rows = bucket_rows(docs, n, threshold)
@@ -296,8 +299,9 @@ def similar(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
 
     heads = F.explode(F.when(F.col("head").isNotNull(), F.array("head")).otherwise(F.array("low", "high")))
     stars = by_class(by_class(buckets.select(F.col("doc_id").alias("a"), heads.alias("b")).where("a <> b").distinct(), "a"), "b").where("a <> b").distinct()
-    facts = known.groupBy("doc_id").agg(F.max(F.struct("n", "sketch")).alias("s")).select("doc_id", "s.n", "s.sketch")
-    one_set = facts.join(several, "doc_id", "left_anti").union(several.select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("array<bigint>")))
+    one_set = known.select("doc_id", "n", "sketch")
+    if n_several:
+        one_set = one_set.join(several, "doc_id", "left_anti").union(several.select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("array<bigint>")))
     side = lambda c: one_set.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     apart = differing_bits(F.col("s_a"), F.col("s_b"))
     passes = F.coalesce(may_link(F.col("n_a"), F.col("n_b"), apart, threshold), F.lit(True))
@@ -315,13 +319,17 @@ def similar(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
         open_ = labelled.join(mixed, "sig", "left_semi")
         if pick is not None:
             open_ = open_.groupBy("sig", "label").agg(pick("doc_id").alias("doc_id"))
-        pairs = meeting(saved(open_, "open"), facts_of, threshold)
+        open_ = saved(open_, "open")
+        if open_.isEmpty():
+            break  # no bucket holds two labels, whichever members stand for them
+        pairs = meeting(open_, facts_of, threshold)
         if pick is not None:
             # A few links are enough to join two labels.
             best = pairs.groupBy("p", "q").agg(F.slice(F.sort_array(F.collect_set(F.struct("bits", "a", "b"))), 1, STARS).alias("best"))
             pairs = best.select(F.explode("best").alias("x")).select("x.a", "x.b")
-        links = verified(pairs.select("a", "b").distinct(), docs, n, threshold)
-        labels = saved(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "labels")
+        links = saved(verified(pairs.select("a", "b").distinct(), docs, n, threshold), "new-links")
+        if not links.isEmpty():
+            labels = saved(joined(labels, links), "labels")
 
     found = maybe_broadcast(labels, labels.count())
     own = sets.select("doc_id", F.col("n").alias("n_shingles"), F.col("n") > 0).toDF("doc_id", "n_shingles", "linked")

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from . import toxicity
 from .common import bounded_sample, saved, small_batches, table
-from .textscan import blocks, mix, word_bytes, words
+from .textscan import blocks, lists, mix, word_bytes, words
 
 #: Labelled documents that training uses at most.
 SAMPLE = 8_000
@@ -82,20 +82,22 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch["text"]):
                 slots, text, _ = features(data, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(hi - lo + 1)), pa.int32()), pa.array(slots, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], batch["domain"][lo:hi], lists], ["doc_id", "domain", "slots"])
+                made = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(hi - lo + 1)), pa.int32()), pa.array(slots, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], batch["domain"][lo:hi], made], ["doc_id", "domain", "slots"])
 
     # Bounded by `limit`.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text")
     made = rows.mapInArrow(run, "doc_id long, domain string, slots array<int>")
     # A doc_id with several texts is learnt once.
-    got = made.groupBy("doc_id").agg(F.min("domain").alias("domain"), F.min_by("slots", F.xxhash64("slots")).alias("slots")).toArrow().sort_by("doc_id")
-    domain = np.array(got["domain"].to_pylist(), object)
-    lists = got["slots"].combine_chunks()
-    cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    slots = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    got = made.groupBy("doc_id").agg(F.min("domain").alias("domain"), F.min_by("slots", F.xxhash64("slots")).alias("slots")).toArrow()
+    order = np.argsort(got["doc_id"].to_numpy())
+    domain = np.array(got["domain"].to_pylist(), object)[order]
+    slots = lists(got["slots"], order)
     names = sorted(set(domain.tolist()))
-    return names, [toxicity.fit(slots, (domain == x).astype(float), positive=1.0, pairs=False) for x in names]
+    machines = [toxicity.fit(slots, (domain == x).astype(float), positive=1.0, pairs=False) for x in names]
+    del got, slots
+    pa.default_memory_pool().release_unused()
+    return names, machines
 
 
 def posteriors(docs: DataFrame, names: list[str], machines: list[toxicity.Machine]) -> DataFrame:

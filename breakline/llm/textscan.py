@@ -113,6 +113,15 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, kinds: np.nd
     return Words(low, start, stop, mix(code), np.searchsorted(start, offsets), total)
 
 
+def lists(column: pa.ChunkedArray, order: np.ndarray) -> list[np.ndarray]:
+    """The lists of a list column in the rows' `order`, as views of its own memory; null is empty."""
+    out = []
+    for chunk in column.chunks:
+        flat, cuts = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [out[i] for i in order]
+
+
 def blocks(text: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of at most `most` bytes or of one text."""
     if isinstance(text, pa.ChunkedArray):

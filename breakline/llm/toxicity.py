@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, held_out, small_batches, table
-from .textscan import blocks, mix, word_bytes, words
+from .textscan import blocks, lists, mix, word_bytes, words
 
 #: Labelled documents that training uses at most.
 SAMPLE = 12_000
@@ -47,17 +47,23 @@ _TABLE = word_bytes()
 
 @dataclass
 class Machine:
+    """w: the weight of every slot; v: the factors of those whose weight is not 0, in their order."""
+
     bias: float
     w: np.ndarray
     v: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.place = np.cumsum(self.w != 0, dtype=np.int32) - 1
+
     def logits(self, slots: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         """slots: distinct per text, ordered by text."""
         known = self.w[slots] != 0
         slots, text = slots[known], text[known]
         out = np.full(n, self.bias) + np.bincount(text, self.w[slots], n)
+        place = self.place[slots]
         for f in range(self.v.shape[1]):
-            x = self.v[slots, f].astype(np.float64)
+            x = self.v[place, f].astype(np.float64)
             out += 0.5 * (np.bincount(text, x, n) ** 2 - np.bincount(text, x * x, n))
         return out
 
@@ -156,18 +162,20 @@ def pairs_help(docs: list[np.ndarray], y: np.ndarray, positive: float) -> bool:
 def fit(docs: list[np.ndarray], y: np.ndarray, positive: float = POSITIVE, pairs: bool = True, sure: bool = False) -> Machine:
     """docs: distinct slots of each document; `pairs`: keep also slots that tell only together, if it helps or is `sure`."""
     size = 1 << BITS
-    machine = Machine(0.0, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32))
     positives = float(y.mean()) if len(y) else 0.5
     if positives in (0.0, 1.0) or len(y) == 0:
-        machine.bias = float(np.log((positives + 1e-3) / (1 - positives + 1e-3)))
-        return machine
+        bias = float(np.log((positives + 1e-3) / (1 - positives + 1e-3)))
+        return Machine(bias, np.zeros(size, np.float32), np.zeros((0, FACTORS), np.float32))
     if pairs and not sure:
         pairs = pairs_help(docs, y, positive)
     rng = np.random.default_rng(SEED)
     kept = telling(docs, y, size, pairs)
-    docs = [d[kept[d]].astype(np.int64) for d in docs]
-    w, v = np.zeros(size), rng.normal(0, START, (size, FACTORS)) * kept[:, None]
-    gw, gv, gb, bias = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2, float(np.log(positives / (1 - positives)))
+    # From here on slots are places among those kept.
+    place = np.cumsum(kept, dtype=np.int32) - 1
+    docs = [place[d[kept[d]]] for d in docs]
+    many = int(kept.sum())
+    w, v = np.zeros(many), rng.normal(0, START, (size, FACTORS))[kept]
+    gw, gv, gb, bias = np.full(many, 1e-2), np.full((many, FACTORS), 1e-2), 1e-2, float(np.log(positives / (1 - positives)))
     for _ in range(EPOCHS):
         for lo in range(0, len(docs), 64):
             pick = order[lo : lo + 64] if lo else (order := rng.permutation(len(docs)))[:64]
@@ -188,8 +196,9 @@ def fit(docs: list[np.ndarray], y: np.ndarray, positive: float = POSITIVE, pairs
             db = float(err.mean())
             gb += db * db
             bias -= RATE * db / gb**0.5
-    machine.bias, machine.w, machine.v = bias, w.astype(np.float32), v.astype(np.float32)
-    return machine
+    weights = np.zeros(size, np.float32)
+    weights[kept] = w
+    return Machine(bias, weights, v[weights[kept] != 0].astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> Machine:
@@ -210,10 +219,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(featurize, "doc_id long, y int, slots array<int>")
     # A doc_id with several texts is learnt once.
     once = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("slots", F.xxhash64("slots")).alias("slots"))
-    got = once.toArrow().sort_by("doc_id")
-    lists = got["slots"].combine_chunks()
-    flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, int)
-    return fit([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], got["y"].to_numpy().astype(float))
+    got = once.toArrow()
+    order = np.argsort(got["doc_id"].to_numpy())
+    slots = lists(got["slots"], order)
+    machine = fit(slots, got["y"].to_numpy()[order].astype(float))
+    # The driver lives on through other stages.
+    del got, slots
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

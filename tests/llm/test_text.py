@@ -1,7 +1,10 @@
 """Word scanning, toxicity, language ID, decontamination, Jaccard join, mixing, token store, pipeline."""
 
+import pickle
 import random
 import re
+import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,8 +15,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from breakline.llm import decontaminate, jaccard, langid, mixing, textscan, tokenstore, toxicity
-from breakline.llm.common import new_path
-from breakline.llm.components import components
+from breakline.llm.common import new_path, saved
+from breakline.llm.components import are_stars, components, joined
 
 ODD = [None, "", " ", "\n\t", "...", "12 34", "a", "é", "word " * 30_000]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -293,6 +296,56 @@ def test_components(spark):
     assert got == {**dict.fromkeys([*range(41), 200], 0), 100: 100, 101: 100, 103: 100}
 
 
+def count_saves(monkeypatch):
+    """Labels of the tables that the components and the join write from now on."""
+    labels = []
+    for module in (jaccard, sys.modules["breakline.llm.components"]):
+        monkeypatch.setattr(module, "saved", lambda df, label: labels.append(label) or saved(df, label))
+    return labels
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    labels = count_saves(monkeypatch)
+    stars = [(0, 5), (9, 0), (9, 0), (3, 4), (8, 8)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {0: 0, 5: 0, 9: 0, 3: 3, 4: 3} and labels == ["links"]
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert not are_stars(spark.createDataFrame([(2, 1), (3, 2)], "u long, v long"))
+    assert not are_stars(spark.createDataFrame([(3, 1), (3, 2)], "u long, v long"))
+
+
+def test_joined_components_equal_those_of_all_links(spark):
+    rng = random.Random(6)
+    for n in (30, 60):
+        first, more = ([(rng.randrange(n), rng.randrange(n + 9)) for _ in range(n // 2)] for _ in range(2))
+        frame_of = lambda rows: spark.createDataFrame(rows, "a long, b long")
+        rows = joined(components(frame_of(first)), frame_of(more)).collect()
+        whole = {r.node: r.component for r in components(frame_of(first + more)).collect()}
+        assert {r.node: r.component for r in rows} == whole and len(rows) == len(whole)
+
+
+def test_jaccard_ends_when_no_bucket_holds_two_labels(spark, monkeypatch):
+    labels = count_saves(monkeypatch)
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choices("abcdefghij", k=30))) for i in range(20)]
+    docs += [(i + 100, text + " end") for i, text in docs[:5]]
+    got = {r.doc_id: r.component_id for r in jaccard.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i % 100 for i, _ in docs}
+    assert labels.count("open") == 1 and "spread" not in labels and "labels" not in labels
+
+
+def test_machine_and_its_training_hold_the_kept_slots_alone():
+    y = np.arange(200) % 2
+    docs = [np.array([1 + label, *range(10, 40)], np.int32) for label in y]
+    tracemalloc.start()
+    m = toxicity.fit(docs, y.astype(float), positive=1.0, pairs=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.flatnonzero(m.w).tolist() == [1, 2] and m.v.shape == (2, toxicity.FACTORS)
+    # Old: four tables of factors for all slots (32 MB), and a machine of 5 MB.
+    assert peak < 16e6 and len(pickle.dumps(m)) < 3e6
+
+
 def test_mixing(spark):
     rows = planted(600, 4)
     docs = frame(spark, [t for _, t, _ in rows] + ODD)
