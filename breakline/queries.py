@@ -14,7 +14,7 @@ from breakline.operators import junctions as J
 from breakline.operators.pileup import pileup
 from breakline.plans import calling, phase
 from breakline.plans import fixtures as X
-from breakline.shared import saved
+from breakline.shared import saved, tidy
 from breakline.sources import vcf
 from breakline.streaming.sessions import sessions
 
@@ -185,7 +185,9 @@ def ref_base_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pileup_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases of the reads with sequences at the asked positions."""
-    return pileup(saved(X.bases(spark, sf_dir), "reads"), X.spots(spark, sf_dir)).select("rname", "pos", "qname", "clip", "base", F.col("qual").cast("long").alias("qual"))
+    with tidy(spark):
+        found = pileup(X.bases(spark, sf_dir), X.spots(spark, sf_dir))
+    return found.select("rname", "pos", "qname", "clip", "base", F.col("qual").cast("long").alias("qual"))
 
 
 def snp_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:

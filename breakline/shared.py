@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,18 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a job go when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of `saved` that nothing reads any more."""
     for df in tables:

@@ -112,6 +112,23 @@ def test_pileup_equals_a_walk(spark, binary):
     assert copies == 2 and sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_few_positions_move_no_alignment(spark, monkeypatch):
+    """Up to FEW positions no alignment is shuffled; beyond, and in slices of any size, the rows are the same."""
+    rng = random.Random(9)
+    df = spark.createDataFrame(reads(rng, 60), READS)
+    asked = spark.createDataFrame([*((c, p) for c in ("c1", "c2") for p in range(1, 500, 2)), (None, 5)], "rname string, pos long")
+    got = {}
+    for few, size in ((1_000_000, 100_000), (1_000_000, 3), (10, 100_000)):
+        monkeypatch.setattr(pileup, "FEW", few)
+        monkeypatch.setattr(pileup, "SLICE", size)
+        found = pileup.pileup(df, asked)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange" in plan) == (few == 10)
+        got[few, size] = sorted((tuple(r) for r in found.collect()), key=str)
+    assert len(set(map(str, got.values()))) == 1 and len(got[10, 100_000]) > 500
+    assert pileup.pileup(df, asked.limit(0)).count() == 0
+
+
 def test_snp_calls_equal_a_walk(spark):
     rng = random.Random(4)
     rows = [r for r in reads(rng, 200, "========XDIN", 25) if r[0] not in ("star", "none", "short")][:-1]
